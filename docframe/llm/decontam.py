@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                     if any(met):
                         best = [max([c, *(x for _, x in m)]) for c, m in zip(rows.column(2).to_pylist(), met, strict=True)]
                         ids = [sorted([*old, *(i for i, x in m if x >= coverage and i is not None)]) for old, m in zip(rows.column(3).to_pylist(), met, strict=True)]
-                        rows = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(best, pa.float64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "text", "coverage", "item_ids"])
+                        rows = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(best, pa.float64()), pa.array(ids, b.schema.field(3).type)], schema=b.schema)
                     yield rows
 
         df = df.mapInArrow(run, schema)
