@@ -26,8 +26,8 @@ from docframe.ship import ship
 
 BITS = 18
 #: Bounds of the training sample: rows of each class, and the longest text used (characters).
-SAMPLE_PER_CLASS = 1200
-SAMPLE_CHARS = 20_000
+SAMPLE_PER_CLASS = 900
+SAMPLE_CHARS = 10_000
 SCHEMA = "doc_id long, score double, n_spans int, spans array<struct<start:int,end:int,p:double>>"
 
 
@@ -61,10 +61,10 @@ class ToxicModel:
     @staticmethod
     def features(doc: np.ndarray, word: np.ndarray, p4: np.ndarray, p5: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, shift = len(word), np.uint64(64 - BITS)
-        a = np.empty((n, 6), np.int64)
+        a = np.empty((n, 6), np.int32)
         a[:, 0] = word >> shift
-        a[:, 1] = (p4 >> shift).astype(np.int64) + (1 << BITS)
-        a[:, 2] = (p5 >> shift).astype(np.int64) + (2 << BITS)
+        a[:, 1] = (p4 >> shift).astype(np.int32) + (1 << BITS)
+        a[:, 2] = (p5 >> shift).astype(np.int32) + (2 << BITS)
         a[:, 3] = a[:, 4] = 5 << BITS
         a[1:, 3] = a[:-1, 0] + (3 << BITS)
         a[:-1, 4] = a[1:, 0] + (4 << BITS)
