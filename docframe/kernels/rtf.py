@@ -8,7 +8,7 @@ import re
 DESTINATIONS = frozenset("fonttbl colortbl stylesheet listtable listoverridetable info pict object themedata colorschememapping latentstyles datastore generator xmlnstbl revtbl header footer headerl headerr footerl footerr footnote annotation comment".split())
 # Control words that stand for characters.
 CHARACTERS = {"par": "\n", "line": "\n", "tab": "\t", "page": "\n", "sect": "\n", "cell": " | ", "row": "\n", "emdash": "—", "endash": "–", "emspace": " ", "enspace": " ", "qmspace": " ", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
-_TOKEN = re.compile(r"\\(?:(?P<word>[a-zA-Z]+)(?P<arg>-?[0-9]+)? ?|'(?P<hex>.{0,2})|(?P<sign>.))|(?P<brace>[{}])|(?P<plain>[^\\{}\r\n])|[\r\n]", re.S)
+_TOKEN = re.compile(r"\\(?:(?P<word>[a-zA-Z]+)(?P<arg>-?[0-9]+)? ?|'(?P<hex>.{0,2})|(?P<sign>.))|(?P<brace>[{}])|(?P<plain>[^\\{}\r\n]+)|[\r\n]", re.S)
 
 
 def text_of(data: bytes) -> str | None:
@@ -22,10 +22,9 @@ def text_of(data: bytes) -> str | None:
     def say(x: str) -> None:
         nonlocal owed
         if quiet is None:
-            if owed > 0:  # the stand-in for a character already said
-                owed -= len(x)
-            else:
-                out.append(x)
+            kept = x[owed:]  # what is owed stands in for a character already said
+            owed = max(0, owed - len(x))
+            out.append(kept)
 
     for m in _TOKEN.finditer(source):
         if m["plain"]:

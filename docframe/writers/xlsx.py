@@ -19,7 +19,7 @@ def number(x: float) -> str:
     m, _, e = repr(float(x)).partition("e")
     if e:
         k = int(e)
-        if -7 <= k < 0:
+        if -7 < k < 0:
             digits = m.replace(".", "").replace("-", "")
             return ("-" if x < 0 else "") + "0." + "0" * (-k - 1) + digits
         return f"{m.removesuffix('.0')}e{k:+d}"
