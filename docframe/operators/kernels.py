@@ -15,7 +15,7 @@ from docframe.kernels.detecting import zip_format
 from docframe.kernels.errors import Refused
 from docframe.kernels.package import Package
 from docframe.kernels.xmlscan import attribute
-from docframe.limits import MARKDOWN_CHARS, OUTPUT_BYTES, TEXT_CHARS
+from docframe.limits import ASSET_BYTES, ASSETS, MARKDOWN_CHARS, OUTPUT_BYTES, TEXT_CHARS
 from docframe.plans.deck import plan
 from docframe.plans.recognise import recognise
 from docframe.ship import ship
@@ -113,9 +113,14 @@ def render_spreadsheets(df: DataFrame) -> DataFrame:
 
 
 def render_documents(df: DataFrame) -> DataFrame:
-    """(doc_id, format, profile, markdown) -> (doc_id, title, summary, content, error)."""
-    def one(doc_id, form, profile, source):
+    """(doc_id, format, profile, markdown[, assets map<name, struct<mime, bytes>>]) -> (doc_id, title, summary, content, error)."""
+    with_assets = "assets" in df.columns
+
+    def one(doc_id, form, profile, source, given=None):
         def make():
+            assets = {k: bytes(v["bytes"]) for k, v in (given or [])}
+            if why := refused_assets({k: (v["mime"], len(v["bytes"])) for k, v in (given or [])}, form):
+                raise Refused("INVALID_ARGUMENT", why, "assets")
             if form not in WRITERS:
                 raise Refused("INVALID_ARGUMENT", f"format must be one of {', '.join(WRITERS)}", "format")
             if profile not in PROFILES:
@@ -126,14 +131,54 @@ def render_documents(df: DataFrame) -> DataFrame:
                 raise Refused("INPUT_TOO_LARGE", f"content is over {MARKDOWN_CHARS:,} characters", "content")
             blocks = markdown.parse(source)
             title = markdown.title(blocks) or "document"
-            data = WRITERS[form](blocks, title, profile)
+            data = WRITERS[form](blocks, title, profile, assets)
             if len(data) > OUTPUT_BYTES:
                 raise Refused("OUTPUT_TOO_LARGE", f"the document is {len(data):,} bytes; the limit is {OUTPUT_BYTES:,}")
             return {"title": title, "summary": markdown.summary(blocks), "content": data}
 
         yield {"doc_id": doc_id, **_safely(make)}
 
-    return _rows(df, ["doc_id", "format", "profile", "markdown"], one, f"doc_id long, title string, summary string, content binary, error {_ERROR}")
+    return _rows(df, ["doc_id", "format", "profile", "markdown", *(["assets"] if with_assets else [])], one, f"doc_id long, title string, summary string, content binary, error {_ERROR}")
+
+
+def refused_assets(assets: dict[str, tuple[str, int]], form: str) -> str | None:
+    """Why a document's assets (name: mime, bytes) are refused, or None."""
+    if assets and form not in ("pptx", "docx", "pdf"):
+        return f"{form} takes no assets"
+    if len(assets) > ASSETS:
+        return f"more than {ASSETS} assets"
+    if any(not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", n) for n in assets):
+        return "an asset's name holds other characters than letters, digits, dot, dash and underscore"
+    if any(m not in ("image/png", "image/jpeg") for m, _ in assets.values()):
+        return "an asset is not a PNG or JPEG"
+    return "the assets are too large" if sum(n for _, n in assets.values()) > ASSET_BYTES else None
+
+
+# Parts that a package of each format must hold.
+REQUIRED = {"docx": ("[Content_Types].xml", "word/document.xml"), "xlsx": ("[Content_Types].xml", "xl/workbook.xml"), "pptx": ("[Content_Types].xml", "ppt/presentation.xml"), "hwpx": ("mimetype", "Contents/header.xml", "Contents/section0.xml")}
+
+
+def validate_outputs(df: DataFrame) -> DataFrame:
+    """(doc_id, format, content) of written documents, opened again -> (doc_id, structure, content_ok, external, warnings)."""
+    def one(doc_id, form, content):
+        data = bytes(content or b"")
+        if form == "pdf":
+            ok = data.startswith(b"%PDF-") and data.rstrip().endswith(b"%%EOF")
+            yield {"doc_id": doc_id, "structure": ok, "content_ok": ok, "external": 0, "warnings": []}
+            return
+
+        def look():
+            p = Package(data)
+            warnings = [f"missing part {n}" for n in REQUIRED.get(form, ()) if n not in p.names]
+            links = list(_relationships(p))
+            warnings += [f"{s} leads to missing part {t}" for s, t, out in links if not out and t not in p.names]
+            text = _safely(reading.read, data, form)
+            return {"structure": not warnings, "content_ok": text["error"] is None, "external": sum(out for *_, out in links), "warnings": warnings}
+
+        got = _safely(look)
+        yield {"doc_id": doc_id, **({"structure": False, "content_ok": False, "external": 0, "warnings": [got["error"]["message"]]} if got["error"] else got)}
+
+    return _rows(df, ["doc_id", "format", "content"], one, "doc_id long, structure boolean, content_ok boolean, external long, warnings array<string>")
 
 
 _RUN = "struct<text:string,bold:boolean,italic:boolean,code:boolean,href:string>"
@@ -171,18 +216,23 @@ def package_parts(df: DataFrame) -> DataFrame:
     return _rows(df, ["doc_id", "content"], lambda i, c: ({"doc_id": i, "ord": k, "name": n, "compressed_size": p, "original_size": o} for k, (n, p, o) in enumerate(_safely(lambda: {"e": entries(bytes(c))}).get("e", []))), "doc_id long, ord int, name string, compressed_size long, original_size long")
 
 
+def _relationships(p: Package) -> Iterator[tuple[str, str, bool]]:
+    """(part of the relationship, target as a path in the package, external)."""
+    for n in p.names:
+        if n.endswith(".rels"):
+            base = re.sub(r"_rels/[^/]*\Z", "", n)
+            for m in re.finditer(r"<Relationship\b([^>]*)>", p.text(n) or ""):
+                to, out = attribute(m[1], "Target") or "", attribute(m[1], "TargetMode") == "External"
+                steps: list[str] = []
+                for s in ([] if to.startswith("/") else base.split("/")) + to.split("/"):
+                    steps = steps[:-1] if s == ".." else steps + ([s] if s not in ("", ".") else [])
+                yield n, to if out else "/".join(steps), out
+
+
 def package_relationships(df: DataFrame) -> DataFrame:
     """(doc_id, content) -> (doc_id, source, target, external): targets as paths in the package."""
     def one(doc_id, content):
-        p = Package(bytes(content))
-        for n in p.names:
-            if n.endswith(".rels"):
-                base = re.sub(r"_rels/[^/]*\Z", "", n)
-                for m in re.finditer(r"<Relationship\b([^>]*)>", p.text(n) or ""):
-                    to, out = attribute(m[1], "Target") or "", attribute(m[1], "TargetMode") == "External"
-                    steps: list[str] = []
-                    for s in ([] if to.startswith("/") else base.split("/")) + to.split("/"):
-                        steps = steps[:-1] if s == ".." else steps + ([s] if s not in ("", ".") else [])
-                    yield {"doc_id": doc_id, "source": n, "target": to if out else "/".join(steps), "external": out}
+        for source, target, out in _safely(lambda: {"r": list(_relationships(Package(bytes(content))))}).get("r", []):
+            yield {"doc_id": doc_id, "source": source, "target": target, "external": out}
 
     return _rows(df, ["doc_id", "content"], one, "doc_id long, source string, target string, external boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.functions.documents import tidy_line, units
-from docframe.limits import ZIP_ENTRIES, ZIP_ENTRY, ZIP_RATIO, ZIP_TOTAL
+from docframe.limits import ASSET_BYTES, ASSETS, ZIP_ENTRIES, ZIP_ENTRY, ZIP_RATIO, ZIP_TOTAL
 
 
 def _upto(key: list[str], *order: str) -> Window:
@@ -164,3 +164,28 @@ def text_sheet(rows: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
     t = rows.withColumn("fits", used <= budget)
     line = F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("fits", "pos", "line")), lambda x: x["fits"])), lambda x: x["line"]), "\n")
     return t.groupBy(key, "sheet").agg(line.alias("body"), F.count_if("fits").alias("kept"), F.count("*").alias("total")).select(key, F.concat(F.lit("## "), F.col("sheet"), F.when(F.col("kept") > 0, F.concat(F.lit("\n"), F.col("body"))).otherwise("")).alias("text"), "kept", "total")
+
+
+def asset_rules(assets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ok): at most so many assets and bytes in all, plain names, PNG or JPEG."""
+    plain = F.col("name").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+    return assets.groupBy(key).agg(((F.count("*") <= ASSETS) & F.min(plain) & F.min(F.col("mime").isin("image/png", "image/jpeg")) & (F.sum("bytes") <= ASSET_BYTES)).alias("ok"))
+
+
+def figure_assets(refs: DataFrame, assets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, name, bytes, error) of every reference."""
+    return refs.join(assets, [key, "name"], "left").select(key, "pos", "name", "bytes", F.when(F.col("bytes").isNull(), F.concat(F.lit("no asset is named "), "name")).alias("error"))
+
+
+def numbered_parts(parts: DataFrame, pattern: str, key: str = "doc_id") -> DataFrame:
+    """(key, name, ord) of parts that fit, by the number that the pattern captures."""
+    t = parts.where(F.col("name").rlike(pattern)).withColumn("_n", F.regexp_extract("name", pattern, 1).cast("long"))
+    return t.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("_n", "name"))).drop("_n")
+
+
+def inspection_budget(cells: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
+    """(key, sheet_idx, pos, line): headings (pos -1) and lines of (key, sheet, pos, line), sheets by name, up to a budget."""
+    t = cells.withColumn("sheet_idx", F.dense_rank().over(Window.partitionBy(key).orderBy("sheet")))
+    heads = t.select(key, "sheet_idx", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("## "), "sheet").alias("line"), (units(F.col("sheet")) + 4 + F.when(F.col("sheet_idx") > 1, 1).otherwise(0)).alias("cost")).distinct()
+    whole = heads.unionByName(t.select(key, "sheet_idx", F.col("pos").cast("long").alias("pos"), "line", (units(F.col("line")) + 1).alias("cost")))
+    return whole.withColumn("used", F.sum("cost").over(_upto([key], "sheet_idx", "pos"))).where(F.col("used") <= budget).select(key, "sheet_idx", "pos", "line")

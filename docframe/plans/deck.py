@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import re
 
+from docframe.kernels.images import figure
 from docframe.kernels.markdown import plain
 from docframe.plans.recognise import force, recognise
 
 # A body slide's lines, a line's columns, an indent's columns, a table row's lines.
 BODY_LINES, COLUMNS, INDENT, ROW_LINES, CLOSING_LINES = 14, 45, 2, 1.5, 4
+FIGURE_LINES = 10
 WIDE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x1100, 0x115F), (0x2E80, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6))) + "]")
 CLOSING = re.compile(r"(감사합니다|thank you|thanks|q\s*&\s*a|질문)", re.I)
 
@@ -44,7 +46,7 @@ def pieces(blocks: list[dict]) -> list[dict]:
         elif b["kind"] == "code":
             out += [{"kind": "code", "text": x, "indent": 0, "cost": lines(x)} for x in b["text"].split("\n")]
         elif b["kind"] != "rule" and b.get("runs"):
-            out.append({"kind": "heading" if b["kind"] == "heading" else b["kind"], "text": plain(b["runs"]), "indent": 0, "cost": lines(plain(b["runs"]), 0, True)})
+            out.append({"kind": "heading" if b["kind"] == "heading" else b["kind"], "text": plain(b["runs"]), "indent": 0, "cost": FIGURE_LINES if figure(b) else lines(plain(b["runs"]), 0, True), "pos": b["pos"]})
     return out
 
 

@@ -237,3 +237,64 @@ def test_pdf():
     assert data.startswith(b"%PDF-1.7") and data.rstrip().endswith(b"%%EOF") and data.count(b"/Type /Page /Parent") > 2
     at = int(data.rsplit(b"startxref\n", 1)[1].split()[0])
     assert data[at : at + 4] == b"xref"
+
+
+def png(w, h):
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h) + b"\x08\x02\0\0\0" + b"\0" * 4
+
+
+def jpeg(w, h):
+    return b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0" + b"\0" * 9 + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, h, w, 3) + b"\0" * 9 + b"\xff\xd9"
+
+
+def test_images():
+    from docframe.kernels import images
+
+    assert images.size(png(640, 400)) == (640, 400) and images.size(jpeg(320, 200)) == (320, 200) and images.size(b"GIF89a") is None
+    assert images.fit((100, 50), (50, 50)) == (50, 25) and images.fit((10, 10), (50, 50)) == (10, 10)
+    b = parse("![cap](asset://pic) \n\ntext ![x](asset://pic)")
+    assert images.figure(b[0]) == ("pic", "cap") and images.figure(b[1]) is None
+    with pytest.raises(Refused):
+        images.figures(b, {})
+
+
+@pytest.mark.parametrize("form", ["docx", "pptx", "pdf"])
+def test_pictures_are_embedded_once(form):
+    blocks = parse("# T\n\n## A\n\n![cap](asset://pic)\n\n![again](asset://pic)\n\n![png](asset://two)")
+    data = WRITERS[form](blocks, "T", "minimal", {"pic": jpeg(640, 400), "two": png(30, 20)})
+    if form == "pdf":
+        assert data.count(b"/DCTDecode") == 1
+        return
+    names = [n for n, *_ in entries(data)]
+    assert sum("/media/" in n for n in names) == 2
+    p = Package(data)
+    from docframe.operators.kernels import _relationships
+
+    assert all(out or target in p.names for _, target, out in _relationships(p))
+    assert "cap" in reading.read(data, form)["text"]
+
+
+def test_contents_need_a_cover_and_three_entries():
+    from docframe.writers.documents import toc
+
+    assert toc(parse("# T\n\n## a\n\n## b\n\n# c")) == [(2, "a"), (2, "b"), (1, "c")]
+    assert toc(parse("# T\n\n## a\n\n## b")) == [] and toc(parse("p\n\n# T\n\n## a\n\n## b\n\n## c")) == []
+
+
+def test_asset_rules():
+    from docframe.operators.kernels import refused_assets
+
+    ok = {"a.png": ("image/png", 10)}
+    assert refused_assets(ok, "docx") is None and refused_assets(ok, "hwpx") and refused_assets({"a b": ("image/png", 1)}, "pdf")
+    assert refused_assets({"a": ("image/gif", 1)}, "pdf") and refused_assets({"a": ("image/png", 7 * 1024 * 1024)}, "pdf") and refused_assets({str(i): ("image/png", 1) for i in range(13)}, "pdf")
+
+
+def test_broken_relationships_are_reported(tmp_path):
+    data = WRITERS["docx"](parse("# T"), "T")
+    p = zipfile.ZipFile(io.BytesIO(data))
+    parts = {n: p.read(n) for n in p.namelist() if n != "word/styles.xml"}
+    from docframe.kernels.package import build as rebuild
+    from docframe.operators.kernels import _relationships
+
+    broken = Package(rebuild(parts))
+    assert [t for _, t, out in _relationships(broken) if not out and t not in broken.names] == ["word/styles.xml"]
