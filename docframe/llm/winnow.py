@@ -15,6 +15,8 @@ most WINDOW grams have one window.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def _below(bounds: list[int], x: Column) -> Column:
+    """How many of the ascending bounds are below x: a tree over chunks of them, then a count within one chunk.
+
+    The expression grows with the square root of their number, as does the work per row.
+    """
+    if not bounds:
+        return F.lit(0)
+    size = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2  # below len(chunks), which stands for all bounds being below x
+        return F.when(x <= F.lit(chunks[mid][-1]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    table = F.array(*[F.array(*[F.lit(int(v)).cast("long") for v in c]) for c in chunks], F.array().cast("array<long>"))
+    chunk = tree(0, len(chunks))
+    return F.least(F.lit(len(bounds)), chunk * size + F.size(F.filter(F.element_at(table, chunk + 1), lambda v: v < x))).cast("int")
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_chars, text, next_text, is_guest, bucket), each row with the text of the next id (after the last: of the first).
 
@@ -81,19 +104,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     got = base.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets), F.min("doc_id"), F.count("*"), F.count("doc_id")).first()
     bounds = sorted(set(got[0] or []))
-    if bounds:
-        table = F.array(*[F.lit(int(x)).cast("long") for x in bounds])
-        # binary search written out: a balanced tree of comparisons
-        def place(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") <= F.lit(int(bounds[mid])), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place(0, len(bounds)))
-        del table
-    else:
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_below(bounds, F.col("doc_id")))
     base = base.withColumn("bucket", bucket)
     # the least (id, text) of each range: at most one row a range, so a bounded table
     first = base.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).orderBy("bucket").collect()
@@ -102,8 +113,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     before = {first[i][0]: first[i - 1][0] for i in range(len(first))}  # the last range gets the first row of all
     ids = [r[1] for r in first if r[1] is not None]
     heads = base.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("s"))
-    to = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    guests = heads.select(F.col("s.doc_id").alias("doc_id"), F.col("s.text").alias("text"), F.element_at(to, F.col("bucket")).alias("bucket"), F.lit(True).alias("is_guest"))
+    to = spark.createDataFrame(list(before.items()), "bucket int, before int")
+    guests = heads.join(to, "bucket").select(F.col("s.doc_id").alias("doc_id"), F.col("s.text").alias("text"), F.col("before").alias("bucket"), F.lit(True).alias("is_guest"))
     rows = base.withColumn("is_guest", F.lit(False)).unionByName(guests).repartition("bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("is_guest"), F.col("doc_id").asc_nulls_first(), "text")
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", F.lead("text").over(order).alias("next_text"), "is_guest", "bucket")
