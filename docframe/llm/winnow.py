@@ -113,8 +113,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     before = {first[i][0]: first[i - 1][0] for i in range(len(first))}  # the last range gets the first row of all
     ids = [r[1] for r in first if r[1] is not None]
     heads = base.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("s"))
-    to = spark.createDataFrame(list(before.items()), "bucket int, before int")
-    guests = heads.join(to, "bucket").select(F.col("s.doc_id").alias("doc_id"), F.col("s.text").alias("text"), F.col("before").alias("bucket"), F.lit(True).alias("is_guest"))
+    to = F.array(*[F.lit(before.get(b)).cast("int") for b in range(-1, len(bounds) + 1)])
+    guests = heads.select(F.col("s.doc_id").alias("doc_id"), F.col("s.text").alias("text"), F.element_at(to, F.col("bucket") + 2).alias("bucket"), F.lit(True).alias("is_guest"))
     rows = base.withColumn("is_guest", F.lit(False)).unionByName(guests).repartition("bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("is_guest"), F.col("doc_id").asc_nulls_first(), "text")
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", F.lead("text").over(order).alias("next_text"), "is_guest", "bucket")
