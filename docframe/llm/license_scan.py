@@ -53,7 +53,8 @@ def canonical(text: Column) -> Column:
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
     """(digest, license_id) of known texts (license_id, text); the fixed notices where none are given."""
     if texts is None:
-        texts = spark.createDataFrame(list(NOTICES), "license_id string, text string")
+        rows = F.array(*[F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in NOTICES])
+        texts = spark.range(1).select(F.explode(rows).alias("n")).select("n.license_id", "n.text")
     return texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id", (canonical(F.col("text")) != "").alias("ok")).where("ok").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
