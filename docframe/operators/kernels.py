@@ -13,7 +13,7 @@ from docframe.functions.documents import detect
 from docframe.kernels import markdown, reading, sheets
 from docframe.kernels.detecting import zip_format
 from docframe.kernels.errors import Refused
-from docframe.kernels.package import Package
+from docframe.kernels.package import Package, build
 from docframe.kernels.xmlscan import attribute
 from docframe.limits import ASSET_BYTES, ASSETS, MARKDOWN_CHARS, OUTPUT_BYTES, TEXT_CHARS
 from docframe.plans.deck import plan
@@ -21,7 +21,7 @@ from docframe.plans.recognise import recognise
 from docframe.ship import ship
 from docframe.writers import xlsx as xlsx_writer
 from docframe.writers.common import PROFILES
-from docframe.writers.documents import WRITERS
+from docframe.writers.documents import WRITERS, wrap
 
 _ERROR = "struct<code:string,message:string,field:string>"
 
@@ -216,6 +216,19 @@ def package_parts(df: DataFrame) -> DataFrame:
     return _rows(df, ["doc_id", "content"], lambda i, c: ({"doc_id": i, "ord": k, "name": n, "compressed_size": p, "original_size": o} for k, (n, p, o) in enumerate(_safely(lambda: {"e": entries(bytes(c))}).get("e", []))), "doc_id long, ord int, name string, compressed_size long, original_size long")
 
 
+def build_packages(df: DataFrame) -> DataFrame:
+    """(doc_id, parts array<struct<name, body>>) -> (doc_id, content): parts in order; ``mimetype`` is stored, not packed."""
+    def one(doc_id, parts):
+        yield {"doc_id": doc_id, "content": build({p["name"]: p["body"] for p in parts or []}, stored=("mimetype",))}
+
+    return _rows(df, ["doc_id", "parts"], one, "doc_id long, content binary")
+
+
+def wrapped_lines(df: DataFrame, room: int) -> DataFrame:
+    """(doc_id, text) -> (doc_id, line_no, line): greedy lines of at most ``room`` characters; longer words are cut."""
+    return _rows(df, ["doc_id", "text"], lambda i, t: ({"doc_id": i, "line_no": n, "line": x} for n, x in enumerate(wrap(t or "", room), 1)), "doc_id long, line_no int, line string")
+
+
 def _relationships(p: Package) -> Iterator[tuple[str, str, bool]]:
     """(part of the relationship, target as a path in the package, external)."""
     for n in p.names:

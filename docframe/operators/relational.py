@@ -189,3 +189,9 @@ def inspection_budget(cells: DataFrame, budget: int, key: str = "doc_id") -> Dat
     heads = t.select(key, "sheet_idx", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("## "), "sheet").alias("line"), (units(F.col("sheet")) + 4 + F.when(F.col("sheet_idx") > 1, 1).otherwise(0)).alias("cost")).distinct()
     whole = heads.unionByName(t.select(key, "sheet_idx", F.col("pos").cast("long").alias("pos"), "line", (units(F.col("line")) + 1).alias("cost")))
     return whole.withColumn("used", F.sum("cost").over(_upto([key], "sheet_idx", "pos"))).where(F.col("used") <= budget).select(key, "sheet_idx", "pos", "line")
+
+
+def size_guard(workbooks: DataFrame, rows: int, cells: int, key: str = "doc_id") -> DataFrame:
+    """(key, error) of (key, sheet, row, cells): more rows in a sheet, or cells in a workbook, than allowed."""
+    sheets = workbooks.groupBy(key, "sheet").agg(F.count("*").alias("n"), F.sum("cells").alias("c"))
+    return sheets.groupBy(key).agg(F.when(F.max("n") > rows, "rows").when(F.sum("c") > cells, "cells").alias("error"))

@@ -547,6 +547,51 @@ def deck_counts(spark, sf_dir):
     return slides.join(bold, "doc_id")
 
 
+@_query("""
+select r_regionkey::bigint as doc_id, 'odf' as format, '## ' || r_name || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) order by n_nationkey) as text from nation join region on n_regionkey = r_regionkey group by 1, r_name""")
+def odf_read(spark, sf_dir):
+    """OpenDocument sheets put together from rows, and read."""
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cell = lambda c: F.concat(F.lit("<table:table-cell><text:p>"), fn.escape_xml(c.cast("string")), F.lit("</text:p></table:table-cell>"))
+    row = F.concat(F.lit("<table:table-row>"), cell(F.col("n_nationkey")), cell(F.col("n_name")), F.lit("</table:table-row>"))
+    g = n.groupBy(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("x")))), lambda r: r["x"]), "").alias("rows"))
+    body = F.concat(F.lit("<office:document-content><table:table table:name=\""), "r_name", F.lit("\">"), "rows", F.lit("</table:table></office:document-content>"))
+    part = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("body"))
+    made = kernels.build_packages(g.select("doc_id", F.array(part("mimetype", F.lit("application/vnd.oasis.opendocument.spreadsheet")), part("content.xml", body)).alias("parts")))
+    return kernels.read_documents(made.withColumn("filename", F.lit("a.ods"))).select("doc_id", "format", "text")
+
+
+@_query("""
+with r as (select n_nationkey::bigint as doc_id, n_name, r_name from nation join region on n_regionkey = r_regionkey)
+select doc_id, 0 as pos, 'Nation ' as text, false as bold, false as code, null::varchar as href from r union all select doc_id, 1, n_name, true, false, null from r
+union all select doc_id, 2, ' of ', false, false, null from r union all select doc_id, 3, r_name, false, true, null from r union all select doc_id, 4, ' at ', false, false, null from r union all select doc_id, 5, 'home_page', false, false, 'http://x/' || doc_id from r""")
+def md_inline(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat(F.lit("Nation **"), "n_name", F.lit("** of `"), "r_name", F.lit("` at [home_page](http://x/"), F.col("n_nationkey").cast("string"), F.lit(")"))
+    runs = kernels.parse_markdown(n.select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("markdown")))
+    return runs.select("doc_id", F.posexplode("runs").alias("pos", "r")).select("doc_id", "pos", "r.text", "r.bold", "r.code", "r.href")
+
+
+@_query("select doc_id, left(text, 200) as clean from documents")
+def xml_controls(spark, sf_dir):
+    """Characters that XML can't hold are taken out."""
+    bad = F.concat(F.substring("text", 1, 100), F.lit("\x01\x0b\x1f"), F.expr("substring(text, 101, 100)"), F.lit("\x08"))
+    return _t(spark, sf_dir, "documents").select("doc_id", fn.xml_text(bad).alias("clean"))
+
+
+@_query("""
+with s as (select o_custkey as doc_id, o_orderstatus as sheet, count(*) as n, sum(o_orderkey % 5)::bigint as c from orders group by 1, 2)
+select doc_id, case when max(n) > 6 then 'rows' when sum(c) > 20 then 'cells' end as error from s group by 1""")
+def size_guard(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return rel.size_guard(o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("sheet"), F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 5).alias("cells")), 6, 20)
+
+
+@_query()
+def wrapped_lines(spark, sf_dir):
+    return kernels.wrapped_lines(_t(spark, sf_dir, "documents"), 80)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return xlsx_roundtrip_nation(spark, sf_dir)

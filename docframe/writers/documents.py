@@ -218,7 +218,7 @@ def pptx(blocks: list[dict], title: str, profile: str = "executive", assets: dic
 # --- PDF ----------------------------------------------------------------------------------------
 
 
-def _wrap(text: str, room: int) -> list[str]:
+def wrap(text: str, room: int) -> list[str]:
     """Greedy lines of at most ``room`` characters; longer words are cut."""
     out, line = [], ""
     for word in text.split():
@@ -249,7 +249,7 @@ def pdf(blocks: list[dict], title: str, profile: str = "executive", assets: dict
         size = max(body_pt, head_pt - 3 * (b["level"] - 1)) if b["kind"] == "heading" else body_pt
         face = "F2" if b["kind"] == "heading" else "F3" if b["kind"] == "code" else "F1"
         texts = b["text"].split("\n") if b["kind"] == "code" else [("1. " if b["ordered"] else "- ") + plain(i["runs"]) for i in b["items"]] if b["kind"] == "list" else [" | ".join(map(plain, r)) for r in [b["header"], *b["rows"]]] if b["kind"] == "table" else [plain(b.get("runs") or [])]
-        rows += [(x, size, face) for t in texts for x in _wrap(t, int(470 / (size * 0.5)))] + [("", body_pt / 2, "F1")]
+        rows += [(x, size, face) for t in texts for x in wrap(t, int(470 / (size * 0.5)))] + [("", body_pt / 2, "F1")]
         if b["pos"] == 0:
             rows += [("  " * (n - 1) + t, body_pt, "F1") for n, t in toc(blocks)]
     pages, now, y = [], [], 780.0

@@ -116,3 +116,10 @@ def test_stream_and_batch_files(spark, tmp_path):
     q.awaitTermination(60)
     got = {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"hello\nworld", "## S\nx | 1"} == {r.text for r in kernels.read_documents(documents(spark, str(src))).collect()}
+
+
+def test_wrapping(spark):
+    text = "a bb ccc " + "x" * 25 + " dd " * 20
+    got = [r.line for r in kernels.wrapped_lines(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"), 10).where("doc_id = 1").orderBy("line_no").collect()]
+    assert "".join(got).replace(" ", "") == text.replace(" ", "") and all(0 < len(x) <= 10 for x in got)
+    assert all(len(a) + 1 + len(b.split()[0]) > 10 for a, b in zip(got, got[1:], strict=False))
