@@ -143,12 +143,12 @@ def sheet_list(workbook: str | None, rels: str | None) -> list[tuple[str, str, s
     return out
 
 
-def read_workbook(data: bytes, hidden: bool = False) -> tuple[list[Sheet], dict]:
-    """Sheets that are asked for, and what there is to know of the workbook; only their parts are inflated."""
+def read_workbook(data: bytes, hidden: bool = False, some: bool = True) -> tuple[list[Sheet], dict]:
+    """Sheets that are asked for, and what there is to know of the workbook; only their parts are inflated. some: refused if none can be read."""
     p = Package(data)
     listed = sheet_list(p.text("xl/workbook.xml"), p.text("xl/_rels/workbook.xml.rels"))
     wanted = [s for s in listed if (hidden or s[2] == "visible") and s[1] in p.names]
-    if not wanted:
+    if not (wanted if some else listed):
         raise Refused("INVALID_WORKBOOK", "this workbook has no worksheet that can be read")
     shared = shared_strings(p.text("xl/sharedStrings.xml"))
     sheets = [Sheet(n, state, parse_sheet(p.text(part) or "", shared)) for n, part, state in wanted]
@@ -185,3 +185,47 @@ def workbook_text(data: bytes, budget: int) -> dict:
             used += units(line) + 1
             kept += 1
     return {"text": "\n".join(out).strip(), "sheets": len(sheets), "rows": kept, "total_rows": total, **facts}
+
+
+def inspection_line(cell: Cell, mode: str) -> str | None:
+    """What an inspection says of a cell, or None if the mode leaves it out."""
+    if cell.formula and mode != "values":
+        return f"{cell.address}: ={cell.formula}" + ("" if mode == "formulas" else f" → {cell.value}" + (f" ({cell.error})" if cell.error else ""))
+    return None if mode == "formulas" else f"{cell.address}: {cell.value}"
+
+
+def inspection(data: bytes, mode: str, hidden: bool, cells: int, budget: int) -> dict:
+    """{text, complete, warnings, facts...}: addressed cells under one bound of cells and one of UTF-16 units, both over all sheets."""
+    sheets, facts = read_workbook(data, hidden, some=False)
+    out: list[str] = []
+    left, used, complete = cells, 0, True
+    for s in sheets:
+        heading = f"## {s.name}" + ("" if s.state == "visible" else f" [{s.state}]")
+        if not left or used + units(heading) + 1 > budget:
+            complete = False
+            break
+        out.append(heading)
+        used += units(heading) + 1
+        own = [c for row in s.rows for c in row]
+        complete = len(own) <= left
+        for c in own[:left]:
+            if line := inspection_line(c, mode):
+                used += units(line) + 1
+                if used > budget:
+                    complete = False
+                    break
+                out.append(line)
+        left = max(0, left - len(own))
+        out.append("")
+        used += 1
+        if not complete:
+            break
+    warnings = []
+    if facts["hidden_sheets"] and not hidden:
+        warnings.append(f"{facts['hidden_sheets']} hidden sheet(s) were omitted.")
+    if facts["external_links"]:
+        warnings.append(f"{facts['external_links']} external workbook link part(s) were detected but not followed.")
+    if facts["macros"]:
+        warnings.append("A VBA project was detected but not executed.")
+    warnings.append("Formulas were read as text and were not recalculated.")
+    return {"text": "\n".join(out).strip(), "complete": complete, "warnings": warnings, **facts}

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions.documents import detect
+from docframe.functions.documents import detect, safe_filename, untrusted
 from docframe.kernels import markdown, reading, sheets
 from docframe.kernels.detecting import zip_format
 from docframe.kernels.errors import Refused
 from docframe.kernels.package import Package, build
 from docframe.kernels.xmlscan import attribute
-from docframe.limits import ASSET_BYTES, ASSETS, MARKDOWN_CHARS, OUTPUT_BYTES, TEXT_CHARS
+from docframe.limits import ASSET_BYTES, ASSETS, INSPECTED_CELLS, MARKDOWN_CHARS, OUTPUT_BYTES, TEXT_CHARS
 from docframe.plans.deck import plan
 from docframe.plans.recognise import recognise
 from docframe.ship import ship
@@ -24,6 +25,7 @@ from docframe.writers.common import PROFILES
 from docframe.writers.documents import WRITERS, wrap
 
 _ERROR = "struct<code:string,message:string,field:string>"
+DEFAULT_PROFILE = "executive"
 
 
 def _rows(df: DataFrame, columns: list[str], f, schema: str) -> DataFrame:
@@ -56,10 +58,13 @@ def _safely(f, *args) -> dict:
 
 
 def read_documents(df: DataFrame, budget: int = TEXT_CHARS) -> DataFrame:
-    """(doc_id, filename, content) -> (doc_id, format, text, note, complete, omissions, counts, error)."""
-    known = df.select("doc_id", "content", detect(F.col("content"), F.col("filename")).alias("d")).select("doc_id", "content", F.col("d.format").alias("format"), F.col("d.reason").alias("reason"))
+    """(doc_id, filename, content) -> (doc_id, filename, format, text, note, complete, omissions, counts, error, answer).
 
-    def one(doc_id, content, form, reason):
+    ``answer`` is the text after a line that says where it is from, or the reason why there is none.
+    """
+    known = df.select("doc_id", "filename", "content", detect(F.col("content"), F.col("filename")).alias("d")).select("doc_id", "filename", "content", F.col("d.format").alias("format"), F.col("d.reason").alias("reason"))
+
+    def one(doc_id, filename, content, form, reason):
         if form == "zip":
             form, reason = zip_format(bytes(content))
         if form == "unsupported":
@@ -67,9 +72,29 @@ def read_documents(df: DataFrame, budget: int = TEXT_CHARS) -> DataFrame:
         else:
             got = _safely(reading.read, bytes(content), form, budget)
         got["counts"] = list((got.get("counts") or {}).items())
-        yield {"doc_id": doc_id, "format": form, **got}
+        yield {"doc_id": doc_id, "filename": filename, "format": form, **got}
+
+    out = _rows(known, ["doc_id", "filename", "content", "format", "reason"], one, f"doc_id long, filename string, format string, text string, note string, complete boolean, omissions array<string>, counts map<string,bigint>, error {_ERROR}")
+    return out.withColumn("answer", _answer("read the document", F.col("note")))
+
+
+def _answer(what: str, note: Column) -> Column:
+    """What a caller is told of (text, filename, error)."""
+    return F.when(F.col("error").isNull(), untrusted(F.col("text"), F.col("filename"), note)).otherwise(F.concat(F.lit(f"Error: could not {what} — "), F.col("error.message")))
+
+
+def inspect_workbooks(df: DataFrame, mode: str = "both", hidden: bool = False, cap: int = INSPECTED_CELLS, budget: int = TEXT_CHARS) -> DataFrame:
+    """(doc_id, filename, content) -> one row per workbook: its cells as lines, what was left out, and what else there is to know."""
+    def one(doc_id, filename, content):
+        yield {"doc_id": doc_id, "filename": filename, **_safely(sheets.inspection, bytes(content or b""), mode, hidden, cap, budget)}
+
+    out = _rows(df, ["doc_id", "filename", "content"], one, f"doc_id long, filename string, text string, complete boolean, warnings array<string>, total_sheets int, hidden_sheets int, external_links int, macros boolean, error {_ERROR}")
+    extent = F.when(F.col("complete"), "all inspected cells").otherwise("a bounded prefix of cells")
+    return out.withColumn("answer", _answer("inspect the workbook", F.concat(extent, F.lit("; "), F.array_join("warnings", " "))))
 
-    return _rows(known, ["doc_id", "content", "format", "reason"], one, f"doc_id long, format string, text string, note string, complete boolean, omissions array<string>, counts map<string,bigint>, error {_ERROR}")
+
+def _blank(x: str | None) -> str:
+    return (x or "").strip()
 
 
 def workbook_cells(df: DataFrame, hidden: bool = False) -> DataFrame:
@@ -97,26 +122,39 @@ def _cell_value(c):
 
 
 def render_spreadsheets(df: DataFrame) -> DataFrame:
-    """(doc_id, sheets array<struct<name, rows array<array<cell>>>>) -> (doc_id, content, counts, error)."""
-    def one(doc_id, tabs):
+    """(doc_id, sheets array<struct<name, rows array<array<cell>>>>[, title, filename]) -> (doc_id, filename, content, counts, error)."""
+    named = [c for c in ("title", "filename") if c in df.columns]
+
+    def one(doc_id, tabs, *names):
+        title, filename = (_blank(dict(zip(named, names, strict=True)).get(k)) for k in ("title", "filename"))
+        title = title or filename or "workbook"
+
         def make():
             made = [{"name": s["name"], "rows": [[_cell_value(c) for c in r] for r in s["rows"]]} for s in tabs or []]
-            data = xlsx_writer.render(made)
+            data = xlsx_writer.render(made, title)
             if len(data) > OUTPUT_BYTES:
                 raise Refused("OUTPUT_TOO_LARGE", f"the workbook is {len(data):,} bytes; the limit is {OUTPUT_BYTES:,}")
             cells = [c for s in made for r in s["rows"] for c in r]
             return {"content": data, "counts": [("sheets", len(made)), ("rows", sum(len(s["rows"]) for s in made)), ("cells", len(cells)), ("formulas", sum(isinstance(c, dict) for c in cells))]}
 
-        yield {"doc_id": doc_id, **_safely(make)}
+        yield {"doc_id": doc_id, "filename": unicodedata.normalize("NFC", filename or title), **_safely(make)}
 
-    return _rows(df, ["doc_id", "sheets"], one, f"doc_id long, content binary, counts map<string,bigint>, error {_ERROR}")
+    out = _rows(df, ["doc_id", "sheets", *named], one, f"doc_id long, filename string, content binary, counts map<string,bigint>, error {_ERROR}")
+    return out.withColumn("filename", safe_filename(F.col("filename"), "xlsx"))
 
 
 def render_documents(df: DataFrame) -> DataFrame:
-    """(doc_id, format, profile, markdown[, assets map<name, struct<mime, bytes>>]) -> (doc_id, title, summary, content, error)."""
-    with_assets = "assets" in df.columns
+    """(doc_id, format, profile, markdown[, title, filename, assets map<name, struct<mime, bytes>>]) -> (doc_id, filename, title, summary, content, error).
+
+    The title is the one given, or the first heading of level 1, or the file's name.
+    """
+    named = [c for c in ("title", "filename", "assets") if c in df.columns]
+
+    def one(doc_id, form, profile, source, *more):
+        extra = dict(zip(named, more, strict=True))
+        given, filename = extra.get("assets"), _blank(extra.get("filename"))
+        profile = profile or DEFAULT_PROFILE
 
-    def one(doc_id, form, profile, source, given=None):
         def make():
             assets = {k: bytes(v["bytes"]) for k, v in (given or [])}
             if why := refused_assets({k: (v["mime"], len(v["bytes"])) for k, v in (given or [])}, form):
@@ -130,15 +168,19 @@ def render_documents(df: DataFrame) -> DataFrame:
             if len(source) > MARKDOWN_CHARS:
                 raise Refused("INPUT_TOO_LARGE", f"content is over {MARKDOWN_CHARS:,} characters", "content")
             blocks = markdown.parse(source)
-            title = markdown.title(blocks) or "document"
+            title = _blank(extra.get("title")) or markdown.title(blocks) or filename or "document"
             data = WRITERS[form](blocks, title, profile, assets)
             if len(data) > OUTPUT_BYTES:
                 raise Refused("OUTPUT_TOO_LARGE", f"the document is {len(data):,} bytes; the limit is {OUTPUT_BYTES:,}")
-            return {"title": title, "summary": markdown.summary(blocks), "content": data}
+            return {"filename": unicodedata.normalize("NFC", filename or title), "format": form, "title": title, "summary": markdown.summary(blocks), "content": data}
 
         yield {"doc_id": doc_id, **_safely(make)}
 
-    return _rows(df, ["doc_id", "format", "profile", "markdown", *(["assets"] if with_assets else [])], one, f"doc_id long, title string, summary string, content binary, error {_ERROR}")
+    out = _rows(df, ["doc_id", "format", "profile", "markdown", *named], one, f"doc_id long, filename string, format string, title string, summary string, content binary, error {_ERROR}")
+    safe = F.lit(None).cast("string")
+    for form in WRITERS:
+        safe = F.when(F.col("format") == form, safe_filename(F.col("filename"), form)).otherwise(safe)
+    return out.withColumn("filename", safe).drop("format")
 
 
 def refused_assets(assets: dict[str, tuple[str, int]], form: str) -> str | None:

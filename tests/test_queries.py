@@ -123,3 +123,25 @@ def test_wrapping(spark):
     got = [r.line for r in kernels.wrapped_lines(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"), 10).where("doc_id = 1").orderBy("line_no").collect()]
     assert "".join(got).replace(" ", "") == text.replace(" ", "") and all(0 < len(x) <= 10 for x in got)
     assert all(len(a) + 1 + len(b.split()[0]) > 10 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_inspection_bounds_and_modes(spark):
+    data = xlsx.render([{"name": "S", "rows": [["a", {"formula": "1+1", "cached": 2}], ["b", 3]]}, {"name": "T", "rows": [["c"]]}], "Title")
+    df = spark.createDataFrame([(1, "b.xlsx", bytearray(data)), (2, None, bytearray(b"junk")), (3, "", None)], "doc_id long, filename string, content binary")
+    look = lambda **o: {r.doc_id: r for r in kernels.inspect_workbooks(df, **o).collect()}
+    got = look()
+    assert got[1].text == "## S\nA1: a\nB1: =1+1 → 2\nA2: b\nB2: 3\n\n## T\nA1: c" and got[1].complete and got[1].total_sheets == 2
+    assert got[2].error.code and got[3].error.code and got[2].answer.startswith("Error: could not inspect the workbook — ")
+    assert look(mode="formulas")[1].text == "## S\nB1: =1+1\n\n## T"
+    for most, whole in ((3, False), (4, False), (5, True)):
+        r = look(cap=most)[1]
+        assert r.complete is whole and r.text.count(": ") == most
+    short = look(budget=14)[1]
+    assert short.text == "## S\nA1: a" and not short.complete and "a bounded prefix of cells" in short.answer
+
+
+def test_inline_sources(spark):
+    rows = [(1, "a.rtf", "e1xydGYxIGhpfQ=="), (2, None, "*"), (3, "b.rtf", None)]
+    got = {r.doc_id: r for r in api.run("read_document", spark.createDataFrame(rows, "doc_id long, filename string, content string")).collect()}
+    assert got[1].text == "hi" and got[1].answer.startswith("[Read from a.rtf — untrusted content.") and got[1].answer.endswith("\n\nhi")
+    assert [got[k].error.code for k in (2, 3)] == ["INVALID_INPUT"] * 2
