@@ -20,8 +20,10 @@ of its local component), never all pairs.
 ``near_duplicates`` has fingerprints of 64 bits over three words and links at
 3 bits. That is close to equality: texts of similarity 0.8 differ in some 9 of
 64 bits. ``keep_one`` therefore takes five-word shingle sets and fingerprints
-of 256 bits, and finds pairs by sampled bits instead of blocks; shards, trees
-and links are the same.
+of 256 bits, and finds pairs by sampled bits instead of blocks; shards and
+trees are the same. Fingerprints only propose there: each shard gives a least
+spanning forest of its near pairs, and a proposed pair is a link if the whole
+shingle sets have a similarity of 0.8 or more.
 
 Defined results: texts without a word have fingerprint zero and are linked
 like any other; null texts count as empty; repeated rows are kept; a null id
@@ -115,6 +117,41 @@ class Forest:
                     break
                 self.root = r
 
+    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        self.link(a, b)
+
+
+class Pairs:
+    """Near pairs of numbered points, thinned to a least spanning forest whenever there are many."""
+
+    MOST = 1_000_000
+
+    def __init__(self, n: int):
+        self.n, self.held, self.size = n, [], 0
+
+    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        self.held.append((np.minimum(a, b), np.maximum(a, b), apart.astype(np.int16)))
+        self.size += len(a)
+        if self.size > self.MOST:
+            self.held = [self.forest()]
+            self.size = len(self.held[0][0])
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, apart) of a least spanning forest: every part takes its nearest pair to another part, until none is left."""
+        a, b, apart = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*self.held, strict=True) if self.held else ((), (), ())))
+        order = np.lexsort((b, a, apart))
+        a, b, apart = a[order], b[order], apart[order]
+        whole, kept, at = Forest(self.n), [], np.arange(len(a))
+        while len(at := at[whole.root[a[at]] != whole.root[b[at]]]):
+            best = np.full(self.n, len(a))
+            np.minimum.at(best, whole.root[a[at]], at)
+            np.minimum.at(best, whole.root[b[at]], at)
+            best = np.unique(best[best < len(a)])
+            kept.append(best)
+            whole.link(a[best], b[best])
+        kept = np.concatenate([np.zeros(0, np.int64), *kept])
+        return a[kept], b[kept], apart[kept]
+
 
 def _apart(x: np.ndarray, a, b) -> np.ndarray:
     """Differing bits of points a and b of x, which has one or several words a point."""
@@ -123,18 +160,19 @@ def _apart(x: np.ndarray, a, b) -> np.ndarray:
     return sum(np.bitwise_count(x[a, k] ^ x[b, k]).astype(np.int16) for k in range(x.shape[1]))
 
 
-def _compare(x: np.ndarray, i: np.ndarray, j: np.ndarray | None, most: int, forest: Forest) -> None:
-    """Link points i to points j (None: among themselves)."""
+def _compare(x: np.ndarray, i: np.ndarray, j: np.ndarray | None, most: int, forest: Forest | Pairs) -> None:
+    """Near pairs of points i and points j (None: among themselves)."""
     other = i if j is None else j
     if not len(i) or not len(other):
         return
     for a in range(0, len(i), 128):
         rows = i[a : a + 128]
-        p, q = np.nonzero(_apart(x, rows[:, None], other[None, :]) <= most)
-        forest.link(rows[p], other[q])
+        d = _apart(x, rows[:, None], other[None, :])
+        p, q = np.nonzero(d <= most if j is not None else (d <= most) & (rows[:, None] < other[None, :]))
+        forest.near(rows[p], other[q], d[p, q])
 
 
-def tree_links(x: np.ndarray, points: np.ndarray, most: int, forest: Forest) -> None:
+def tree_links(x: np.ndarray, points: np.ndarray, most: int, forest: Forest | Pairs) -> None:
     """All links within ``points`` of x, by a vantage-point tree walked as it is built."""
     todo = [points]
     while todo:
@@ -156,10 +194,9 @@ def tree_links(x: np.ndarray, points: np.ndarray, most: int, forest: Forest) ->
         todo += [near, far]
 
 
-def shard_links(key: np.ndarray, x: np.ndarray, most: int = BITS_APART) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (row, first row of its local component) of rows sorted by key; x: their fingerprints."""
+def _shards(key: np.ndarray, x: np.ndarray, most: int, sink: Forest | Pairs) -> None:
+    """All near pairs of rows of one key; rows are sorted by key, x holds their fingerprints."""
     n = len(x)
-    forest = Forest(n)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(cuts)
     small = np.repeat(size <= LEAF, size)
@@ -168,14 +205,30 @@ def shard_links(key: np.ndarray, x: np.ndarray, most: int = BITS_APART) -> tuple
         if not ok.any():
             break
         i = np.flatnonzero(ok)
-        i = i[_apart(x, i, i + s) <= most]
-        forest.link(i, i + s)
+        d = _apart(x, i, i + s)
+        i, d = i[d <= most], d[d <= most]
+        sink.near(i, i + s, d)
     for c in np.flatnonzero(size > LEAF):
-        tree_links(x, np.arange(cuts[c], cuts[c + 1]), most, forest)
-    linked = np.flatnonzero(forest.root != np.arange(n))
+        tree_links(x, np.arange(cuts[c], cuts[c + 1]), most, sink)
+
+
+def shard_links(key: np.ndarray, x: np.ndarray, most: int = BITS_APART) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (row, first row of its local component)."""
+    forest = Forest(len(x))
+    _shards(key, x, most, forest)
+    linked = np.flatnonzero(forest.root != np.arange(len(x)))
     return linked, forest.root[linked]
 
 
+def shard_pairs(key: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a least spanning forest, the row with fewer of them first."""
+    pairs = Pairs(len(x))
+    _shards(key, x, most, pairs)
+    a, b, _ = pairs.forest()
+    degree = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
+    return np.where(degree[a] > degree[b], b, a), np.where(degree[a] > degree[b], a, b)
+
+
 def near_links(distinct: DataFrame, most: int = BITS_APART, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints that span all pairs at most 3 bits apart."""
     if most > 3:
@@ -186,7 +239,7 @@ def near_links(distinct: DataFrame, most: int = BITS_APART, shard_rows: int = SH
     return _meet_in_shards(rows, ["fp"], most, shard_rows)
 
 
-def _meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int) -> DataFrame:
+def _meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int, links_of=shard_links) -> DataFrame:
     """(a, b): links between rows (node, shard, words of the fingerprint) of one shard, spanning all pairs at most ``most`` bits apart."""
     # a hot shard has over shard_rows of the rows, so this table is at most rows / shard_rows long
     hot = rows.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("long").alias("groups"))
@@ -206,7 +259,7 @@ def _meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: in
             new = np.zeros(t.num_rows, np.int64)
             new[1:] = np.any([c[1:] != c[:-1] for c in col], 0)
             x = [t.column(k).to_numpy().view(np.uint64) for k in range(4, t.num_columns)]
-            a, b = shard_links(np.cumsum(new), x[0] if len(x) == 1 else np.stack(x, 1), most)
+            a, b = links_of(np.cumsum(new), x[0] if len(x) == 1 else np.stack(x, 1), most)
             node = t.column(3).to_numpy()
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
@@ -240,14 +293,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of long fingerprints: their bits, and the most that two texts linked by similarity 0.8 (Jaccard, sets of
-#: five-word shingles) may differ in: the mean at 0.8 is 38.5 bits, with a deviation of 5.7.
-LONG_BITS, LONG_APART = 256, 44
+#: Of long fingerprints: their bits, and the most that two texts of similarity 0.8 (Jaccard, sets of
+#: five-word shingles) are to differ in: the mean there is 38.5 bits, with a deviation of 5.7.
+LONG_BITS, LONG_APART = 256, 50
+SIMILAR = 0.8
 _LONG_SEEDS = np.random.default_rng(11).integers(1, 2**63, LONG_BITS // 64, dtype=np.uint64) | np.uint64(1)
 
 
-def long_fingerprints(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: (words of the fingerprint, 4 columns), a hash of the set of its shingles, and their number."""
+def shingle_sets(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of the distinct shingles of each text, both ascending; of fewer than n words, one of them all."""
     s, e, doc = t.spans(NOT_BLANK)
     (h,) = hash_spans(LOWER[t.buf], s, e)
     size = np.bincount(doc, minlength=t.n)
@@ -261,7 +315,23 @@ def long_fingerprints(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.
     g, of = g[order], of[order]
     fresh = np.ones(len(g), bool)
     fresh[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
-    g, of = g[fresh], of[fresh]
+    return g[fresh], of[fresh]
+
+
+def similarities(a: Texts, b: Texts) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of text k of a and text k of b; 1 for two texts without words."""
+    (ga, oa), (gb, ob) = shingle_sets(a), shingle_sets(b)
+    g, of = np.concatenate([ga, gb]), np.concatenate([oa, ob])
+    order = np.lexsort((g, of))
+    g, of = g[order], of[order]
+    both = np.bincount(of[1:][(g[1:] == g[:-1]) & (of[1:] == of[:-1])], minlength=a.n)
+    union = np.bincount(of, minlength=a.n) - both
+    return np.where(union > 0, both / np.maximum(1, union), 1.0)
+
+
+def long_fingerprints(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: (words of the fingerprint, 4 columns), a hash of the set of its shingles, and their number."""
+    g, of = shingle_sets(t, n)
     count = np.bincount(of, minlength=t.n)
     whole = np.zeros(t.n, np.uint64)
     np.add.at(whole, of, (g ^ g >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD))
@@ -284,6 +354,30 @@ def long_fingerprints(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.
     return fp, whole, count
 
 
+def similar_links(docs: DataFrame, proposed: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have a similarity of ``least`` or more.
+
+    Texts join the end with fewer pairs first, so rows grow only by texts of
+    their own; at the other end a hub's rows are as wide as their texts, and
+    are split by size.
+    """
+    u, v = F.least("a", "b"), F.greatest("a", "b")
+    ends = proposed.groupBy(u.alias("u"), v.alias("v")).agg(F.sum(F.when(F.col("a") == u, 1).otherwise(-1)).alias("s"))
+    ends = ends.select(F.when(F.col("s") >= 0, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(F.col("s") >= 0, F.col("v")).otherwise(F.col("u")).alias("b")).where("a <> b")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    one = cut(ends).join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("text_a"))
+    two = one.join(texts, F.col("b") == F.col("id")).select("a", "b", "text_a", F.col("text").alias("text_b"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, t in slices(batch.column(2)):
+                other = next(slices(batch.column(3)[part], 1 << 62))[1]
+                ok = pa.array(similarities(t, other) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(k)[part].filter(ok) for k in range(2)], ["a", "b"])
+
+    return two.mapInArrow(check, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, missed: float = 0.005) -> DataFrame:
     """(doc_id, least): for every row with an id, the least id of its group of similar texts.
 
@@ -321,7 +415,7 @@ def similar_groups(docs: DataFrame, missed: float = 0.005) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key * 1024 + k), *[part.column(1 + j) for j in range(len(names))]], ["node", "shard", *names])
 
     dealt = sets.where("n > 0").select("node", *names).mapInArrow(deal, "node long, shard long, " + ", ".join(f"{x} long" for x in names))
-    linked = cut(components(_meet_in_shards(dealt, names, LONG_APART, SHARD_ROWS)))
+    linked = cut(components(similar_links(docs, _meet_in_shards(dealt, names, LONG_APART, SHARD_ROWS, shard_pairs))))
     least = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", *names, F.coalesce("root", "node").alias("least"))
     return rows.join(least, ["whole", "n", *names]).select("doc_id", "least")
 
