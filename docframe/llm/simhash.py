@@ -23,7 +23,8 @@ of its local component), never all pairs.
 of 256 bits, and finds pairs by sampled bits instead of blocks; shards and
 trees are the same. Fingerprints only propose there: each shard gives a least
 spanning forest of its near pairs, and a proposed pair is a link if the whole
-shingle sets have a similarity of 0.8 or more.
+shingle sets have a similarity of 0.8 or more. Where one is not, the near pairs
+it stood for are compared too (``confirmed``).
 
 Defined results: texts without a word have fingerprint zero and are linked
 like any other; null texts count as empty; repeated rows are kept; a null id
@@ -32,7 +33,8 @@ takes part in links but can't name a component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +155,31 @@ class Pairs:
         return a[kept], b[kept], apart[kept]
 
 
+class Nearest(Pairs):
+    """Near pairs between points of different components ``of``: those among the ``k`` nearest of one of their ends."""
+
+    def __init__(self, of: np.ndarray, k: int):
+        super().__init__(len(of))
+        self.of, self.k, self.more = of, k, np.zeros(len(of), bool)
+
+    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        ok = self.of[a] != self.of[b]
+        super().near(a[ok], b[ok], apart[ok])
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, apart); ``more`` marks points of which pairs were left out."""
+        a, b, apart = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*self.held, strict=True) if self.held else ((), (), ())))
+        order = np.lexsort((b, a, apart))
+        a, b, apart = a[order], b[order], apart[order]
+        end, at = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((at, end))
+        place = np.arange(len(end)) - np.searchsorted(end[order], end[order])
+        kept = np.zeros(len(a), bool)
+        kept[at[order[place < self.k]]] = True
+        self.more[a[~kept]] = True
+        return a[kept], b[kept], apart[kept]
+
+
 def _apart(x: np.ndarray, a, b) -> np.ndarray:
     """Differing bits of points a and b of x, which has one or several words a point."""
     if x.ndim == 1:
@@ -229,6 +256,15 @@ def shard_pairs(key: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray,
     return np.where(degree[a] > degree[b], b, a), np.where(degree[a] > degree[b], a, b)
 
 
+def open_pairs(key: np.ndarray, x: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of rows of different components (last column of x), ``k`` a row; a row paired with itself has more of them."""
+    pairs = Nearest(x[:, -1], k)
+    _shards(key, x[:, :-1], most, pairs)
+    a, b, _ = pairs.forest()
+    more = np.flatnonzero(pairs.more)
+    return np.concatenate([a, more]), np.concatenate([b, more])
+
+
 def near_links(distinct: DataFrame, most: int = BITS_APART, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints that span all pairs at most 3 bits apart."""
     if most > 3:
@@ -297,6 +333,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
 #: five-word shingles) are to differ in: the mean there is 38.5 bits, with a deviation of 5.7.
 LONG_BITS, LONG_APART = 256, 50
 SIMILAR = 0.8
+#: Pairs a row that are compared at first where a forest's were not similar.
+NEAREST = 16
 _LONG_SEEDS = np.random.default_rng(11).integers(1, 2**63, LONG_BITS // 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -354,8 +392,8 @@ def long_fingerprints(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.
     return fp, whole, count
 
 
-def similar_links(docs: DataFrame, proposed: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of ids whose texts have a similarity of ``least`` or more.
+def compared(docs: DataFrame, proposed: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(a, b, ok): the pairs of ids, and whether their texts have a similarity of ``least`` or more.
 
     Texts join the end with fewer pairs first, so rows grow only by texts of
     their own; at the other end a hub's rows are as wide as their texts, and
@@ -373,9 +411,38 @@ def similar_links(docs: DataFrame, proposed: DataFrame, least: float = SIMILAR)
             for part, t in slices(batch.column(2)):
                 other = next(slices(batch.column(3)[part], 1 << 62))[1]
                 ok = pa.array(similarities(t, other) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(k)[part].filter(ok) for k in range(2)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], ok], ["a", "b", "ok"])
+
+    return two.mapInArrow(check, "a long, b long, ok boolean")
 
-    return two.mapInArrow(check, "a long, b long")
+
+def confirmed(docs: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int], DataFrame], near: int = NEAREST) -> DataFrame:
+    """(node, root): components of the pairs of near rows (node, shard, ...) of one shard whose texts are similar.
+
+    ``meet(rows, 0)`` proposes a forest that spans the near pairs of each shard.
+    A pair of it that is not similar may stand for others that are, so rows go
+    on if such a pair leaves their component: ``meet(rows, k)``, rows having
+    their component in ``root``, proposes for each row its k nearest of other
+    components. k grows until no near pair was left out. So in the end each near
+    pair was compared, or has both ends in one component.
+    """
+    done = cut(compared(docs, meet(dealt, 0)))
+    linked, failed = cut(components(done.where("ok"))), done.where("not ok")
+    while True:
+        pairs = failed.join(linked.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(linked.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        pairs = pairs.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        going = cut(pairs.select("ra").union(pairs.select("rb")).distinct())
+        if not going.limit(1).count():
+            return linked
+        of = dealt.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        proposed = cut(meet(of.join(going.withColumnRenamed("ra", "root"), "root", "left_semi"), near))
+        seen = failed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
+        done = cut(compared(docs, fresh))
+        linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(done.where("ok").select("a", "b"))))
+        if not proposed.where("a = b").limit(1).count():
+            return linked
+        failed, near = failed.union(done.where("not ok")), near * 16
 
 
 def similar_groups(docs: DataFrame, missed: float = 0.005) -> DataFrame:
@@ -415,7 +482,11 @@ def similar_groups(docs: DataFrame, missed: float = 0.005) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key * 1024 + k), *[part.column(1 + j) for j in range(len(names))]], ["node", "shard", *names])
 
     dealt = sets.where("n > 0").select("node", *names).mapInArrow(deal, "node long, shard long, " + ", ".join(f"{x} long" for x in names))
-    linked = cut(components(similar_links(docs, _meet_in_shards(dealt, names, LONG_APART, SHARD_ROWS, shard_pairs))))
+
+    def meet(rows: DataFrame, k: int) -> DataFrame:
+        return _meet_in_shards(rows, [*names, "root"] if k else names, LONG_APART, SHARD_ROWS, partial(open_pairs, k=k) if k else shard_pairs)
+
+    linked = confirmed(docs, dealt, meet)
     least = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", *names, F.coalesce("root", "node").alias("least"))
     return rows.join(least, ["whole", "n", *names]).select("doc_id", "least")
 
