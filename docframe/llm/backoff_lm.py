@@ -13,13 +13,12 @@ words, as for the base score. Probabilities: absolute discounting at each
 order; what is left over at the root goes in part to the class of other words,
 in part evenly to all classes, so the whole sums to 1.
 
-All counts cover all training texts. States exist for words with at least
-1/10,000 of all tokens, and pair and triple arcs for those with at least
-1/500,000 of them, so the automaton has a fixed bound (10,000 words, 500,000
-arcs an order) and can be sent to all workers at any corpus size. The table of
-word counts (by 64-bit hash) has no such bound and is never sent whole:
-documents are dealt into shards of bounded size, a shard asks for the words it
-holds, and gets those rows.
+All counts cover all training texts. Every word has a state; every pair and
+triple that occurs at least twice has an arc, at any corpus size. Counts of
+words, pairs and triples, and what their arcs take, are one table by 64-bit
+hash that is never sent whole: documents are dealt into shards of bounded size,
+a shard asks for the words, pairs and triples it holds, and gets those rows. A
+slice of texts then runs on an automaton of just these.
 
 Defined results: null and empty texts are one end token; rows with a null id
 are scored, not learned from; repeated rows count and are scored each; with no
@@ -29,7 +28,7 @@ training text N and V are 0 and every token has probability 1.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +40,14 @@ from docframe.llm.textkit import LOWER, NOT_BLANK, Texts, hash_spans, slices
 from docframe.ship import ship
 
 DISCOUNT = 0.75
-STATE_SHARE, ARC_SHARE = 1e-4, 2e-6
+#: Pairs and triples with an arc occur at least so often.
+LEAST = 2
 #: Share of the root's leftover weight that goes to the class of unseen words.
 UNSEEN = 0.5
 SHARD_BYTES = 8 << 20
+#: Hashes that stand for the start and the end of a text.
+START, END = -6148914691236517205, 3689348814741910323
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 _TYPE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -56,7 +59,7 @@ def words_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Automaton:
-    """Symbols 1..F are the frequent words (by ascending hash), F+1 the end, 0 any other, F+2 the start of a text."""
+    """Symbols 1..F are the known words (by ascending hash), F+1 the end, 0 any other, F+2 the start of a text."""
 
     hashes: np.ndarray
     word_count: np.ndarray  # of symbols 0..F+2 as contexts
@@ -114,12 +117,12 @@ class Automaton:
                 j = np.minimum(np.searchsorted(self.triples, arc), len(self.triples) - 1)
                 got = here & (self.triples[j] == arc) & (sym > 0)
                 p[got] += (np.maximum(self.triple_count[j] - DISCOUNT, 0) / self.pair_count[i])[got]
-                weight = np.where(here, self.pair_left[i], weight)
+            weight = np.where(here, self.pair_left[i], weight)
             arc = prev * b + sym
             i = np.minimum(np.searchsorted(self.pairs, arc), len(self.pairs) - 1)
             got = (self.pairs[i] == arc) & (prev > 0) & (sym > 0)
             p[got] += (weight * np.maximum(self.pair_count[i] - DISCOUNT, 0) / np.maximum(1, self.word_count[prev]))[got]
-            weight = weight * np.where(prev > 0, self.word_left[prev], 1.0)
+        weight = weight * np.where(prev > 0, self.word_left[prev], 1.0)
         p[open_] += weight * root
         return np.log10(np.maximum(p, 1e-300))
 
@@ -157,45 +160,54 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["h", "c"])
 
 
+def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per position of a stream of word hashes with ends: the hash before it, of the pair, of the triple (where no text begins)."""
+    mix = lambda x, y: ((x ^ x >> np.uint64(29)) * _MULT + y) * _MULT ^ y >> np.uint64(31)
+    prev = np.where(first, START, np.concatenate([[START], h[:-1]])) if len(h) else h
+    pair = mix(prev.view(np.uint64) + np.uint64(2), h.view(np.uint64))
+    triple = np.zeros_like(pair)
+    triple[1:] = mix(pair[:-1] + np.uint64(3), h[1:].view(np.uint64))
+    return prev, pair.view(np.int64), triple.view(np.int64)
+
+
 @dataclass
 class BackoffModel:
-    words: DataFrame  # (h, c): never collected
-    automaton: Automaton
+    """``table`` (key, c, held), never collected: how often a word, pair or triple occurs, and the counts less discount of the arcs it has."""
+
+    table: DataFrame
+    n: int
+    v: int
+    ends: int
+
+    def automaton(self) -> Automaton:
+        """The root alone."""
+        return Automaton(np.zeros(0, np.int64), np.array([0.0, 0.0, self.ends]), n=self.n, v=self.v, end_count=self.ends)
 
 
 def train(docs: DataFrame, learn: Column) -> BackoffModel:
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     texts = docs.where(learn).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = cut(texts.mapInArrow(_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = texts.count()
-    n, v = total + ends, distinct + (ends > 0)
-    often = sorted((r[0], r[1]) for r in words.where(F.col("c") >= max(2, n * STATE_SHARE)).select("h", "c").collect())
-    a = Automaton(np.array([h for h, _ in often], np.int64), np.array([0, *[c for _, c in often], 0, ends], float), n=n, v=v, end_count=ends)
-    shared = spark.sparkContext.broadcast(a)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        b = m.base
         for batch in batches:
             for _, t in slices(batch.column(0), 6 << 20):
                 _, _, doc, h = words_of(t)
-                sym, first, _ = stream(m.symbols(h), doc, t.n, m.base - 2)
-                prev = np.where(first, b - 1, np.concatenate([[b - 1], sym[:-1]]))
-                prev2 = np.zeros(len(sym), np.int64)
-                prev2[1:] = np.where(first[1:], 0, prev[:-1])
-                two = (prev > 0) & (sym > 0)
-                for k, key in ((2, (prev * b + sym)[two]), (3, ((prev2 * b + prev) * b + sym)[two & (prev2 > 0)])):
-                    key, c = np.unique(key, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(c)], ["k", "g", "n"])
-
-    arcs = texts.mapInArrow(runs, "k int, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, n * ARC_SHARE))
-    got = np.array(sorted(map(tuple, arcs.collect())), np.int64).reshape(-1, 3)
-    two, three = got[got[:, 0] == 2], got[got[:, 0] == 3]
-    a.pairs, a.pair_count = two[:, 1], two[:, 2].astype(float)
-    three = three[np.isin(three[:, 1] // a.base, a.pairs)]
-    a.triples, a.triple_count = three[:, 1], three[:, 2].astype(float)
-    return BackoffModel(words, a.finish())
+                h, first, _ = stream(h, doc, t.n, END)
+                prev, pair, triple = grams(h, first)
+                inner = np.flatnonzero(~first)
+                for key, ctx in ((pair, prev), (triple[inner], pair[inner - 1])):
+                    key, at, c = np.unique(key, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx[at]), pa.array(c)], ["key", "ctx", "c"])
+
+    arcs = cut(texts.mapInArrow(runs, "key long, ctx long, c long").groupBy("key", "ctx").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST))
+    held = arcs.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("held"))
+    start = docs.sparkSession.range(1).select(F.lit(START).cast("long").alias("key"), F.lit(ends).cast("long").alias("c"))
+    counts = words.select(F.col("h").alias("key"), "c").union(arcs.select("key", "c")).union(start)
+    table = counts.join(held, F.col("key") == F.col("ctx"), "left").select("key", "c", F.coalesce("held", F.lit(0.0)).alias("held"))
+    return BackoffModel(cut(table), total + ends, distinct + (ends > 0), ends)
 
 
 def stream(sym: np.ndarray, doc: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,9 +222,8 @@ def stream(sym: np.ndarray, doc: np.ndarray, n: int, end: int) -> tuple[np.ndarr
 
 def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per input row: ``_TYPE``."""
-    spark = ship(docs.sparkSession)
-    a = model.automaton
-    shared = spark.sparkContext.broadcast(a)
+    ship(docs.sparkSession)
+    root_only = model.automaton()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
@@ -225,42 +236,63 @@ def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shar
             shard = b.column(3).to_numpy()
             for part, t in slices(b.column(1)):
                 _, _, doc, h = words_of(t)
-                of = shard[part][doc]
+                h, first, owner = stream(h, doc, t.n, END)
+                _, pair, triple = grams(h, first)
+                of = shard[part][owner]
                 for s in np.unique(of):
-                    held.setdefault(int(s), []).append(np.unique(h[of == s]))
+                    mine = of == s
+                    held.setdefault(int(s), []).append(np.unique(np.concatenate([[START], h[mine], pair[mine], triple[mine & ~first]])))
                 size += len(h)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from told(held)
                 held, size = {}, 0
         yield from told(held)
 
     def told(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for s, x in held.items():
-            h = np.unique(np.concatenate(x))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), s)), pa.array(h)], ["shard", "h"])
+            key = np.unique(np.concatenate(x))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), s)), pa.array(key)], ["shard", "key"])
 
     # the same columns as below, so that the exchange of texts is made once and read twice
-    asked = rows.mapInArrow(ask, "shard long, h long")
-    answers = asked.join(model.words, "h").select("shard", "h", "c")
+    asked = rows.mapInArrow(ask, "shard long, key long")
+    answers = asked.join(model.table, "key").select("shard", "key", "c", "held")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = shared.value
-        key = right.column("h").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key, first_at = np.unique(key[order], return_index=True)
-        order = order[first_at]
-        c_of = right.column("c").to_numpy()[order].astype(float)
-        end_root = float(m.root(np.array([m.end_count]))[0])
-        below = np.log10(m.n + 0.5 * (m.v + 1))
+        key, at = np.unique(right.column("key").to_numpy(), return_index=True)
+        c_of, held_of = right.column("c").to_numpy()[at].astype(float), right.column("held").to_numpy()[at]
+
+        def find(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Count and what the arcs hold of each; 0 of those not in the table."""
+            if not len(key):
+                return np.zeros(len(x)), np.zeros(len(x))
+            i = np.minimum(np.searchsorted(key, x), len(key) - 1)
+            return np.where(key[i] == x, c_of[i], 0.0), np.where(key[i] == x, held_of[i], 0.0)
+
+        end_root = float(root_only.root(np.array([root_only.end_count]))[0])
+        below = np.log10(root_only.n + 0.5 * (root_only.v + 1))
         outs = []
         for part, t in slices(left.column("text"), 4 << 20):
             _, _, doc, h = words_of(t)
             uniq, inv = np.unique(h, return_inverse=True)
-            c = np.zeros(len(uniq))
-            if len(key):
-                i = np.minimum(np.searchsorted(key, uniq), len(key) - 1)
-                c = np.where(key[i] == uniq, c_of[i], 0)
-            sym, first, owner = stream(m.symbols(h), doc, t.n, m.base - 2)
+            c, held = find(uniq)
+            known = c > 0
+            m = replace(root_only, hashes=uniq[known], word_count=np.array([0, *c[known], 0, root_only.end_count], float))
+            b = m.base
+            sym, first, owner = stream(m.symbols(h), doc, t.n, b - 2)
+            _, pair, triple = grams(stream(h, doc, t.n, END)[0], first)
+            prev = np.where(first, b - 1, np.concatenate([[b - 1], sym[:-1]]))
+            m.word_left = 1 - np.array([0, *held[known], 0, find(np.array([START]))[1][0]]) / np.maximum(1, m.word_count)
+            code = prev * b + sym
+            two = np.flatnonzero((prev > 0) & (sym > 0))
+            m.pairs, at = np.unique(code[two], return_index=True)
+            m.pair_count, taken = find(pair[two[at]])
+            m.pair_left = 1 - taken / np.maximum(1, m.pair_count)
+            m.pairs, m.pair_left, m.pair_count = (x[m.pair_count > 0] for x in (m.pairs, m.pair_left, m.pair_count))
+            three = two[~first[two]]
+            three = three[prev[three - 1] > 0]
+            m.triples, at = np.unique(code[three - 1] * b + sym[three], return_index=True)
+            m.triple_count = find(triple[three[at]])[0]
+            m.triples, m.triple_count = m.triples[m.triple_count > 0], m.triple_count[m.triple_count > 0]
             ends_at = np.cumsum(np.bincount(doc, minlength=t.n))
             root = np.insert(m.root(c)[inv], ends_at, end_root)
             count = np.insert(c[inv], ends_at, m.end_count)
