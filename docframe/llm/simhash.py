@@ -19,12 +19,11 @@ of its local component), never all pairs.
 
 ``near_duplicates`` has fingerprints of 64 bits over three words and links at
 3 bits. That is close to equality: texts of similarity 0.8 differ in some 9 of
-64 bits. ``keep_one`` therefore takes five-word shingle sets and fingerprints
-of 256 bits, and finds pairs by sampled bits instead of blocks; shards and
-trees are the same. Fingerprints only propose there: each shard gives a least
-spanning forest of its near pairs, and a proposed pair is a link if the whole
-shingle sets have a similarity of 0.8 or more. Where one is not, the near pairs
-it stood for are compared too (``confirmed``).
+64 bits. ``keep_one`` therefore takes five-word shingle sets and finds pairs by
+an exact prefix filter: shards are shingles that any two sets of similarity 0.8
+must share. Sizes and 256 parity bits rule out pairs that can't be similar; the
+rest are compared by whole shingle sets, first those that span each shard, and
+where one of them is not similar, those it stood for (``confirmed``).
 
 Defined results: texts without a word have fingerprint zero and are linked
 like any other; null texts count as empty; repeated rows are kept; a null id
@@ -138,12 +137,12 @@ class Pairs:
             self.held = [self.forest()]
             self.size = len(self.held[0][0])
 
-    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, apart) of a least spanning forest: every part takes its nearest pair to another part, until none is left."""
+    def forest(self, whole: Forest | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, apart) of a least spanning forest (of what ``whole`` has not joined yet): every part takes its nearest pair to another part, until none is left."""
         a, b, apart = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*self.held, strict=True) if self.held else ((), (), ())))
         order = np.lexsort((b, a, apart))
         a, b, apart = a[order], b[order], apart[order]
-        whole, kept, at = Forest(self.n), [], np.arange(len(a))
+        whole, kept, at = whole or Forest(self.n), [], np.arange(len(a))
         while len(at := at[whole.root[a[at]] != whole.root[b[at]]]):
             best = np.full(self.n, len(a))
             np.minimum.at(best, whole.root[a[at]], at)
@@ -155,6 +154,20 @@ class Pairs:
         return a[kept], b[kept], apart[kept]
 
 
+class Spanning(Pairs):
+    """Pairs that span all near ones; those whose ends are joined already are dropped as they come."""
+
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.whole, self.kept = Forest(n), []
+
+    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        new = self.whole.root[a] != self.whole.root[b]
+        if new.any():
+            self.held = [(a[new], b[new], apart[new].astype(np.int16))]
+            self.kept.append(self.forest(self.whole))
+
+
 class Nearest(Pairs):
     """Near pairs between points of different components ``of``: those among the ``k`` nearest of one of their ends."""
 
@@ -256,13 +269,33 @@ def shard_pairs(key: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray,
     return np.where(degree[a] > degree[b], b, a), np.where(degree[a] > degree[b], a, b)
 
 
-def open_pairs(key: np.ndarray, x: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs of rows of different components (last column of x), ``k`` a row; a row paired with itself has more of them."""
-    pairs = Nearest(x[:, -1], k)
-    _shards(key, x[:, :-1], most, pairs)
-    a, b, _ = pairs.forest()
-    more = np.flatnonzero(pairs.more)
-    return np.concatenate([a, more]), np.concatenate([b, more])
+class Sized:
+    """Hands on the pairs that sizes and differing bits of their sets leave a chance of similarity 0.8: exact, see ``parities``."""
+
+    def __init__(self, sink: Pairs, n: np.ndarray):
+        self.sink, self.n = sink, n
+
+    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        na, nb = self.n[a], self.n[b]
+        ok = (apart.astype(np.int64) * 9 <= na + nb) & (np.maximum(na, nb) * 4 <= np.minimum(na, nb) * 5)
+        self.sink.near(a[ok], b[ok], apart[ok])
+
+
+def set_pairs(key: np.ndarray, x: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets (parities, size, component if k) that may be similar, the row with fewer of them first.
+
+    k = 0: pairs that span them all. Otherwise pairs of different components, the
+    ``k`` nearest of each row; a row paired with itself has more of them.
+    """
+    words = LONG_BITS // 64
+    n = x[:, words].astype(np.int64)
+    pairs = Nearest(x[:, words + 1], k) if k else Spanning(len(x))
+    _shards(key, x[:, :words], min(LONG_BITS, int(n.max(initial=0)) * 2 // 9), Sized(pairs, n))
+    a, b, _ = pairs.forest() if k else tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*pairs.kept, strict=True) if pairs.kept else ((), (), ())))
+    degree = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
+    swap = degree[a] > degree[b]
+    more = np.flatnonzero(pairs.more) if k else np.zeros(0, np.int64)
+    return np.concatenate([np.where(swap, b, a), more]), np.concatenate([np.where(swap, a, b), more])
 
 
 def near_links(distinct: DataFrame, most: int = BITS_APART, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -329,13 +362,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of long fingerprints: their bits, and the most that two texts of similarity 0.8 (Jaccard, sets of
-#: five-word shingles) are to differ in: the mean there is 38.5 bits, with a deviation of 5.7.
-LONG_BITS, LONG_APART = 256, 50
+#: Bits of the parities of a set.
+LONG_BITS = 256
 SIMILAR = 0.8
 #: Pairs a row that are compared at first where a forest's were not similar.
 NEAREST = 16
-_LONG_SEEDS = np.random.default_rng(11).integers(1, 2**63, LONG_BITS // 64, dtype=np.uint64) | np.uint64(1)
+#: The order of shingles looks at so many texts, and knows so many shingles as common.
+ORDER_TEXTS, ORDER_SHINGLES = 5000, 200_000
 
 
 def shingle_sets(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -367,29 +400,39 @@ def similarities(a: Texts, b: Texts) -> np.ndarray:
     return np.where(union > 0, both / np.maximum(1, union), 1.0)
 
 
-def long_fingerprints(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: (words of the fingerprint, 4 columns), a hash of the set of its shingles, and their number."""
-    g, of = shingle_sets(t, n)
-    count = np.bincount(of, minlength=t.n)
-    whole = np.zeros(t.n, np.uint64)
-    np.add.at(whole, of, (g ^ g >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD))
-    fp = np.zeros((t.n, len(_LONG_SEEDS)), np.uint64)
-    cuts = np.searchsorted(of, np.arange(0, t.n + 512, 512))
-    for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        lo, hi = c * 512, min(t.n, c * 512 + 512)
-        if lo >= t.n:
-            break
-        for w, seed in enumerate(_LONG_SEEDS):
-            x = g[a:b] * seed
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            lanes = x.view(np.uint8).reshape(-1, 8)
-            for k in range(8):
-                set_in = np.bincount((of[a:b] - lo) * 256 + lanes[:, k], minlength=(hi - lo) * 256).reshape(-1, 256) @ _BIT_ROWS
-                for j in range(8):
-                    fp[lo:hi, w] |= (set_in[:, j] * 2 > count[lo:hi]).astype(np.uint64) << np.uint64(8 * k + j)
-    return fp, whole, count
+def _mixed(g: np.ndarray) -> np.ndarray:
+    x = (g ^ g >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(29)
+
+
+def parities(g: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Per set (4 columns): for each of 256 classes of shingles, whether it holds an odd number of them.
+
+    Each differing bit of two sets takes a shingle of its own that only one of
+    them holds. At similarity 0.8 or more those are at most a ninth of the sum
+    of the sizes, so a pair that differs in more bits is not similar.
+    """
+    bit = _mixed(g) >> np.uint64(56)
+    out = np.zeros((n, LONG_BITS // 64), np.uint64)
+    np.bitwise_xor.at(out, (of, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def prefixes(g: np.ndarray, of: np.ndarray, n: int, common: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, offsets): of each set of s shingles the first s - ceil(0.8 s) + 1 in an order of all shingles.
+
+    Two sets of similarity 0.8 or more share at least ceil(0.8 s) shingles, so
+    also one of these, whatever the order. It takes shingles rare in a sample
+    first (``common``, ascending, and how often they were ``seen``).
+    """
+    i = np.minimum(np.searchsorted(common, g), max(0, len(common) - 1))
+    often = np.where(common[i] == g, seen[i], 0) if len(common) else np.zeros(len(g), np.int64)
+    order = np.lexsort((_mixed(g), often, of))
+    size = np.bincount(of, minlength=n)
+    first = np.cumsum(size) - size
+    take = np.where(size > 0, size - -(-size * 4 // 5) + 1, 0)
+    inside = np.arange(len(g)) - np.repeat(first, size) < np.repeat(take, size)
+    return g[order][inside], np.concatenate([[0], np.cumsum(take)])
 
 
 def compared(docs: DataFrame, proposed: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -445,50 +488,62 @@ def confirmed(docs: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int]
         failed, near = failed.union(done.where("not ok")), near * 16
 
 
-def similar_groups(docs: DataFrame, missed: float = 0.005) -> DataFrame:
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, count) of a sample of texts, ascending; only the order of ``prefixes`` depends on it, and no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, t in slices(b.column(0)):
+                key, c = np.unique(shingle_sets(t)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], ["g", "c"])
+
+    part = max(1, rows.count() // ORDER_TEXTS)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(part)) == 0).select("text")
+    got = sample.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c > 3").orderBy(F.desc("c"), "g").limit(ORDER_SHINGLES).toArrow()
+    g = got.column("g").to_numpy().view(np.uint64)
+    order = np.argsort(g)
+    return g[order], got.column("c").to_numpy()[order]
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, least): for every row with an id, the least id of its group of similar texts.
 
     Texts with equal shingle sets meet by a hash of the set. Distinct sets meet
-    in shards keyed by samples of the bits of their long fingerprint: as many
-    bits as leave some 16 rows a shard at this number of sets, and as many
-    samples as miss a pair at similarity 0.8 with at most ``missed``.
+    in shards keyed by the shingles of their prefix, which two similar sets
+    always share; shingles of one set only are no shard.
     """
-    ship(docs.sparkSession)
-    names = [f"w{k}" for k in range(len(_LONG_SEEDS))]
+    spark = ship(docs.sparkSession)
+    names = [f"w{k}" for k in range(LONG_BITS // 64)]
+    longs = "doc_id long, whole long, n long, " + ", ".join(f"{x} long" for x in names)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast(common_shingles(rows))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints(batches: Iterator[pa.RecordBatch], prefix: bool = False) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, t in slices(b.column(1)):
-                fp, whole, count = long_fingerprints(t)
-                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(whole.view(np.int64)), pa.array(count), *[pa.array(fp[:, k].copy().view(np.int64)) for k in range(fp.shape[1])]], ["doc_id", "whole", "n", *names])
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(rows.mapInArrow(prints, "doc_id long, whole long, n long, " + ", ".join(f"{x} long" for x in names)))
-    sets = cut(rows.groupBy("whole", "n", *names).agg(F.min("doc_id").alias("node")))
-    size = max(2, sets.count())
-    bits = max(8, int(np.ceil(np.log2(size))) - 4)
-    tables = int(np.ceil(np.log(missed) / np.log1p(-(0.85**bits))))
-    sample = np.random.default_rng(12)
-    chosen = [np.sort(sample.choice(LONG_BITS, bits, replace=False)) for _ in range(tables)]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
-                words = np.stack([part.column(1 + k).to_numpy() for k in range(len(names))], 1)
-                bit = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(np.int64)
-                for k, c in enumerate(chosen):
-                    key = bit[:, c] @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key * 1024 + k), *[part.column(1 + j) for j in range(len(names))]], ["node", "shard", *names])
-
-    dealt = sets.where("n > 0").select("node", *names).mapInArrow(deal, "node long, shard long, " + ", ".join(f"{x} long" for x in names))
+                g, of = shingle_sets(t)
+                count = np.bincount(of, minlength=t.n)
+                whole = np.zeros(t.n, np.uint64)
+                np.add.at(whole, of, (g ^ g >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD))
+                fp = parities(g, of, t.n)
+                columns = [b.column(0)[part], pa.array(whole.view(np.int64)), pa.array(count), *[pa.array(fp[:, k].copy().view(np.int64)) for k in range(fp.shape[1])]]
+                if prefix:
+                    first, offsets = prefixes(g, of, t.n, *shared.value)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "n", *names, *(["prefix"] if prefix else [])])
+
+    sets = rows.mapInArrow(partial(prints, prefix=True), longs + ", prefix array<long>")
+    sets = cut(sets.groupBy("whole", "n", *names).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
+    firsts = sets.where("n > 0").select("node", F.explode("prefix").alias("shard"))
+    dealt = cut(firsts.join(firsts.groupBy("shard").count().where("count > 1"), "shard", "left_semi"))
+    dealt = dealt.join(sets.where("n > 0").select("node", "n", *names), "node")
 
     def meet(rows: DataFrame, k: int) -> DataFrame:
-        return _meet_in_shards(rows, [*names, "root"] if k else names, LONG_APART, SHARD_ROWS, partial(open_pairs, k=k) if k else shard_pairs)
+        return _meet_in_shards(rows, [*names, "n", *(["root"] if k else [])], LONG_BITS, SHARD_ROWS, partial(set_pairs, k=k))
 
     linked = confirmed(docs, dealt, meet)
     least = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", *names, F.coalesce("root", "node").alias("least"))
-    return rows.join(least, ["whole", "n", *names]).select("doc_id", "least")
+    return rows.mapInArrow(prints, longs).join(least, ["whole", "n", *names]).select("doc_id", "least")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
