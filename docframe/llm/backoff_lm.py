@@ -1,50 +1,58 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are contexts of zero, one or two words; an arc carries a word's smoothed
-probability and leads to the state of the longest known context it leaves; a
-failure arc leads to the context without its first word and carries the weight
-left over there. A text is scored in one left-to-right run that follows arcs,
-or failure arcs until there is one. As a state is a function of the last two
-words, a batch's states are found together and all open positions take their
-failure arcs in lock step (``run``; ``walk`` is the same one word at a time).
+States are contexts of zero, one or two words; an arc carries a word's count
+over its context's count plus a constant (``MASS``), and leads to the state of
+the longest known context it leaves; a failure arc leads to the context without
+its first word and carries the weight left over there. So a state gives each
+word its arc, if there is one, and its failure arc's share of the next shorter
+state's probability, and all probabilities of a state sum to 1. A text is
+scored in one left-to-right run (``walk``). As a state is a function of the
+last two words, all positions of a batch take their arcs and failure arcs in
+lock step (``run``), which gives the same sums.
 
 Tokens are the words seen in training, the end, and one class of all other
-words, as for the base score. Probabilities: absolute discounting at each
-order; what is left over at the root goes in part to the class of other words,
-in part evenly to all classes, so the whole sums to 1.
-
-All counts cover all training texts. Every word has a state; every pair and
-triple that occurs at least twice has an arc, at any corpus size. Counts of
-words, pairs and triples, and what their arcs take, are one table by 64-bit
-hash that is never sent whole: documents are dealt into shards of bounded size,
-a shard asks for the words, pairs and triples it holds, and gets those rows. A
-slice of texts then runs on an automaton of just these.
+words, as for the base score. At the root counts are discounted; what is left
+over goes in part to the class of other words, in part evenly to all classes.
+
+Nothing is cut: all words, pairs and triples of all training texts count, also
+those that occur once, at any corpus size. Counts are never sent whole.
+Documents are dealt into shards of bounded size. A shard asks for the distinct
+words, pairs and triples it holds, and says how often its training texts hold
+them; all shards' blocks of one range of hashes meet in a task, which adds up
+and answers each shard in the order of its keys. So one exchange both counts
+and looks up, a word that every text holds is one key a shard, and the shard
+then runs on an automaton of just its own arcs. Words are keyed by 64 bits.
+Pairs and triples are keyed by as many bits as the whole input's size has, and
+``SPARE`` more: at any size the chance that one takes another's count is below
+2^-SPARE.
 
 Defined results: null and empty texts are one end token; rows with a null id
-are scored, not learned from; repeated rows count and are scored each; with no
-training text N and V are 0 and every token has probability 1.
+are scored (learned from if ``learn`` says so); repeated rows count and are
+scored each; a very long text is a shard of its own; no rows give no rows; with
+no training text N and V are 0 and every token has probability 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.checkpoints import cut
+from docframe.llm.blocks import pack, pack_counts, unique, unpack, unpack_counts
 from docframe.llm.textkit import LOWER, NOT_BLANK, Texts, hash_spans, slices
 from docframe.ship import ship
 
 DISCOUNT = 0.75
-#: Pairs and triples with an arc occur at least so often.
-LEAST = 2
+#: Weight of the next shorter context beside the counts of a one-word and a two-word context.
+MASS = (300.0, 8.0)
 #: Share of the root's leftover weight that goes to the class of unseen words.
 UNSEEN = 0.5
-SHARD_BYTES = 8 << 20
+SHARD_BYTES, LARGEST_SHARD = 8 << 20, 64 << 20
+SPARE = 16
 #: Hashes that stand for the start and the end of a text.
 START, END = -6148914691236517205, 3689348814741910323
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -57,248 +65,203 @@ def words_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, doc, h.view(np.int64)
 
 
+def stream(sym: np.ndarray, doc: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols with an end put after each text; where texts begin; the text of each."""
+    size = np.bincount(doc, minlength=n)
+    out = np.insert(sym, np.cumsum(size), end)
+    owner = np.repeat(np.arange(n), size + 1)
+    first = np.ones(len(out), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    return out, first, owner
+
+
+def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per position of a stream of word hashes with ends: the hash of the pair, of the triple (where no text begins)."""
+    mix = lambda x, y: ((x ^ x >> np.uint64(29)) * _MULT + y) * _MULT ^ y >> np.uint64(31)
+    done = lambda x: (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    prev = np.where(first, START, np.concatenate([[START], h[:-1]])) if len(h) else h
+    pair = mix(prev.view(np.uint64) + np.uint64(2), h.view(np.uint64))
+    triple = np.zeros_like(pair)
+    triple[1:] = mix(pair[:-1] + np.uint64(3), h[1:].view(np.uint64))
+    return done(pair), done(triple)
+
+
 @dataclass
-class Automaton:
-    """Symbols 1..F are the known words (by ascending hash), F+1 the end, 0 any other, F+2 the start of a text."""
-
-    hashes: np.ndarray
-    word_count: np.ndarray  # of symbols 0..F+2 as contexts
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    triple_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
+class Root:
+    """The state without context: N training tokens of V kinds, of which ``ends`` are ends."""
+
     n: float = 0
     v: float = 0
-    end_count: float = 0
-
-    @property
-    def base(self) -> int:
-        return len(self.hashes) + 3
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == h, i + 1, 0)
-
-    def finish(self) -> "Automaton":
-        """Failure weights from the arcs that exist."""
-        b, d = self.base, DISCOUNT
-        ctx = self.pairs // b
-        self.word_left = 1 - np.bincount(ctx, np.maximum(self.pair_count - d, 0), b) / np.maximum(1, self.word_count)
-        ctx = self.triples // b
-        at = np.searchsorted(self.pairs, ctx)
-        self.pair_left = 1 - np.bincount(at, np.maximum(self.triple_count - d, 0), len(self.pairs)) / np.maximum(1, self.pair_count)
-        self.triple_at = at
-        return self
-
-    def root(self, c: np.ndarray) -> np.ndarray:
-        """Probability at the root of tokens with count c; 0 stands for the class of unseen words."""
+    ends: float = 0
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        """Probability of tokens with count c; 0 stands for the class of unseen words."""
         if not self.n:
             return np.ones(len(c))
         left = DISCOUNT * self.v / self.n
         return np.maximum(c - DISCOUNT, 0) / self.n + left * (np.where(c > 0, 0.0, UNSEEN) + (1 - UNSEEN) / (self.v + 1))
 
-    def run(self, sym: np.ndarray, first: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability at each position of a stream of texts (``first``: where one begins; each ends with its end token)."""
-        b, n = self.base, len(sym)
-        start = b - 1
-        prev = np.where(first, start, np.concatenate([[start], sym[:-1]])) if n else sym
-        prev2 = np.full(n, 0)
-        prev2[1:] = np.where(first[1:], 0, prev[:-1])
-        p, weight = np.zeros(n), np.ones(n)
-        open_ = np.ones(n, bool)
-        if len(self.pairs):
-            state = prev2 * b + prev
-            i = np.minimum(np.searchsorted(self.pairs, state), len(self.pairs) - 1)
-            here = (self.pairs[i] == state) & (prev2 > 0) & (prev > 0)  # in a two-word state
-            if len(self.triples):
-                arc = state * b + sym
-                j = np.minimum(np.searchsorted(self.triples, arc), len(self.triples) - 1)
-                got = here & (self.triples[j] == arc) & (sym > 0)
-                p[got] += (np.maximum(self.triple_count[j] - DISCOUNT, 0) / self.pair_count[i])[got]
-            weight = np.where(here, self.pair_left[i], weight)
-            arc = prev * b + sym
-            i = np.minimum(np.searchsorted(self.pairs, arc), len(self.pairs) - 1)
-            got = (self.pairs[i] == arc) & (prev > 0) & (sym > 0)
-            p[got] += (weight * np.maximum(self.pair_count[i] - DISCOUNT, 0) / np.maximum(1, self.word_count[prev]))[got]
-        weight = weight * np.where(prev > 0, self.word_left[prev], 1.0)
-        p[open_] += weight * root
+    def run(self, one: np.ndarray, two: np.ndarray, three: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability at each position of a stream, from the counts of the word, the pair and the triple that end there."""
+        before = np.where(first, self.ends, np.concatenate([[0], one[:-1]]))
+        pair = np.where(first, 0, np.concatenate([[0], two[:-1]]))
+        p = self.p(one)
+        p = (two + MASS[0] * p) / (before + MASS[0])
+        p = (np.where(first, 0, three) + MASS[1] * p) / (pair + MASS[1])
         return np.log10(np.maximum(p, 1e-300))
 
-    def walk(self, sym: list[int], root: list[float]) -> list[float]:
-        """The same for one text, state by state."""
-        b, d, out = self.base, DISCOUNT, []
-        pair = dict(zip(self.pairs.tolist(), range(len(self.pairs)), strict=True))
-        triple = dict(zip(self.triples.tolist(), self.triple_count.tolist(), strict=True))
-        state: tuple[int, ...] = (b - 1,)
-        for s, r in zip(sym, root, strict=True):
-            p, w, at = 0.0, 1.0, state
+
+class Automaton:
+    """States, arcs and failure arcs over the given counts of words, pairs and triples; '<' starts a text."""
+
+    def __init__(self, root: Root, words: dict, pairs: dict, triples: dict):
+        self.root, self.arcs, self.fail = root, {}, {}
+        size = {("<",): root.ends} | {(w,): c for w, c in words.items()} | dict(pairs)
+        for context, w, n in [*(((a,), b, n) for (a, b), n in pairs.items()), *(((a, b), w, n) for (a, b, w), n in triples.items())]:
+            mass = MASS[len(context) - 1]
+            self.arcs[context, w] = n / (size[context] + mass)
+            self.fail[context] = (context[1:], mass / (size[context] + mass))
+        self.words = words
+
+    def walk(self, text: list) -> float:
+        """log10 probability of a text and its end, in one left-to-right run."""
+        state, total = ("<",), 0.0
+        for w in text:
+            at, weight, p = state, 1.0, 0.0
             while at:
-                if len(at) == 2:
-                    k = at[0] * b + at[1]
-                    if s and k * b + s in triple:
-                        p += w * max(triple[k * b + s] - d, 0) / self.pair_count[pair[k]]
-                    w *= self.pair_left[pair[k]] if len(self.triples) else 1.0
-                else:
-                    k = at[0] * b + s
-                    if s and k in pair:
-                        p += w * max(self.pair_count[pair[k]] - d, 0) / max(1, self.word_count[at[0]])
-                    w *= self.word_left[at[0]] if len(self.pairs) else 1.0
-                at = at[1:]
-            out.append(float(np.log10(max(p + w * r, 1e-300))))
-            last = state[-1] if state else 0
-            state = (last, s) if s and last and last * b + s in pair else (s,) if s else ()
-        return out
+                p += weight * self.arcs.get((at, w), 0.0)
+                at, share = self.fail.get(at, (at[1:], 1.0))
+                weight *= share
+            total += float(np.log10(p + weight * self.root.p(np.array([self.words.get(w, 0)]))[0]))
+            state = (*state[-1:], w)
+            while state and state not in self.fail:  # the longest known context
+                state = state[1:]
+        return total
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c) of each slice of (text)."""
-    for b in batches:
-        for _, t in slices(b.column(0), 6 << 20):
-            key, n = np.unique(words_of(t)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["h", "c"])
+    """(h, c) of (text); merged as long as they are few."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def told() -> pa.RecordBatch:
+        key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, np.concatenate([c for _, c in held]), len(key)).astype(np.int64))], ["h", "c"])
 
-def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per position of a stream of word hashes with ends: the hash before it, of the pair, of the triple (where no text begins)."""
-    mix = lambda x, y: ((x ^ x >> np.uint64(29)) * _MULT + y) * _MULT ^ y >> np.uint64(31)
-    prev = np.where(first, START, np.concatenate([[START], h[:-1]])) if len(h) else h
-    pair = mix(prev.view(np.uint64) + np.uint64(2), h.view(np.uint64))
-    triple = np.zeros_like(pair)
-    triple[1:] = mix(pair[:-1] + np.uint64(3), h[1:].view(np.uint64))
-    return prev, pair.view(np.int64), triple.view(np.int64)
+    for b in batches:
+        for _, t in slices(b.column(0), 6 << 20):
+            held.append(np.unique(words_of(t)[3], return_counts=True))
+            if sum(len(k) for k, _ in held) > 2_000_000:
+                yield told()
+                held.clear()
+    if held:
+        yield told()
 
 
 @dataclass
 class BackoffModel:
-    """``table`` (key, c, held), never collected: how often a word, pair or triple occurs, and the counts less discount of the arcs it has."""
+    """What was learned from ``docs`` where ``learn`` holds: N, V and the number of texts; arcs are counted as they are asked for."""
 
-    table: DataFrame
-    n: int
-    v: int
-    ends: int
-
-    def automaton(self) -> Automaton:
-        """The root alone."""
-        return Automaton(np.zeros(0, np.int64), np.array([0.0, 0.0, self.ends]), n=self.n, v=self.v, end_count=self.ends)
+    docs: DataFrame
+    learn: Column
+    root: Root
 
 
 def train(docs: DataFrame, learn: Column) -> BackoffModel:
     ship(docs.sparkSession)
     texts = docs.where(learn).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = cut(texts.mapInArrow(_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    words = texts.mapInArrow(_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = texts.count()
+    return BackoffModel(docs, learn, Root(total + ends, distinct + (ends > 0), ends))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, t in slices(batch.column(0), 6 << 20):
-                _, _, doc, h = words_of(t)
-                h, first, _ = stream(h, doc, t.n, END)
-                prev, pair, triple = grams(h, first)
-                inner = np.flatnonzero(~first)
-                for key, ctx in ((pair, prev), (triple[inner], pair[inner - 1])):
-                    key, at, c = np.unique(key, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx[at]), pa.array(c)], ["key", "ctx", "c"])
-
-    arcs = cut(texts.mapInArrow(runs, "key long, ctx long, c long").groupBy("key", "ctx").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST))
-    held = arcs.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("held"))
-    start = docs.sparkSession.range(1).select(F.lit(START).cast("long").alias("key"), F.lit(ends).cast("long").alias("c"))
-    counts = words.select(F.col("h").alias("key"), "c").union(arcs.select("key", "c")).union(start)
-    table = counts.join(held, F.col("key") == F.col("ctx"), "left").select("key", "c", F.coalesce("held", F.lit(0.0)).alias("held"))
-    return BackoffModel(cut(table), total + ends, distinct + (ends > 0), ends)
 
+def _keys(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a stream of texts: words, pairs, triples (unsigned), where texts begin, the text of each."""
+    _, _, doc, h = words_of(t)
+    h, first, owner = stream(h, doc, t.n, END)
+    return h.view(np.uint64), *grams(h, first), first, owner
+
+
+def _asked(table: pa.Table, narrow: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(keys, training count) of the words, and of the pairs and triples, of a shard's texts; pairs lose their last ``narrow`` bits."""
+    one, more = [], []
+    learns = np.asarray(table.column("learn").to_numpy(zero_copy_only=False), bool)
+    for part, t in slices(table.column("text"), 4 << 20):
+        word, pair, triple, first, owner = _keys(t)
+        learn = learns[part][owner]
+        one.append(unique(word, learn))
+        more.append(unique(np.concatenate([pair, triple[~first]]) >> np.uint64(narrow), np.concatenate([learn, learn[~first]])))
+    return _merged(one), _merged(more)
 
-def stream(sym: np.ndarray, doc: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols with an end put after each text; where texts begin; the text of each."""
-    size = np.bincount(doc, minlength=n)
-    out = np.insert(sym, np.cumsum(size), end)
-    owner = np.repeat(np.arange(n), size + 1)
-    first = np.ones(len(out), bool)
-    first[1:] = owner[1:] != owner[:-1]
-    return out, first, owner
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
+    return unique(keys, np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)]))
 
-def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+
+def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shard_bytes: int | None = None) -> DataFrame:
     """One row per input row: ``_TYPE``."""
-    ship(docs.sparkSession)
-    root_only = model.automaton()
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    spark = ship(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, held_out.alias("held_out"), (model.learn if docs is model.docs else F.lit(False)).alias("learn"), F.lit(True).alias("ask"))
+    if docs is not model.docs:
+        rows = rows.union(model.docs.where(model.learn).select(F.col("doc_id").cast("long"), text, F.lit(False), F.lit(True), F.lit(False)))
+    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    # shards grow slowly with the input, so that blocks (shards x ranges of hashes) stay of use
+    shard_bytes = shard_bytes or min(LARGEST_SHARD, max(SHARD_BYTES, int(SHARD_BYTES * (size / (64 << 30)) ** 0.5)))
     shards = max(1, -(-size // shard_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(shards, "shard")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
-        for b in batches:
-            shard = b.column(3).to_numpy()
-            for part, t in slices(b.column(1)):
-                _, _, doc, h = words_of(t)
-                h, first, owner = stream(h, doc, t.n, END)
-                _, pair, triple = grams(h, first)
-                of = shard[part][owner]
-                for s in np.unique(of):
-                    mine = of == s
-                    held.setdefault(int(s), []).append(np.unique(np.concatenate([[START], h[mine], pair[mine], triple[mine & ~first]])))
-                size += len(h)
-            if size > 1_000_000:
-                yield from told(held)
-                held, size = {}, 0
-        yield from told(held)
-
-    def told(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for s, x in held.items():
-            key = np.unique(np.concatenate(x))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), s)), pa.array(key)], ["shard", "key"])
-
-    # the same columns as below, so that the exchange of texts is made once and read twice
-    asked = rows.mapInArrow(ask, "shard long, key long")
-    answers = asked.join(model.table, "key").select("shard", "key", "c", "held")
+    tasks = int(min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    deal = (shards - 1).bit_length()  # ranges of hashes: a power of two
+    width = min(64, max(deal, (int(size) + int(count)).bit_length() + SPARE))
+    root, narrow = model.root, 64 - width
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(tasks, "shard")
+
+    def ask(table: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], [], []]
+        shard = table.column("shard")[0].as_py()
+        both = [(k, c, w, np.searchsorted(k >> np.uint64(w - deal) if deal else np.zeros(len(k), np.int64), np.arange((1 << deal) + 1))) for (k, c), w in zip(_asked(table, narrow), (64, width), strict=True)]
+        for r in range(1 << deal):
+            row = [r, shard]
+            for k, c, w, cut in both:
+                mine = slice(cut[r], cut[r + 1])
+                own = k[mine] & np.uint64((1 << (w - deal)) - 1)
+                row += [pack(own, w - deal), pack_counts(c[mine])]
+            for x, y in zip(out, row, strict=True):
+                x.append(y)
+        return pa.table({"part": pa.array(out[0], pa.int64()), "shard": pa.array(out[1], pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("words", "word_counts", "grams", "gram_counts"), out[2:], strict=True)}})
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = {"shard": table.column("shard"), "part": table.column("part")}
+        for what in ("word", "gram"):
+            keys = [unpack(x.as_py()) for x in table.column(f"{what}s")]
+            counts = np.concatenate([unpack_counts(x.as_py()) for x in table.column(f"{what}_counts")])
+            at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            total = np.bincount(at, counts).astype(np.int64)[at] if len(at) else at
+            cut = np.cumsum([len(k) for k in keys])[:-1]
+            out[f"{what}_counts"] = pa.array([pack_counts(x) for x in np.split(total, cut)], pa.binary())
+        return pa.table(out)
+
+    asked = rows.groupBy("shard").applyInArrow(ask, "part long, shard long, words binary, word_counts binary, grams binary, gram_counts binary")
+    answers = asked.groupBy("part").applyInArrow(answer, "shard long, part long, word_counts binary, gram_counts binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, at = np.unique(right.column("key").to_numpy(), return_index=True)
-        c_of, held_of = right.column("c").to_numpy()[at].astype(float), right.column("held").to_numpy()[at]
-
-        def find(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Count and what the arcs hold of each; 0 of those not in the table."""
-            if not len(key):
-                return np.zeros(len(x)), np.zeros(len(x))
-            i = np.minimum(np.searchsorted(key, x), len(key) - 1)
-            return np.where(key[i] == x, c_of[i], 0.0), np.where(key[i] == x, held_of[i], 0.0)
-
-        end_root = float(root_only.root(np.array([root_only.end_count]))[0])
-        below = np.log10(root_only.n + 0.5 * (root_only.v + 1))
+        right = right.sort_by("part")
+        (words, _), (more, _) = _asked(left, narrow)
+        found = [np.concatenate([np.zeros(0, np.int64), *(unpack_counts(x.as_py()) for x in right.column(n))]).astype(float) for n in ("word_counts", "gram_counts")]
+        below = np.log10(root.n + 0.5 * (root.v + 1))
+        left = left.filter(left.column("ask"))
         outs = []
         for part, t in slices(left.column("text"), 4 << 20):
-            _, _, doc, h = words_of(t)
-            uniq, inv = np.unique(h, return_inverse=True)
-            c, held = find(uniq)
-            known = c > 0
-            m = replace(root_only, hashes=uniq[known], word_count=np.array([0, *c[known], 0, root_only.end_count], float))
-            b = m.base
-            sym, first, owner = stream(m.symbols(h), doc, t.n, b - 2)
-            _, pair, triple = grams(stream(h, doc, t.n, END)[0], first)
-            prev = np.where(first, b - 1, np.concatenate([[b - 1], sym[:-1]]))
-            m.word_left = 1 - np.array([0, *held[known], 0, find(np.array([START]))[1][0]]) / np.maximum(1, m.word_count)
-            code = prev * b + sym
-            two = np.flatnonzero((prev > 0) & (sym > 0))
-            m.pairs, at = np.unique(code[two], return_index=True)
-            m.pair_count, taken = find(pair[two[at]])
-            m.pair_left = 1 - taken / np.maximum(1, m.pair_count)
-            m.pairs, m.pair_left, m.pair_count = (x[m.pair_count > 0] for x in (m.pairs, m.pair_left, m.pair_count))
-            three = two[~first[two]]
-            three = three[prev[three - 1] > 0]
-            m.triples, at = np.unique(code[three - 1] * b + sym[three], return_index=True)
-            m.triple_count = find(triple[three[at]])[0]
-            m.triples, m.triple_count = m.triples[m.triple_count > 0], m.triple_count[m.triple_count > 0]
-            ends_at = np.cumsum(np.bincount(doc, minlength=t.n))
-            root = np.insert(m.root(c)[inv], ends_at, end_root)
-            count = np.insert(c[inv], ends_at, m.end_count)
-            got = {"n_tokens": np.bincount(owner, minlength=t.n), "n_known": np.bincount(owner, count > 0, t.n).astype(np.int64), "train_tokens": np.full(t.n, int(m.n)), "base_score": np.bincount(owner, np.log10(count + 0.5) - below, t.n), "score": np.bincount(owner, m.run(sym, first, root), t.n)}
+            word, pair, triple, first, owner = _keys(t)
+            one = found[0][np.searchsorted(words, word)]
+            two, three = (found[1][np.searchsorted(more, np.where(first, pair, x) >> np.uint64(narrow))] for x in (pair, triple))
+            got = {"n_tokens": np.bincount(owner, minlength=t.n), "n_known": np.bincount(owner, one > 0, t.n).astype(np.int64), "train_tokens": np.full(t.n, int(root.n)), "base_score": np.bincount(owner, np.log10(one + 0.5) - below, t.n), "score": np.bincount(owner, root.run(one, two, three, first), t.n)}
             piece = left.slice(part.start, part.stop - part.start)
             outs.append(pa.table({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), **{k: pa.array(x) for k, x in got.items()}}))
+        if not outs:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
         return pa.concat_tables(outs)
 
     return rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, _TYPE)

@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Positions whose messages are held at once in training.
+CHUNK = 250_000
+
 
 def messages(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first: float) -> tuple[np.ndarray, ...]:
     """Normalised forward (T, 2), backward (T, 2) and the transfer matrices (T, 4).
@@ -65,6 +68,14 @@ def messages(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first: float)
     return unblock(f), unblock(b), m[:, :n].T
 
 
+def chunks(start: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Ranges of whole sequences, each of about ``size`` positions or one sequence."""
+    begins = np.flatnonzero(start)
+    at = np.searchsorted(begins, np.arange(size, len(start), size), side="right") - 1
+    cuts = np.unique(np.concatenate([[0], begins[at.clip(0)] if len(begins) else [], [len(start)]])).astype(np.int64)
+    return list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+
+
 class BinaryCRF:
     """Emission score = sum of ``w`` at the feature numbers of a position; feature numbers are (T, F)."""
 
@@ -83,43 +94,54 @@ class BinaryCRF:
         """Log odds of state 1 at each position."""
         if not len(feats):
             return np.zeros(0)
-        f, b, _ = messages(self.emission(feats), start, self.trans, self.first)
-        tiny = 1e-300
-        return np.log(f[:, 1] * b[:, 1] + tiny) - np.log(f[:, 0] * b[:, 0] + tiny)
-
-    def fit(self, feats: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, rate: float = 0.3, l2: float = 1e-4) -> "BinaryCRF":
-        """Full-batch Adam on the (weighted) conditional log-likelihood; deterministic."""
+        out, tiny = np.empty(len(feats)), 1e-300
+        for a, z in chunks(start, CHUNK):
+            f, b, _ = messages(self.emission(feats[a:z]), start[a:z], self.trans, self.first)
+            out[a:z] = np.log(f[:, 1] * b[:, 1] + tiny) - np.log(f[:, 0] * b[:, 0] + tiny)
+        return out
+
+    def fit(self, feats: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, rate: float = 0.3, l2: float = 1e-4, chunk: int = CHUNK) -> "BinaryCRF":
+        """Full-batch Adam on the (weighted) conditional log-likelihood; deterministic.
+
+        Gradients are summed over chunks of whole sequences, so that messages
+        are held for ``chunk`` positions (or one sequence) at a time.
+        """
         n = max(1.0, weight.sum())
         size = len(self.w)
-        flat = np.ascontiguousarray(feats.T)
-        theta = np.zeros(size + 5)
+        mask = np.zeros(size, bool)
+        mask[feats.reshape(-1)] = True
+        used, at = np.flatnonzero(mask), (np.cumsum(mask, dtype=np.int32) - 1)[feats]
+        theta = np.zeros(len(used) + 5)
         m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-        inner = ~start
-        inner[:1] = False
-        emp = np.zeros((2, 2))
-        prev = np.flatnonzero(inner) - 1
-        cur = prev + 1
-        np.add.at(emp, (y[prev], y[cur]), weight[cur])
+        own = BinaryCRF(0)
         for r in range(1, rounds + 1):
-            self.w, self.trans, self.first = theta[:size], theta[size : size + 4].reshape(2, 2), float(theta[-1])
-            f, b, m = messages(self.emission(feats), start, self.trans, self.first)
-            p = f * b
-            p1 = p[:, 1] / p.sum(1)
-            d = weight * (y - p1)
+            own.w, own.trans, own.first = theta[:-5], theta[-5:-1].reshape(2, 2), float(theta[-1])
             g = np.zeros_like(theta)
-            for row in flat:
-                g[:size] += np.bincount(row, d, size)
-            x = np.stack([f[prev, i] * m[cur, 2 * i + j] * b[cur, j] for i in (0, 1) for j in (0, 1)])
-            x *= weight[cur] / x.sum(0)
-            g[size : size + 4] = emp.reshape(-1) - x.sum(1)
-            g[-1] = d[start].sum()
+            for a, b in chunks(start, chunk):
+                own.add_gradient(g, at[a:b], start[a:b], y[a:b], weight[a:b])
             g = g / n - l2 * theta
             m1 = 0.9 * m1 + 0.1 * g
             m2 = 0.99 * m2 + 0.01 * g * g
             theta = theta + rate * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-9)
-        self.w, self.trans, self.first = theta[:size].copy(), theta[size : size + 4].reshape(2, 2).copy(), float(theta[-1])
+        self.w = np.zeros(size)
+        self.w[used] = theta[:-5]
+        self.trans, self.first = theta[-5:-1].reshape(2, 2).copy(), float(theta[-1])
         return self
 
+    def add_gradient(self, g: np.ndarray, feats: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        f, b, m = messages(self.emission(feats), start, self.trans, self.first)
+        p = f * b
+        d = weight * (y - p[:, 1] / p.sum(1))
+        for j in range(feats.shape[1]):
+            g[:-5] += np.bincount(feats[:, j], d, len(g) - 5)
+        cur = np.flatnonzero(~start[1:]) + 1
+        prev = cur - 1
+        emp = np.bincount(2 * y[prev] + y[cur], weight[cur], 4)
+        x = np.stack([f[prev, i] * m[cur, 2 * i + j] * b[cur, j] for i in (0, 1) for j in (0, 1)])
+        x *= weight[cur] / x.sum(0)
+        g[-5:-1] += emp - x.sum(1)
+        g[-1] += d[start].sum()
+
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Coefficients (last: constant) of a logistic regression by Newton steps."""

@@ -5,8 +5,10 @@ labels lines good or bad; a document's evidence is the mean log odds and the
 mean probability of its lines, weighted by length.
 
 Defined results: null and empty texts get the score of an empty line sequence
-(evidence 0, calibrated like the others); repeated rows are scored each;
-without labelled rows of both classes every score is 1.
+(evidence 0, calibrated like the others); very long texts are scored and learned
+from whole; a null id is scored and never learned from; repeated rows are scored
+each; a score of exactly the cut passes; an empty table gives no rows; without
+labelled rows of both classes every score is 1. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -96,13 +98,13 @@ class QualityModel:
 
     def features(self, x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, k = x.shape
-        own = np.empty((n, k), np.int64)
+        own = np.empty((n, k), np.int32)
         for j in range(k):
             own[:, j] = np.searchsorted(self.edges[j], x[:, j]) + j * BINS
         start = np.ones(n, bool)
         start[1:] = doc[1:] != doc[:-1]
         none = 3 * k * BINS
-        out = np.full((n, 3 * k + 1), none)
+        out = np.full((n, 3 * k + 1), none, np.int32)
         out[:, :k] = own
         out[1:, k : 2 * k] = own[:-1] + k * BINS
         out[:-1, 2 * k : 3 * k] = own[1:] + 2 * k * BINS

@@ -6,8 +6,11 @@ is tied to such documents beyond chance; all other tokens are labelled clean.
 The field then learns words, affixes and neighbours of those tokens.
 
 Defined results: null and empty texts score as texts without a toxic token;
-rows with a null id are scored and never learned from; repeated rows are
-scored each; without labelled rows of both kinds every score is 0.
+very long texts are scored and learned from whole; rows with a null id are
+scored and never learned from; repeated rows are scored each (of an id's several
+labels the greatest is learned, of its texts the least); an empty table gives no
+rows; without labelled rows of both kinds every score is 0. Extra columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,26 +28,26 @@ from docframe.llm.textkit import ALNUM, LOWER, Texts, hash_spans, slices
 from docframe.ship import ship
 
 BITS = 18
-#: Bounds of the training sample: rows of each class, and the longest text used (characters).
+#: Bound of the training sample: rows of each class. Their texts are used whole, however long.
 SAMPLE_PER_CLASS = 900
-SAMPLE_CHARS = 10_000
 SCHEMA = "doc_id long, score double, n_spans int, spans array<struct<start:int,end:int,p:double>>"
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> tuple[list[int], list[str], np.ndarray]:
-    """At most ``per_class`` labelled texts of each class, least hash of the id first, none longer than ``chars``.
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[int], list[str], np.ndarray]:
+    """At most ``per_class`` labelled texts of each class, least hash of the id first, each whole.
 
-    The ids come from the narrow label table; the texts by a pushed-down IN filter, without a shuffle.
+    Of several labels of an id the greatest holds, of several texts the least. The ids come
+    from the narrow label table; the texts by a pushed-down IN filter.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & keep)
+    named = named.groupBy("doc_id").agg(F.max("y").alias("y"))
     want: dict[int, int] = {}
     for y in (0, 1):
-        for r in named.where(F.col("y") == y).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
-            want[r[0]] = max(y, want.get(r[0], 0))
+        want |= {r[0]: y for r in named.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()}
     if not want:
         return [], [], np.zeros(0, np.int64)
-    got = docs.where(F.col("doc_id").isin(sorted(want)) & (F.length("text") <= chars) & (F.length("text") > 0)).select("doc_id", "text").collect()
-    rows = sorted({r[0]: r[1] for r in got}.items())
+    got = docs.where(F.col("doc_id").isin(sorted(want)) & (F.length("text") > 0)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r[0], r[1]) for r in got)
     return [i for i, _ in rows], [t for _, t in rows], np.array([want[i] for i, _ in rows], np.int64)
 
 
@@ -80,8 +83,10 @@ class ToxicModel:
     def fit(self, texts: list[str], y: np.ndarray) -> "ToxicModel":
         if not len(y) or y.min() == y.max():
             return self
-        t = Texts.of(texts)
-        _, _, doc, word, p4, p5 = self.tokens(t)
+        n_texts = len(texts)
+        parts = [(part.start, self.tokens(t)) for part, t in slices(pa.array(texts, pa.large_string()), 1 << 20)]
+        doc, word, p4, p5 = (np.concatenate([x[k] + at if k == 2 else x[k] for at, x in parts]) for k in (2, 3, 4, 5))
+        del parts
         nt, nn = int(y.sum()), int((1 - y).sum())
         tied = np.zeros(len(word), bool)
         around = np.zeros(len(word), np.uint64)
@@ -103,7 +108,7 @@ class ToxicModel:
         label = (tied & (y[doc] == 1)).astype(np.int64)
         feats, start = self.features(doc, word, p4, p5)
         self.crf = BinaryCRF((5 << BITS) + 2).fit(feats, start, label, np.ones(len(label)), rounds=60, l2=1e-6)
-        x = self.evidence(self.crf.marginals(feats, start), doc, t.n)
+        x = self.evidence(self.crf.marginals(feats, start), doc, n_texts)
         w = logistic(x, y.astype(float))
         w[:2] = np.maximum(w[:2], 0.05)
         w[2] = -best_cut(x @ w[:2], y)
