@@ -21,7 +21,7 @@ words, pairs and triples it holds, and says how often its training texts hold
 them; all shards' blocks of one range of hashes meet in a task, which adds up
 and answers each shard in the order of its keys. So one exchange both counts
 and looks up, a word that every text holds is one key a shard, and the shard
-then runs on an automaton of just its own arcs. Words are keyed by 64 bits.
+then runs on an automaton of just its own arcs. Words are keyed by 63 bits.
 Pairs and triples are keyed by as many bits as the whole input's size has, and
 ``SPARE`` more: at any size the chance that one takes another's count is below
 2^-SPARE.
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.blocks import pack, pack_counts, unique, unpack, unpack_counts
+from docframe.llm.blocks import pack, pack_counts, places, unique, unpack, unpack_counts
 from docframe.llm.textkit import LOWER, NOT_BLANK, Texts, hash_spans, slices
 from docframe.ship import ship
 
@@ -51,7 +51,7 @@ DISCOUNT = 0.75
 MASS = (300.0, 8.0)
 #: Share of the root's leftover weight that goes to the class of unseen words.
 UNSEEN = 0.5
-SHARD_BYTES, LARGEST_SHARD = 8 << 20, 64 << 20
+SHARD_BYTES, LARGEST_SHARD = 8 << 20, 32 << 20
 SPARE = 16
 #: Hashes that stand for the start and the end of a text.
 START, END = -6148914691236517205, 3689348814741910323
@@ -175,30 +175,12 @@ def train(docs: DataFrame, learn: Column) -> BackoffModel:
     return BackoffModel(docs, learn, Root(total + ends, distinct + (ends > 0), ends))
 
 
-def _keys(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a stream of texts: words, pairs, triples (unsigned), where texts begin, the text of each."""
+def _keys(t: Texts, narrow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a stream of texts: words, then pairs and the triples where no text begins (less ``narrow`` bits), where texts begin, the text of each."""
     _, _, doc, h = words_of(t)
     h, first, owner = stream(h, doc, t.n, END)
-    return h.view(np.uint64), *grams(h, first), first, owner
-
-
-def _asked(table: pa.Table, narrow: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(keys, training count) of the words, and of the pairs and triples, of a shard's texts; pairs lose their last ``narrow`` bits."""
-    one, more = [], []
-    learns = np.asarray(table.column("learn").to_numpy(zero_copy_only=False), bool)
-    for part, t in slices(table.column("text"), 4 << 20):
-        word, pair, triple, first, owner = _keys(t)
-        learn = learns[part][owner]
-        one.append(unique(word, learn))
-        more.append(unique(np.concatenate([pair, triple[~first]]) >> np.uint64(narrow), np.concatenate([learn, learn[~first]])))
-    return _merged(one), _merged(more)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
-    return unique(keys, np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)]))
+    pair, triple = grams(h, first)
+    return h.view(np.uint64) >> np.uint64(1), np.concatenate([pair, triple[~first]]) >> np.uint64(narrow), first, owner
 
 
 def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shard_bytes: int | None = None) -> DataFrame:
@@ -214,14 +196,20 @@ def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shar
     shards = max(1, -(-size // shard_bytes))
     tasks = int(min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     deal = (shards - 1).bit_length()  # ranges of hashes: a power of two
-    width = min(64, max(deal, (int(size) + int(count)).bit_length() + SPARE))
+    width = min(63, max(deal, (int(size) + int(count)).bit_length() + SPARE))
     root, narrow = model.root, 64 - width
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(tasks, "shard")
 
+    def whole(texts: pa.ChunkedArray) -> Texts:
+        return next((t for _, t in slices(texts, 1 << 62)), Texts.of([]))
+
     def ask(table: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], [], []]
         shard = table.column("shard")[0].as_py()
-        both = [(k, c, w, np.searchsorted(k >> np.uint64(w - deal) if deal else np.zeros(len(k), np.int64), np.arange((1 << deal) + 1))) for (k, c), w in zip(_asked(table, narrow), (64, width), strict=True)]
+        word, more, first, owner = _keys(whole(table.column("text")), narrow)
+        learn = np.asarray(table.column("learn").to_numpy(zero_copy_only=False), bool)[owner]
+        both = [(*unique(word, learn), 63), (*unique(more, np.concatenate([learn, learn[~first]])), width)]
+        both = [(k, c, w, np.searchsorted(k >> np.uint64(w - deal), np.arange((1 << deal) + 1))) for k, c, w in both]
         for r in range(1 << deal):
             row = [r, shard]
             for k, c, w, cut in both:
@@ -237,7 +225,7 @@ def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shar
         for what in ("word", "gram"):
             keys = [unpack(x.as_py()) for x in table.column(f"{what}s")]
             counts = np.concatenate([unpack_counts(x.as_py()) for x in table.column(f"{what}_counts")])
-            at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            at = places(np.concatenate(keys))
             total = np.bincount(at, counts).astype(np.int64)[at] if len(at) else at
             cut = np.cumsum([len(k) for k in keys])[:-1]
             out[f"{what}_counts"] = pa.array([pack_counts(x) for x in np.split(total, cut)], pa.binary())
@@ -248,20 +236,13 @@ def score_documents(docs: DataFrame, model: BackoffModel, held_out: Column, shar
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
-        (words, _), (more, _) = _asked(left, narrow)
-        found = [np.concatenate([np.zeros(0, np.int64), *(unpack_counts(x.as_py()) for x in right.column(n))]).astype(float) for n in ("word_counts", "gram_counts")]
+        t = whole(left.column("text"))
+        word, more, first, owner = _keys(t, narrow)
+        one, more = (np.concatenate([np.zeros(0, np.int64), *(unpack_counts(x.as_py()) for x in right.column(n))]).astype(float)[places(k)] for n, k in (("word_counts", word), ("gram_counts", more)))
+        two, three = more[: len(first)], np.zeros(len(first))
+        three[~first] = more[len(first) :]
         below = np.log10(root.n + 0.5 * (root.v + 1))
-        left = left.filter(left.column("ask"))
-        outs = []
-        for part, t in slices(left.column("text"), 4 << 20):
-            word, pair, triple, first, owner = _keys(t)
-            one = found[0][np.searchsorted(words, word)]
-            two, three = (found[1][np.searchsorted(more, np.where(first, pair, x) >> np.uint64(narrow))] for x in (pair, triple))
-            got = {"n_tokens": np.bincount(owner, minlength=t.n), "n_known": np.bincount(owner, one > 0, t.n).astype(np.int64), "train_tokens": np.full(t.n, int(root.n)), "base_score": np.bincount(owner, np.log10(one + 0.5) - below, t.n), "score": np.bincount(owner, root.run(one, two, three, first), t.n)}
-            piece = left.slice(part.start, part.stop - part.start)
-            outs.append(pa.table({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), **{k: pa.array(x) for k, x in got.items()}}))
-        if not outs:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
-        return pa.concat_tables(outs)
+        got = {"n_tokens": np.bincount(owner, minlength=t.n), "n_known": np.bincount(owner, one > 0, t.n).astype(np.int64), "train_tokens": np.full(t.n, int(root.n)), "base_score": np.bincount(owner, np.log10(one + 0.5) - below, t.n), "score": np.bincount(owner, root.run(one, two, three, first), t.n)}
+        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), **{k: pa.array(x) for k, x in got.items()}}).filter(left.column("ask"))
 
     return rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, _TYPE)

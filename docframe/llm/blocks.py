@@ -16,18 +16,28 @@ _HEAD = struct.Struct("<IBBI")
 
 
 def unique(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and how many of each have ``learn``."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    """Distinct keys (below 2^63), ascending, and how many of each have ``learn``."""
+    both = np.sort(keys << np.uint64(1) | learn.astype(np.uint64))
+    keys = both >> np.uint64(1)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(learn[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    return keys[first], counts
+    return keys[first], np.add.reduceat(both & np.uint64(1), first).astype(np.int64) if len(first) else first
+
+
+def places(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct ones in ascending order."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), np.int64)
+    new[1:] = keys[1:] != keys[:-1]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
 
 
 def pack(keys: np.ndarray, width: int) -> bytes:
     """Ascending distinct keys below 2^width."""
     n = len(keys)
-    low = max(0, -(-(width - max(n, 1).bit_length()) // 8))
+    low = max(0, (width - max(n, 1).bit_length() + 4) // 8)
     high = (keys >> np.uint64(8 * low)).astype(np.int64) if low < 8 else np.zeros(n, np.int64)
     size = np.bincount(high, minlength=1 << (width - 8 * low)) if width > 8 * low else np.array([n])
     wide = 1 if size.max(initial=0) < 256 else 4
