@@ -1,54 +1,62 @@
 """SimHash fingerprints and exact near-duplicate links by vantage-point trees.
 
 Copies meet first: links are sought between distinct fingerprints only. Two
-fingerprints of 64 bits that differ in at most 3 agree in one of four blocks
-of 16 bits, that is, they have distance 0 there. So the first level of the
-search has the 4 x 65,536 block values as vantage points, and a fingerprint
-lies on the border of (is sent to) exactly four shards. A plain vantage-point
-split of whole fingerprints does not work as a first level: distances between
-unrelated ones pile up around 32, and some 60% of rows would lie within 3 of
-any radius. Within a shard a vantage-point tree is built on whole
-fingerprints: points sorted by distance from a vantage point and halved at the
-median; a pair can only span the halves if both lie within 3 of the radius
-(triangle inequality), so only that border is compared.
-
-A shard with more than ``SHARD_ROWS`` fingerprints is dealt into groups, and
-every two of its groups meet in a task of their own, so no task holds more
-than two groups. Shards give spanning links (each fingerprint to the least one
-of its local component), never all pairs.
-
-``near_duplicates`` has fingerprints of 64 bits over three words and links at
-3 bits. That is close to equality: texts of similarity 0.8 differ in some 9 of
-64 bits. ``keep_one`` therefore takes five-word shingle sets and finds pairs by
-an exact prefix filter: shards are shingles that any two sets of similarity 0.8
-must share. Sizes and 256 parity bits rule out pairs that can't be similar; the
-rest are compared by whole shingle sets, first those that span each shard, and
-where one of them is not similar, those it stood for (``confirmed``).
+fingerprints of 64 bits that differ in at most 3 differ in at most 1 in one of
+their halves. So each half (32 bits, distance 1) is searched by vantage points:
+a fingerprint lies in the shard named by its half's distances to ``m`` fixed
+vantage words. By the triangle inequality two halves at distance 0 lie in one
+shard, and at distance 1 in shards whose distances all differ by exactly 1 (one
+bit flipped changes every distance by 1). Of two such halves one has an odd
+number of bits; every odd one is sent as a guest to the 2^m shards across its
+borders. So a fingerprint is sent some 1 + 2^(m-1) times a half; ``m`` grows
+with the logarithm of the number of fingerprints so that a shard holds some
+hundreds on average.
+
+Within a shard a vantage-point tree is built on the halves of the fingerprints
+at home there, halved at the median distance from one of them; a fingerprint,
+at home or guest, goes down a branch only if its distance from the vantage point
+is within 1 of the branch's range. At the leaves whole fingerprints are
+compared. (Trees on whole fingerprints would not prune: distances between
+unrelated ones pile up around 32 of 64 bits, so some 60% of rows lie within 3 of
+any radius, and a distributed split would copy every row 1.6 times a level.)
+
+A shard with more than ``SHARD_ROWS`` rows is dealt into groups, and every two
+of its groups meet in a task of their own, so no task holds more than two
+groups. Shards give spanning links (each fingerprint to the least one of its
+local component), never all pairs.
+
+That distance is close to equality: texts of similarity 0.8 differ in some 9 of
+64 bits. ``keep_one`` therefore compares five-word shingle sets (``shingles``).
 
 Defined results: texts without a word have fingerprint zero and are linked
-like any other; null texts count as empty; repeated rows are kept; a null id
-takes part in links but can't name a component.
+like any other; null texts count as empty; very long texts are read whole;
+repeated rows are kept; a null id takes part in links but can't name a
+component; of several ids the least names it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.checkpoints import cut
 from docframe.llm.components import components
-from docframe.llm.textkit import LOWER, NOT_BLANK, Texts, chain, hash_spans, slices
+from docframe.llm.shingles import Forest, Pairs, apart_of, keep_one, meet_in_shards
 from docframe.ship import ship
 
+__all__ = ["fingerprint_documents", "keep_one", "near_duplicates", "near_links"]
+
 BITS_APART = 3
-SHARD_ROWS = 1024
 LEAF = 48
+#: Mean number of fingerprints that a shard should hold.
+SHARD_MEAN = 512
+#: Vantage words for 32-bit halves; the first ``m`` are used.
+VANTAGE = [int(x) for x in np.random.default_rng(20250107).integers(0, 2**32, 10)]
 _BIT_ROWS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -98,257 +106,83 @@ def fingerprint_documents(docs: DataFrame, words: int = 3, doc_id: str = "doc_id
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-class Forest:
-    """Local components of numbered points; ``root`` is the least number of each."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.root[a], self.root[b]
-            apart = ra != rb
-            if not apart.any():
-                return
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                r = self.root[self.root]
-                if (r == self.root).all():
-                    break
-                self.root = r
-
-    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        self.link(a, b)
-
-
-class Pairs:
-    """Near pairs of numbered points, thinned to a least spanning forest whenever there are many."""
-
-    MOST = 1_000_000
-
-    def __init__(self, n: int):
-        self.n, self.held, self.size = n, [], 0
-
-    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        self.held.append((np.minimum(a, b), np.maximum(a, b), apart.astype(np.int16)))
-        self.size += len(a)
-        if self.size > self.MOST:
-            self.held = [self.forest()]
-            self.size = len(self.held[0][0])
-
-    def forest(self, whole: Forest | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, apart) of a least spanning forest (of what ``whole`` has not joined yet): every part takes its nearest pair to another part, until none is left."""
-        a, b, apart = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*self.held, strict=True) if self.held else ((), (), ())))
-        order = np.lexsort((b, a, apart))
-        a, b, apart = a[order], b[order], apart[order]
-        whole, kept, at = whole or Forest(self.n), [], np.arange(len(a))
-        while len(at := at[whole.root[a[at]] != whole.root[b[at]]]):
-            best = np.full(self.n, len(a))
-            np.minimum.at(best, whole.root[a[at]], at)
-            np.minimum.at(best, whole.root[b[at]], at)
-            best = np.unique(best[best < len(a)])
-            kept.append(best)
-            whole.link(a[best], b[best])
-        kept = np.concatenate([np.zeros(0, np.int64), *kept])
-        return a[kept], b[kept], apart[kept]
-
-
-class Spanning(Pairs):
-    """Pairs that span all near ones; those whose ends are joined already are dropped as they come."""
-
-    def __init__(self, n: int):
-        super().__init__(n)
-        self.whole, self.kept = Forest(n), []
-
-    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        new = self.whole.root[a] != self.whole.root[b]
-        if new.any():
-            self.held = [(a[new], b[new], apart[new].astype(np.int16))]
-            self.kept.append(self.forest(self.whole))
-
-
-class Nearest(Pairs):
-    """Near pairs between points of different components ``of``: those among the ``k`` nearest of one of their ends."""
-
-    def __init__(self, of: np.ndarray, k: int):
-        super().__init__(len(of))
-        self.of, self.k, self.more = of, k, np.zeros(len(of), bool)
-
-    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        ok = self.of[a] != self.of[b]
-        super().near(a[ok], b[ok], apart[ok])
-
-    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, apart); ``more`` marks points of which pairs were left out."""
-        a, b, apart = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*self.held, strict=True) if self.held else ((), (), ())))
-        order = np.lexsort((b, a, apart))
-        a, b, apart = a[order], b[order], apart[order]
-        end, at = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-        order = np.lexsort((at, end))
-        place = np.arange(len(end)) - np.searchsorted(end[order], end[order])
-        kept = np.zeros(len(a), bool)
-        kept[at[order[place < self.k]]] = True
-        self.more[a[~kept]] = True
-        return a[kept], b[kept], apart[kept]
-
-
-def _apart(x: np.ndarray, a, b) -> np.ndarray:
-    """Differing bits of points a and b of x, which has one or several words a point."""
-    if x.ndim == 1:
-        return np.bitwise_count(x[a] ^ x[b])
-    return sum(np.bitwise_count(x[a, k] ^ x[b, k]).astype(np.int16) for k in range(x.shape[1]))
-
-
-def _compare(x: np.ndarray, i: np.ndarray, j: np.ndarray | None, most: int, forest: Forest | Pairs) -> None:
-    """Near pairs of points i and points j (None: among themselves)."""
-    other = i if j is None else j
-    if not len(i) or not len(other):
-        return
+def compare(x: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, forest: Forest | Pairs) -> int:
+    """Links points i and j of x that are at most ``most`` bits apart; the number of comparisons."""
     for a in range(0, len(i), 128):
         rows = i[a : a + 128]
-        d = _apart(x, rows[:, None], other[None, :])
-        p, q = np.nonzero(d <= most if j is not None else (d <= most) & (rows[:, None] < other[None, :]))
-        forest.near(rows[p], other[q], d[p, q])
+        d = apart_of(x, rows[:, None], j[None, :])
+        p, q = np.nonzero(d <= most)
+        forest.near(rows[p], j[q], d[p, q])
+    return len(i) * len(j)
 
 
-def tree_links(x: np.ndarray, points: np.ndarray, most: int, forest: Forest | Pairs) -> None:
-    """All links within ``points`` of x, by a vantage-point tree walked as it is built."""
-    todo = [points]
+def tree_links(x: np.ndarray, half: np.ndarray, home: np.ndarray, asking: np.ndarray, most: int, forest: Forest | Pairs) -> int:
+    """Links between points at home and points asking whose halves are at most 1 apart, by a vantage-point tree walked as it is built; the number of comparisons."""
+    todo, count = [(home, asking)], 0
     while todo:
-        p = todo.pop()
-        if len(p) <= LEAF:
-            _compare(x, p, None, most, forest)
+        h, q = todo.pop()
+        if not len(h) or not len(q):
             continue
-        d = _apart(x, p, p[len(p) // 2]).astype(np.int64)
-        r = int(np.median(d))
-        near, far = p[d <= r], p[d > r]
-        if not len(far):
-            near, far = p[d < r], p[d >= r]
-            if not len(near):  # all at one distance: this vantage point can't part them
-                _compare(x, p, None, most, forest)
-                continue
-            r -= 1
-        dn, df = d[d <= r], d[d > r]
-        _compare(x, near[dn > r - most], far[df <= r + most], most, forest)
-        todo += [near, far]
-
-
-def _shards(key: np.ndarray, x: np.ndarray, most: int, sink: Forest | Pairs) -> None:
-    """All near pairs of rows of one key; rows are sorted by key, x holds their fingerprints."""
-    n = len(x)
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    size = np.diff(cuts)
-    small = np.repeat(size <= LEAF, size)
-    for s in range(1, min(LEAF, int(size.max(initial=0)) + 1)):
-        ok = (key[s:] == key[:-s]) & small[s:]
-        if not ok.any():
-            break
-        i = np.flatnonzero(ok)
-        d = _apart(x, i, i + s)
-        i, d = i[d <= most], d[d <= most]
-        sink.near(i, i + s, d)
-    for c in np.flatnonzero(size > LEAF):
-        tree_links(x, np.arange(cuts[c], cuts[c + 1]), most, sink)
+        split = None
+        for at in (len(h) // 2, 0, len(h) - 1, len(h) // 3) if len(h) > LEAF else ():
+            v = half[h[at]]
+            d = np.bitwise_count(half[h] ^ v).astype(np.int64)
+            r = int(np.median(d))
+            r -= int((d <= r).all())
+            if (d <= r).any():
+                split = v, d, r
+                break
+        if split is None:  # few, or no vantage point parts them
+            count += compare(x, q, h, most, forest)
+            continue
+        v, d, r = split
+        e = np.bitwise_count(half[q] ^ v).astype(np.int64)
+        todo += [(h[d <= r], q[e <= r + 1]), (h[d > r], q[e >= r])]
+    return count
 
 
 def shard_links(key: np.ndarray, x: np.ndarray, most: int = BITS_APART) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (row, first row of its local component)."""
+    """Spanning links (row, first row of its local component) of rows sorted by key; x: fingerprint, and 2 * half + guest."""
     forest = Forest(len(x))
-    _shards(key, x, most, forest)
+    fp, what = x[:, 0], x[:, 1]
+    half = fp >> (what >> np.uint64(1)) * np.uint64(32) & np.uint64(0xFFFFFFFF)
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        if b - a > 1:
+            every = np.arange(a, b)
+            tree_links(fp, half, every[what[a:b] & np.uint64(1) == 0], every, most, forest)
     linked = np.flatnonzero(forest.root != np.arange(len(x)))
     return linked, forest.root[linked]
 
 
-def shard_pairs(key: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a least spanning forest, the row with fewer of them first."""
-    pairs = Pairs(len(x))
-    _shards(key, x, most, pairs)
-    a, b, _ = pairs.forest()
-    degree = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
-    return np.where(degree[a] > degree[b], b, a), np.where(degree[a] > degree[b], a, b)
+def vantage_points(n: int) -> int:
+    """How many for n fingerprints: each parts shards by some 2.5 bits (the first by 3.5), as distances of one half are all even or all odd."""
+    return int(np.clip(np.ceil((np.log2(max(1, n) / SHARD_MEAN) - 1) / 2.5), 1, len(VANTAGE)))
 
 
-class Sized:
-    """Hands on the pairs that sizes and differing bits of their sets leave a chance of similarity 0.8: exact, see ``parities``."""
+def in_vantage_shards(distinct: DataFrame, m: int) -> DataFrame:
+    """(node, shard, fp, what): every fingerprint at home in one shard a half, and as a guest in those across its borders."""
+    steps = [sum((1 if c >> i & 1 else -1) << 6 * i for i in range(m)) for c in range(1 << m)]
 
-    def __init__(self, sink: Pairs, n: np.ndarray):
-        self.sink, self.n = sink, n
+    def of_half(j: int) -> Column:
+        half = F.shiftrightunsigned(F.col("fp"), 32 * j).bitwiseAND(F.lit(0xFFFFFFFF))
+        at = sum((F.shiftleft((F.bit_count(half.bitwiseXOR(F.lit(v))) + 1).cast("long"), 6 * i) for i, v in enumerate(VANTAGE[:m])), F.lit(j << 62))
+        row = lambda shard, what: F.struct(shard.alias("shard"), F.lit(what).cast("long").alias("what"))
+        own = F.array(row(at, 2 * j))
+        guests = F.transform(F.array(*[F.lit(s).cast("long") for s in steps]), lambda s: row(at + s, 2 * j + 1))
+        return F.when(F.bit_count(half) % 2 == 1, F.concat(own, guests)).otherwise(own)
 
-    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        na, nb = self.n[a], self.n[b]
-        ok = (apart.astype(np.int64) * 9 <= na + nb) & (np.maximum(na, nb) * 4 <= np.minimum(na, nb) * 5)
-        self.sink.near(a[ok], b[ok], apart[ok])
+    shards = [of_half(0), of_half(1)]
+    return distinct.select(F.col("fp").alias("node"), "fp", F.explode(F.concat(*shards)).alias("s")).select("node", "s.shard", "fp", "s.what")
 
 
-def set_pairs(key: np.ndarray, x: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets (parities, size, component if k) that may be similar, the row with fewer of them first.
-
-    k = 0: pairs that span them all. Otherwise pairs of different components, the
-    ``k`` nearest of each row; a row paired with itself has more of them.
-    """
-    words = LONG_BITS // 64
-    n = x[:, words].astype(np.int64)
-    pairs = Nearest(x[:, words + 1], k) if k else Spanning(len(x))
-    _shards(key, x[:, :words], min(LONG_BITS, int(n.max(initial=0)) * 2 // 9), Sized(pairs, n))
-    a, b, _ = pairs.forest() if k else tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*pairs.kept, strict=True) if pairs.kept else ((), (), ())))
-    degree = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
-    swap = degree[a] > degree[b]
-    more = np.flatnonzero(pairs.more) if k else np.zeros(0, np.int64)
-    return np.concatenate([np.where(swap, b, a), more]), np.concatenate([np.where(swap, a, b), more])
-
-
-def near_links(distinct: DataFrame, most: int = BITS_APART, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_links(distinct: DataFrame, most: int = BITS_APART, shard_rows: int | None = None, m: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints that span all pairs at most 3 bits apart."""
     if most > 3:
-        raise ValueError("four blocks are exact up to 3 bits")
+        raise ValueError("halves at distance 1 are exact up to 3 bits")
     ship(distinct.sparkSession)
-    block = lambda j: F.shiftrightunsigned(F.col("fp"), 16 * j).bitwiseAND(F.lit(0xFFFF))
-    rows = distinct.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*[F.lit(j << 16).cast("long") + block(j) for j in range(4)])).alias("shard"))
-    return _meet_in_shards(rows, ["fp"], most, shard_rows)
-
-
-def _meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int, links_of=shard_links) -> DataFrame:
-    """(a, b): links between rows (node, shard, words of the fingerprint) of one shard, spanning all pairs at most ``most`` bits apart."""
-    # a hot shard has over shard_rows of the rows, so this table is at most rows / shard_rows long
-    hot = rows.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("long").alias("groups"))
-    rows = rows.join(hot, "shard", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("groups"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda g: F.least(g, F.col("mine")) * 2097152 + F.greatest(g, F.col("mine")))
-    rows = rows.withColumn("mine", mine).select("node", "shard", F.explode(pairs).alias("pair"), *words)
-    key = F.xxhash64("shard", "pair")
-    rows = rows.select(key.alias("key"), "shard", "pair", "node", *words).repartition("key").sortWithinPartitions("key", "shard", "pair", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            col = [t.column(k).to_numpy() for k in range(3)]
-            new = np.zeros(t.num_rows, np.int64)
-            new[1:] = np.any([c[1:] != c[:-1] for c in col], 0)
-            x = [t.column(k).to_numpy().view(np.uint64) for k in range(4, t.num_columns)]
-            a, b = links_of(np.cumsum(new), x[0] if len(x) == 1 else np.stack(x, 1), most)
-            node = t.column(3).to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = batch.column(0).to_numpy()
-            if held and held[0].column(0)[0].as_py() != k[0]:
-                yield links(held)
-                held = []
-            # the last key of a batch may go on in the next one
-            at = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-            if at:
-                yield links([*held, batch.slice(0, at)])
-                held = []
-            held.append(batch.slice(at))
-        if held:
-            yield links(held)
-
-    return rows.mapInArrow(run, "a long, b long")
+    m = m or vantage_points(distinct.count())
+    return meet_in_shards(in_vantage_shards(distinct, m), ["fp", "what"], most, shard_rows, shard_links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -360,196 +194,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     name = root.groupBy("root").agg(F.min("least").alias("component_id"))
     of = root.join(name, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: Bits of the parities of a set.
-LONG_BITS = 256
-SIMILAR = 0.8
-#: Pairs a row that are compared at first where a forest's were not similar.
-NEAREST = 16
-#: The order of shingles looks at so many texts, and knows so many shingles as common.
-ORDER_TEXTS, ORDER_SHINGLES = 5000, 200_000
-
-
-def shingle_sets(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of the distinct shingles of each text, both ascending; of fewer than n words, one of them all."""
-    s, e, doc = t.spans(NOT_BLANK)
-    (h,) = hash_spans(LOWER[t.buf], s, e)
-    size = np.bincount(doc, minlength=t.n)
-    g = chain(h, n)
-    ok = doc[n - 1 :] == doc[: len(g)]
-    short = np.flatnonzero((size > 0) & (size < n))
-    first = np.searchsorted(doc, short)
-    own = np.array([chain(h[a : a + k], k)[0] for a, k in zip(first, size[short], strict=True)], np.uint64)
-    g, of = np.concatenate([g[ok], own]), np.concatenate([doc[: len(g)][ok], short])
-    order = np.lexsort((g, of))
-    g, of = g[order], of[order]
-    fresh = np.ones(len(g), bool)
-    fresh[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
-    return g[fresh], of[fresh]
-
-
-def similarities(a: Texts, b: Texts) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of text k of a and text k of b; 1 for two texts without words."""
-    (ga, oa), (gb, ob) = shingle_sets(a), shingle_sets(b)
-    g, of = np.concatenate([ga, gb]), np.concatenate([oa, ob])
-    order = np.lexsort((g, of))
-    g, of = g[order], of[order]
-    both = np.bincount(of[1:][(g[1:] == g[:-1]) & (of[1:] == of[:-1])], minlength=a.n)
-    union = np.bincount(of, minlength=a.n) - both
-    return np.where(union > 0, both / np.maximum(1, union), 1.0)
-
-
-def _mixed(g: np.ndarray) -> np.ndarray:
-    x = (g ^ g >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ x >> np.uint64(29)
-
-
-def parities(g: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Per set (4 columns): for each of 256 classes of shingles, whether it holds an odd number of them.
-
-    Each differing bit of two sets takes a shingle of its own that only one of
-    them holds. At similarity 0.8 or more those are at most a ninth of the sum
-    of the sizes, so a pair that differs in more bits is not similar.
-    """
-    bit = _mixed(g) >> np.uint64(56)
-    out = np.zeros((n, LONG_BITS // 64), np.uint64)
-    np.bitwise_xor.at(out, (of, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    return out
-
-
-def prefixes(g: np.ndarray, of: np.ndarray, n: int, common: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, offsets): of each set of s shingles the first s - ceil(0.8 s) + 1 in an order of all shingles.
-
-    Two sets of similarity 0.8 or more share at least ceil(0.8 s) shingles, so
-    also one of these, whatever the order. It takes shingles rare in a sample
-    first (``common``, ascending, and how often they were ``seen``).
-    """
-    i = np.minimum(np.searchsorted(common, g), max(0, len(common) - 1))
-    often = np.where(common[i] == g, seen[i], 0) if len(common) else np.zeros(len(g), np.int64)
-    order = np.lexsort((_mixed(g), often, of))
-    size = np.bincount(of, minlength=n)
-    first = np.cumsum(size) - size
-    take = np.where(size > 0, size - -(-size * 4 // 5) + 1, 0)
-    inside = np.arange(len(g)) - np.repeat(first, size) < np.repeat(take, size)
-    return g[order][inside], np.concatenate([[0], np.cumsum(take)])
-
-
-def compared(docs: DataFrame, proposed: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b, ok): the pairs of ids, and whether their texts have a similarity of ``least`` or more.
-
-    Texts join the end with fewer pairs first, so rows grow only by texts of
-    their own; at the other end a hub's rows are as wide as their texts, and
-    are split by size.
-    """
-    u, v = F.least("a", "b"), F.greatest("a", "b")
-    ends = proposed.groupBy(u.alias("u"), v.alias("v")).agg(F.sum(F.when(F.col("a") == u, 1).otherwise(-1)).alias("s"))
-    ends = ends.select(F.when(F.col("s") >= 0, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(F.col("s") >= 0, F.col("v")).otherwise(F.col("u")).alias("b")).where("a <> b")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    one = cut(ends).join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("text_a"))
-    two = one.join(texts, F.col("b") == F.col("id")).select("a", "b", "text_a", F.col("text").alias("text_b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, t in slices(batch.column(2)):
-                other = next(slices(batch.column(3)[part], 1 << 62))[1]
-                ok = pa.array(similarities(t, other) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], ok], ["a", "b", "ok"])
-
-    return two.mapInArrow(check, "a long, b long, ok boolean")
-
-
-def confirmed(docs: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int], DataFrame], near: int = NEAREST) -> DataFrame:
-    """(node, root): components of the pairs of near rows (node, shard, ...) of one shard whose texts are similar.
-
-    ``meet(rows, 0)`` proposes a forest that spans the near pairs of each shard.
-    A pair of it that is not similar may stand for others that are, so rows go
-    on if such a pair leaves their component: ``meet(rows, k)``, rows having
-    their component in ``root``, proposes for each row its k nearest of other
-    components. k grows until no near pair was left out. So in the end each near
-    pair was compared, or has both ends in one component.
-    """
-    done = cut(compared(docs, meet(dealt, 0)))
-    linked, failed = cut(components(done.where("ok"))), done.where("not ok")
-    while True:
-        pairs = failed.join(linked.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(linked.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        pairs = pairs.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-        going = cut(pairs.select("ra").union(pairs.select("rb")).distinct())
-        if not going.limit(1).count():
-            return linked
-        of = dealt.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        proposed = cut(meet(of.join(going.withColumnRenamed("ra", "root"), "root", "left_semi"), near))
-        seen = failed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
-        done = cut(compared(docs, fresh))
-        linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(done.where("ok").select("a", "b"))))
-        if not proposed.where("a = b").limit(1).count():
-            return linked
-        failed, near = failed.union(done.where("not ok")), near * 16
-
-
-def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, count) of a sample of texts, ascending; only the order of ``prefixes`` depends on it, and no result."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, t in slices(b.column(0)):
-                key, c = np.unique(shingle_sets(t)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], ["g", "c"])
-
-    part = max(1, rows.count() // ORDER_TEXTS)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(part)) == 0).select("text")
-    got = sample.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c > 3").orderBy(F.desc("c"), "g").limit(ORDER_SHINGLES).toArrow()
-    g = got.column("g").to_numpy().view(np.uint64)
-    order = np.argsort(g)
-    return g[order], got.column("c").to_numpy()[order]
-
-
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, least): for every row with an id, the least id of its group of similar texts.
-
-    Texts with equal shingle sets meet by a hash of the set. Distinct sets meet
-    in shards keyed by the shingles of their prefix, which two similar sets
-    always share; shingles of one set only are no shard.
-    """
-    spark = ship(docs.sparkSession)
-    names = [f"w{k}" for k in range(LONG_BITS // 64)]
-    longs = "doc_id long, whole long, n long, " + ", ".join(f"{x} long" for x in names)
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(common_shingles(rows))
-
-    def prints(batches: Iterator[pa.RecordBatch], prefix: bool = False) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, t in slices(b.column(1)):
-                g, of = shingle_sets(t)
-                count = np.bincount(of, minlength=t.n)
-                whole = np.zeros(t.n, np.uint64)
-                np.add.at(whole, of, (g ^ g >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD))
-                fp = parities(g, of, t.n)
-                columns = [b.column(0)[part], pa.array(whole.view(np.int64)), pa.array(count), *[pa.array(fp[:, k].copy().view(np.int64)) for k in range(fp.shape[1])]]
-                if prefix:
-                    first, offsets = prefixes(g, of, t.n, *shared.value)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "n", *names, *(["prefix"] if prefix else [])])
-
-    sets = rows.mapInArrow(partial(prints, prefix=True), longs + ", prefix array<long>")
-    sets = cut(sets.groupBy("whole", "n", *names).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
-    firsts = sets.where("n > 0").select("node", F.explode("prefix").alias("shard"))
-    dealt = cut(firsts.join(firsts.groupBy("shard").count().where("count > 1"), "shard", "left_semi"))
-    dealt = dealt.join(sets.where("n > 0").select("node", "n", *names), "node")
-
-    def meet(rows: DataFrame, k: int) -> DataFrame:
-        return _meet_in_shards(rows, [*names, "n", *(["root"] if k else [])], LONG_BITS, SHARD_ROWS, partial(set_pairs, k=k))
-
-    linked = confirmed(docs, dealt, meet)
-    least = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", *names, F.coalesce("root", "node").alias("least"))
-    return rows.mapInArrow(prints, longs).join(least, ["whole", "n", *names]).select("doc_id", "least")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the least id of each group of similar texts; rows with a null id stay. Columns as they are."""
-    kept = cut(similar_groups(docs).where(F.col("doc_id") == F.col("least")).groupBy("doc_id").count())
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
