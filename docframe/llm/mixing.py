@@ -1,10 +1,12 @@
 """Mixing to target weights with soft domain membership.
 
-A classifier learned from the label table gives every document its posterior
-over the domains ``high``, ``low`` and ``toxic``. Nonnegative rates (how often
-a document is taken, on average) are then fitted so that the expected token
-total of each domain meets its target: projected gradient descent on a least
-squares distance between totals and targets, plus a small pull towards rate 1.
+A classifier learned from a labelled table gives every document its posterior
+over some domains: ``high``, ``low`` and ``toxic`` of the label table
+(``mix``), or any classes of a ``DomainModel`` (``mix_documents``). Nonnegative
+rates (how often a document is taken, on average) are then fitted so that the
+expected token total of each domain meets its target: projected gradient descent
+on a least squares distance between totals and targets, plus a small pull
+towards rate 1.
 
 The rates are never stored between steps. A step changes a document's rate by
 its posterior times one vector for all, so the rate follows from the document's
@@ -15,21 +17,28 @@ The least squares norm is weighted by the inverse (ridged) second moment of the
 posteriors, which gives the unit step the same pace in rare and common domains.
 
 Defined results: null and empty texts have 0 tokens and don't weigh in, but get
-a posterior and a rate; repeated rows get equal rates; with no rows or no
-tokens all rates are 1; a domain that no document belongs to can't meet its
-target, and the others meet theirs as far as they can.
+a posterior and a rate; very long texts are read whole; repeated rows, and rows
+of equal posterior, get equal rates; a null id changes nothing; with no rows or
+no tokens all rates are 1; a domain that too few documents belong to can't meet
+its target, the others meet theirs as far as they can, and ``Fit.unmet`` and the
+column ``unmet`` name it. ``mix_documents`` keeps all columns; an input column of
+the name of a result (``rate``, ``unmet``, ``p_...``) gives way to it.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docframe.checkpoints import cut
+from docframe.llm.domains import DomainModel
 from docframe.llm.quality import QualityModel
 from docframe.llm.textkit import NOT_BLANK, slices
 from docframe.llm.toxicity import ToxicModel
@@ -37,7 +46,9 @@ from docframe.ship import ship
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = (0.90, 0.08, 0.02)
-ROUNDS, PULL, RIDGE, CLOSE = 25, 1e-4, 0.02, 1e-4
+ROUNDS, PULL, RIDGE, CLOSE = 40, 1e-4, 0.02, 1e-4
+#: A domain's share may be off by so much before its target counts as unmet.
+UNMET = 5e-3
 
 
 def posteriors(docs: DataFrame, toxic: ToxicModel, quality: QualityModel) -> DataFrame:
@@ -64,28 +75,96 @@ def rate_after(steps: list[np.ndarray], names: list[str], pull: float = PULL) ->
     return r
 
 
-def fit_rates(members: DataFrame, targets=TARGETS, names: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``members`` (tokens, and one posterior column per domain) with a column ``rate``; ``targets`` are shares of all tokens."""
+@dataclass
+class Fit:
+    """The vectors of all steps, and by domain the share of tokens that the rates reach and the one that was to be met."""
+
+    names: list[str]
+    steps: list[np.ndarray]
+    reached: np.ndarray
+    targets: np.ndarray
+
+    @property
+    def unmet(self) -> list[str]:
+        return [n.removeprefix("p_") for n, x, y in zip(self.names, self.reached, self.targets, strict=True) if abs(x - y) > UNMET]
+
+    def rate(self) -> Column:
+        return rate_after(self.steps, self.names)
+
+    def columns(self) -> dict[str, Column]:
+        return {"rate": self.rate(), "unmet": F.array(*[F.lit(x) for x in self.unmet]).cast("array<string>")}
+
+
+def fit(members: DataFrame, targets=TARGETS, names: list[str] | None = None, rounds: int = ROUNDS) -> Fit:
+    """``members``: tokens, and one posterior column per domain; ``targets`` are shares of all tokens."""
     names = names or [f"p_{d}" for d in DOMAINS]
-    k = len(names)
+    k, want = len(names), np.asarray(targets, float)
     first = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(a) * F.col(b)) for a in names for b in names]).first()
     total = first[0] or 0
     steps: list[np.ndarray] = []
-    if total:
-        second = np.array(first[1:], float).reshape(k, k) / total
-        norm = np.linalg.inv(second + RIDGE * np.eye(k))
-        want = np.asarray(targets, float)
-        last = None
-        for _ in range(rounds):
-            now = members.withColumn("rate", rate_after(steps, names)).agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col(n)) for n in names]).first()
-            gap = np.array(now, float) / total - want
-            if np.abs(gap).max() < CLOSE or last is not None and np.abs(gap - last).max() < CLOSE / 10:
-                break
-            steps.append(norm @ gap)
-            last = gap
-    return members.withColumn("rate", rate_after(steps, names))
+    if not total:
+        return Fit(names, steps, want, want)
+    second = np.array(first[1:], float).reshape(k, k) / total
+    norm = np.linalg.inv(second + RIDGE * np.eye(k))
+    last = None
+    while True:
+        now = members.withColumn("rate", rate_after(steps, names)).agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col(n)) for n in names]).first()
+        gap = np.array(now, float) / total - want
+        if len(steps) == rounds or np.abs(gap).max() < CLOSE or last is not None and np.abs(gap - last).max() < CLOSE / 10:
+            break
+        steps.append(norm @ gap)
+        last = gap
+    done = Fit(names, steps, gap + want, want)
+    if done.unmet:
+        warnings.warn(f"targets not met: {dict(zip(names, zip(done.reached.round(4), want, strict=True), strict=True))}", stacklevel=2)
+    return done
+
+
+def fit_rates(members: DataFrame, targets=TARGETS, names: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """``members`` with the columns ``rate`` and ``unmet``."""
+    return members.withColumns(fit(members, targets, names, rounds).columns())
 
 
 def mix(docs: DataFrame, toxic: ToxicModel, quality: QualityModel, targets=TARGETS) -> DataFrame:
-    """(doc_id, tokens, p_high, p_low, p_toxic, rate)."""
+    """(doc_id, tokens, p_high, p_low, p_toxic, rate, unmet): domains of the label table."""
     return fit_rates(cut(posteriors(docs, toxic, quality)), targets)
+
+
+def members_of(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
+    """(tokens, p_<class>...): one row per input row."""
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+    names = [f"p_{k}" for k in model.classes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, t in slices(b.column(0)):
+                tokens = np.bincount(t.spans(NOT_BLANK)[2], minlength=t.n)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *map(pa.array, shared.value.posteriors(t))], ["tokens", *names])
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "tokens long" + "".join(f", `{n}` double" for n in names))
+
+
+def with_posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
+    """All rows and columns, and p_<class>...; no shuffle."""
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+    names = [f"p_{k}" for k in model.classes]
+    docs = docs.drop(*[n for n in names if n != text])
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, t in slices(b.column(at)):
+                rows = b.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, shared.value.posteriors(t))], [*rows.schema.names, *names])
+
+    schema = docs.schema
+    for n in names:
+        schema = StructType([*schema.fields, StructField(n, DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def mix_documents(docs: DataFrame, model: DomainModel, targets) -> DataFrame:
+    """All rows and columns, p_<class>..., rate and unmet. Texts are read twice and never exchanged."""
+    names = [f"p_{k}" for k in model.classes]
+    done = fit(cut(members_of(docs, model)), targets, names)
+    return with_posteriors(docs, model).withColumns(done.columns())

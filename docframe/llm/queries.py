@@ -74,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    import corpus_pipeline  # which imports this package
 
     return corpus_pipeline.run(spark, sf_dir)
 
