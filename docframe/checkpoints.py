@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder if all runs on this machine, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="docframe_")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
 
-    The setting is read from the session; only where it is unset (tests on
-    one machine) a temporary folder is set. The files survive a lost executor.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder. The files survive a lost executor."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docframe_ckpt_"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
