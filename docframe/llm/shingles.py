@@ -8,8 +8,8 @@ fingerprint has, for each of 128 classes of its shingles, their number mod 16 in
 a code (Johnson's) whose differing bits are the difference of the numbers; so
 two sets differ in at least as many shingles as their fingerprints in bits.
 Vantage-point trees find the fingerprints of a shard that are near enough. Those
-pairs that sizes and fingerprints leave a chance are compared by whole shingle
-sets, first those that span each shard, and where one of them is not similar,
+pairs that sizes, fingerprints and finer counts of the same kind (as many classes
+as half the set's shingles) leave a chance are compared by whole shingle sets, first those that span each shard, and where one of them is not similar,
 those it stood for (``confirmed``).
 
 Only texts that take part in a comparison are exchanged, and only rows that may
@@ -280,6 +280,12 @@ def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int
     return rows.mapInArrow(run, "a long, b long")
 
 
+def by_text(of: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """The order by text number, then key."""
+    order = np.argsort(key)
+    return order[np.argsort(of[order].astype(np.int16 if n < 1 << 15 else np.int64), kind="stable")]
+
+
 def shingle_sets(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of the distinct shingles of each text, both ascending; of fewer than n words, one of them all."""
     s, e, doc = t.spans(NOT_BLANK)
@@ -291,7 +297,7 @@ def shingle_sets(t: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(doc, short)
     own = np.array([chain(h[a : a + k], k)[0] for a, k in zip(first, size[short], strict=True)], np.uint64)
     g, of = np.concatenate([g[ok], own]), np.concatenate([doc[: len(g)][ok], short])
-    order = np.lexsort((g, of))
+    order = by_text(of, g, t.n)
     g, of = g[order], of[order]
     fresh = np.ones(len(g), bool)
     fresh[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
@@ -302,7 +308,7 @@ def similarities(a: Texts, b: Texts) -> np.ndarray:
     """Jaccard similarity of the shingle sets of text k of a and text k of b; 1 for two texts without words."""
     (ga, oa), (gb, ob) = shingle_sets(a), shingle_sets(b)
     g, of = np.concatenate([ga, gb]), np.concatenate([oa, ob])
-    order = np.lexsort((g, of))
+    order = by_text(of, g, a.n)
     g, of = g[order], of[order]
     both = np.bincount(of[1:][(g[1:] == g[:-1]) & (of[1:] == of[:-1])], minlength=a.n)
     union = np.bincount(of, minlength=a.n) - both
@@ -326,6 +332,24 @@ def class_counts(g: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return (c[:, ::2] & 15 | (c[:, 1::2] & 15) << 4).view("<u8")
 
 
+def fine_counts(g: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+    """Per set: the same in as many classes (a power of two, 2 at least) as half its shingles, two classes a byte."""
+    bits = np.maximum(1, np.ceil(np.log2(np.maximum(2, np.bincount(of, minlength=n)) / 2)).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(1 << bits)])
+    c = np.bincount(begin[of] + (_mixed(_mixed(g)) >> (64 - bits[of]).astype(np.uint64)).astype(np.int64), minlength=begin[-1]).astype(np.uint8) & 15
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((begin // 2).astype(np.int32)), pa.py_buffer(c[::2] | c[1::2] << 4)])
+
+
+def fine_apart(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in only one of two sets."""
+    x, y = (np.stack([z & 15, z >> 4], 1).reshape(-1) for z in (np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x.reshape(-1, 2).sum(1, dtype=np.uint8) & 15
+    d = (x - y) & 15
+    return int(np.minimum(d, 16 - d).sum())
+
+
 def johnson(x: np.ndarray) -> np.ndarray:
     """Fingerprints, two longs for each long of counts."""
     b = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
@@ -340,7 +364,7 @@ def prefixes(g: np.ndarray, of: np.ndarray, n: int, common: np.ndarray, seen: np
     """
     i = np.minimum(np.searchsorted(common, g), max(0, len(common) - 1))
     often = np.where(common[i] == g, seen[i], 0) if len(common) else np.zeros(len(g), np.int64)
-    order = np.lexsort((_mixed(g), often, of))
+    order = by_text(of, np.minimum(often, 4095).astype(np.uint64) << np.uint64(52) | _mixed(g) >> np.uint64(12), n)
     size = np.bincount(of, minlength=n)
     first = np.cumsum(size) - size
     take = np.where(size > 0, size - -(-size * 4 // 5) + 1, 0)
@@ -348,33 +372,43 @@ def prefixes(g: np.ndarray, of: np.ndarray, n: int, common: np.ndarray, seen: np
     return g[order][inside], np.concatenate([[0], np.cumsum(take)])
 
 
-def compared(texts: DataFrame, proposed: DataFrame, least: float = SIMILAR) -> DataFrame:
+def compared(texts: DataFrame, sets: DataFrame, proposed: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(a, b, ok): the pairs of keys of ``texts`` (key, text), and whether they have a similarity of ``least`` or more.
 
-    Texts join the end with fewer pairs first, so rows grow only by texts of
-    their own; at the other end a hub's rows are as wide as their texts, and
-    are split by size.
+    Sizes and fine counts (``sets``: node, n, fine) rule out most of the others; the texts
+    of the rest meet. They join the end with fewer pairs first, so rows grow only by
+    texts of their own; at the other end a hub's rows are as wide as their texts,
+    and are split by size.
     """
     u, v = F.least("a", "b"), F.greatest("a", "b")
     ends = proposed.groupBy(u.alias("u"), v.alias("v")).agg(F.sum(F.when(F.col("a") == u, 1).otherwise(-1)).alias("s"))
-    ends = ends.select(F.when(F.col("s") >= 0, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(F.col("s") >= 0, F.col("v")).otherwise(F.col("u")).alias("b")).where("a <> b")
-    ends = cut(ends)
-    bits = sieve(ends.select("a").union(ends.select("b")), "a")
-    texts = sieved(texts, "key", bits).groupBy("key").agg(F.first("text").alias("text"))
+    ends = cut(ends.select(F.when(F.col("s") >= 0, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(F.col("s") >= 0, F.col("v")).otherwise(F.col("u")).alias("b")).where("a <> b"))
+    fine = sieved(sets.select("node", "n", "fine"), "node", sieve(ends.select("a").union(ends.select("b")), "a"))
+    one, two = (fine.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
+
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = b.column(2).to_numpy() + b.column(4).to_numpy()
+            may = [9 * fine_apart(x.as_py(), y.as_py()) <= n for x, y, n in zip(b.column(3), b.column(5), both.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(may, pa.bool_())], ["a", "b", "may"])
+
+    ruled = cut(ends.join(one, "a").join(two, "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b").mapInArrow(rule, "a long, b long, may boolean"))
+    ends = ruled.where("may").select("a", "b")
+    texts = sieved(texts, "key", sieve(ends.select("a").union(ends.select("b")), "a")).groupBy("key").agg(F.first("text").alias("text"))
     one = ends.join(texts, F.col("a") == F.col("key")).select("a", "b", F.col("text").alias("text_a"))
     two = one.join(texts, F.col("b") == F.col("key")).select("a", "b", "text_a", F.col("text").alias("text_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, t in slices(batch.column(2)):
+            for part, t in slices(batch.column(2), 1 << 20):
                 other = next(slices(batch.column(3)[part], 1 << 62))[1]
                 ok = pa.array(similarities(t, other) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], ok], ["a", "b", "ok"])
 
-    return two.mapInArrow(check, "a long, b long, ok boolean")
+    return two.mapInArrow(check, "a long, b long, ok boolean").union(ruled.where("not may").select("a", "b", F.lit(False)))
 
 
-def confirmed(texts: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int], DataFrame], near: int = NEAREST) -> DataFrame:
+def confirmed(texts: DataFrame, sets: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int], DataFrame], near: int = NEAREST) -> DataFrame:
     """(node, root): components of the pairs of near rows (node, shard, ...) of one shard whose texts are similar.
 
     ``meet(rows, 0)`` proposes a forest that spans the near pairs of each shard.
@@ -384,7 +418,7 @@ def confirmed(texts: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int
     components. k grows until no near pair was left out. So in the end each near
     pair was compared, or has both ends in one component.
     """
-    done = cut(compared(texts, meet(dealt, 0)))
+    done = cut(compared(texts, sets, meet(dealt, 0)))
     linked, failed = cut(components(done.where("ok"))), done.where("not ok")
     while True:
         pairs = failed.join(linked.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(linked.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -396,7 +430,7 @@ def confirmed(texts: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int
         proposed = cut(meet(of.join(going.withColumnRenamed("ra", "root"), "root", "left_semi"), near))
         seen = failed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
-        done = cut(compared(texts, fresh))
+        done = cut(compared(texts, sets, fresh))
         linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(done.where("ok").select("a", "b"))))
         if not proposed.where("a = b").limit(1).count():
             return linked
@@ -464,14 +498,16 @@ def fates(docs: DataFrame) -> DataFrame:
                 if full:
                     c = class_counts(g, of, t.n)
                     first, offsets = prefixes(g, of, t.n, *shared.value)
-                    columns += [pa.array(c[:, k].copy().view(np.int64)) for k in range(COUNT_LONGS)]
+                    columns += [*(pa.array(c[:, k].copy().view(np.int64)) for k in range(COUNT_LONGS)), fine_counts(g, of, t.n)]
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "whole", "n", *([*names, "prefix"] if full else [])])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "whole", "n", *([*names, "fine", "prefix"] if full else [])])
 
     longs = "key long, doc_id long, whole long, n long"
-    sets = rows.mapInArrow(partial(prints, full=True), longs + "".join(f", {x} long" for x in names) + ", prefix array<long>")
-    sets = cut(sets.groupBy("whole", "n").agg(F.min("key").alias("node"), *[F.first(x).alias(x) for x in names], F.first("prefix").alias("prefix")))
+    sets = rows.mapInArrow(partial(prints, full=True), longs + "".join(f", {x} long" for x in names) + ", fine binary, prefix array<long>")
+    sets = cut(sets.groupBy("whole", "n").agg(F.min("key").alias("node"), *[F.first(x).alias(x) for x in (*names, "fine", "prefix")]))
     firsts = sets.where("n > 0").select("node", F.explode("prefix").alias("shard"))
+    # most shingles are one set's own: those go before anything else is exchanged with them
+    firsts = cut(sieved(firsts, "shard", sieve(firsts.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1"), "shard")))
     shards = firsts.groupBy("shard").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where("size > 1")
     shards = shards.groupBy("size", "nodes").agg(F.min("shard").alias("shard"))
     dealt = cut(firsts.join(shards.select("shard"), "shard", "left_semi"))
@@ -480,7 +516,7 @@ def fates(docs: DataFrame) -> DataFrame:
     def meet(rows: DataFrame, k: int) -> DataFrame:
         return meet_in_shards(rows, [*names, "n", *(["root"] if k else [])], 64 * 2 * COUNT_LONGS, None, partial(set_pairs, k=k))
 
-    linked = confirmed(rows.select("key", "text"), dealt, meet)
+    linked = confirmed(rows.select("key", "text"), sets, dealt, meet)
     roots = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", F.coalesce("root", "node").alias("root"))
     members = cut(rows.mapInArrow(prints, longs).join(roots, ["whole", "n"]).select("key", "doc_id", "root"))
     best = members.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"))
