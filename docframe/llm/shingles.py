@@ -4,7 +4,7 @@ Texts with equal shingle sets meet by a hash of the set. Distinct sets meet in
 shards keyed by the shingles of their prefix: of s shingles the first
 s - ceil(0.8 s) + 1 in one order of all, of which two sets of similarity 0.8
 share at least one. Shards that hold the same sets are searched once. A set's
-fingerprint has, for each of 128 classes of its shingles, their number mod 16 in
+fingerprint has, for each of 256 classes of its shingles, their number mod 16 in
 a code (Johnson's) whose differing bits are the difference of the numbers; so
 two sets differ in at least as many shingles as their fingerprints in bits.
 Vantage-point trees find the fingerprints of a shard that are near enough. Those
@@ -43,7 +43,7 @@ SHARD_ROWS = 1024
 LEAF = 48
 SIMILAR = 0.8
 #: Longs of a set's counts: 16 classes each, 4 bits a class.
-COUNT_LONGS = 8
+COUNT_LONGS = 16
 #: Pairs a row that are compared at first where a forest's were not similar.
 NEAREST = 16
 #: The order of shingles looks at so many texts, and knows so many shingles as common.
@@ -236,15 +236,37 @@ def set_pairs(key: np.ndarray, x: np.ndarray, most: int, k: int) -> tuple[np.nda
     return np.concatenate([np.where(swap, b, a), more]), np.concatenate([np.where(swap, a, b), more])
 
 
-def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int | None, links_of: Callable) -> DataFrame:
-    """(a, b): links between rows (node, shard, words of the fingerprint) of one shard, spanning all pairs at most ``most`` bits apart."""
+def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int | None, links_of: Callable, within: bool = False, wide: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between rows (node, shard, words of the fingerprint) of one shard, spanning all pairs at most ``most`` bits apart.
+
+    A hot shard is dealt into groups of some ``shard_rows``. Every two of them
+    meet in a task (``within``: each meets itself only). Where rows have a
+    component (``root``), those of a hot shard's largest one need not meet each
+    other: its groups meet those of all other rows only.
+    """
     shard_rows = shard_rows or SHARD_ROWS
-    # a hot shard has over shard_rows of the rows, so this table is at most rows / shard_rows long
-    hot = rows.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("long").alias("groups"))
-    rows = rows.join(hot, "shard", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("groups"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda g: F.least(g, F.col("mine")) * 2097152 + F.greatest(g, F.col("mine")))
-    rows = rows.withColumn("mine", mine).select("node", "shard", F.explode(pairs).alias("pair"), *words)
+    by_root = "root" in rows.columns
+    groups = lambda n: F.ceil(n / shard_rows).cast("long")
+    if by_root:
+        of = rows.groupBy("shard", "root").count().groupBy("shard").agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
+        # with one component there is nothing to find
+        of = of.where("roots > 1").select("shard", F.col("top.root").alias("major"), groups(F.col("top.count")).alias("majors"), groups(F.col("size") - F.col("top.count")).alias("groups"), (F.col("size") > shard_rows).alias("is_hot"))
+        rows = rows.join(of, "shard").withColumn("is_major", F.col("is_hot") & (F.col("root") == F.col("major")))
+    else:
+        # a hot shard has over shard_rows of the rows, so this table is at most rows / shard_rows long
+        of = rows.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", groups(F.col("count")).alias("groups"), F.lit(0).cast("long").alias("majors"), F.lit(True).alias("is_hot"))
+        rows = rows.join(of, "shard", "left").withColumn("is_major", F.lit(False))
+    n = F.when(F.coalesce("is_hot", F.lit(False)), F.col("groups")).otherwise(F.lit(1).cast("long"))
+    mine = F.pmod(F.xxhash64("node", "shard", F.lit(7)), F.when(F.col("is_major"), F.col("majors")).otherwise(n))
+    rows = rows.withColumn("of_groups", n).withColumn("mine", mine)
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
+    code = lambda x, y: x * 2097152 + y
+    each = F.transform(upto(F.col("of_groups")), lambda g: code(F.least(g, F.col("mine")), F.greatest(g, F.col("mine"))))
+    cross = 1 << 44  # apart from the codes of two groups of other rows
+    to_major = F.when(F.col("is_hot") & (F.col("majors") > 0), F.transform(upto(F.greatest("majors", F.lit(1))), lambda g: code(g, F.col("mine")) + cross)).otherwise(F.array().cast("array<long>"))
+    pairs = F.array(code(F.col("mine"), F.col("mine"))) if within else F.when(F.col("is_major"), F.transform(upto(F.col("of_groups")), lambda g: code(F.col("mine"), g) + cross)).otherwise(F.concat(each, to_major))
+    rows = rows.select("node", "shard", F.explode(pairs).alias("pair"), *(x for x in words if x in rows.columns))
+    rows = rows.join(wide, "node") if wide is not None else rows
     key = F.xxhash64("shard", "pair")
     rows = rows.select(key.alias("key"), "shard", "pair", "node", *words).repartition("key").sortWithinPartitions("key", "shard", "pair", "node")
 
@@ -321,14 +343,14 @@ def _mixed(g: np.ndarray) -> np.ndarray:
 
 
 def class_counts(g: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Per set (COUNT_LONGS columns): how many of its shingles are in each of 128 classes, mod 16.
+    """Per set (COUNT_LONGS columns): how many of its shingles are in each of 256 classes, mod 16.
 
     A shingle that only one of two sets holds changes one class by one. At
     similarity 0.8 or more those are at most a ninth of the sum of the sizes,
     so a pair whose counts differ by more (in the round) is not similar.
     """
     classes = 16 * COUNT_LONGS
-    c = np.bincount(of * classes + (_mixed(g) >> np.uint64(57)).astype(np.int64), minlength=n * classes).reshape(n, classes).astype(np.uint8)
+    c = np.bincount(of * classes + (_mixed(g) >> np.uint64(56)).astype(np.int64), minlength=n * classes).reshape(n, classes).astype(np.uint8)
     return (c[:, ::2] & 15 | (c[:, 1::2] & 15) << 4).view("<u8")
 
 
@@ -411,23 +433,29 @@ def compared(texts: DataFrame, sets: DataFrame, proposed: DataFrame, least: floa
 def confirmed(texts: DataFrame, sets: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int], DataFrame], near: int = NEAREST) -> DataFrame:
     """(node, root): components of the pairs of near rows (node, shard, ...) of one shard whose texts are similar.
 
-    ``meet(rows, 0)`` proposes a forest that spans the near pairs of each shard.
-    A pair of it that is not similar may stand for others that are, so rows go
-    on if such a pair leaves their component: ``meet(rows, k)``, rows having
-    their component in ``root``, proposes for each row its k nearest of other
-    components. k grows until no near pair was left out. So in the end each near
-    pair was compared, or has both ends in one component.
+    ``meet(rows, 0)`` proposes a forest that spans the near pairs of each shard
+    (of each group of a hot one). A pair of it that is not similar may stand for
+    others that are, so rows go on if such a pair leaves their component, and all
+    rows of a hot shard: ``meet(rows, k)``, rows having their component in
+    ``root``, proposes for each row its k nearest of other components. k grows
+    until no near pair was left out. So in the end each near pair was compared, or
+    has both ends in one component.
     """
     done = cut(compared(texts, sets, meet(dealt, 0)))
     linked, failed = cut(components(done.where("ok"))), done.where("not ok")
+    hot = cut(dealt.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard"))
+    any_hot = hot.limit(1).count() > 0
     while True:
         pairs = failed.join(linked.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(linked.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         pairs = pairs.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
         going = cut(pairs.select("ra").union(pairs.select("rb")).distinct())
-        if not going.limit(1).count():
+        if not any_hot and not going.limit(1).count():
             return linked
         of = dealt.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        proposed = cut(meet(of.join(going.withColumnRenamed("ra", "root"), "root", "left_semi"), near))
+        rows = of.join(going.withColumnRenamed("ra", "root"), "root", "left_semi").select(of.columns)
+        if any_hot:
+            rows = rows.join(hot, "shard", "left_anti").select(of.columns).union(of.join(hot, "shard", "left_semi").select(of.columns))
+        proposed = cut(meet(rows, near))
         seen = failed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
         done = cut(compared(texts, sets, fresh))
@@ -511,10 +539,9 @@ def fates(docs: DataFrame) -> DataFrame:
     shards = firsts.groupBy("shard").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where("size > 1")
     shards = shards.groupBy("size", "nodes").agg(F.min("shard").alias("shard"))
     dealt = cut(firsts.join(shards.select("shard"), "shard", "left_semi"))
-    dealt = dealt.join(sets.where("n > 0").select("node", "n", *names), "node")
 
     def meet(rows: DataFrame, k: int) -> DataFrame:
-        return meet_in_shards(rows, [*names, "n", *(["root"] if k else [])], 64 * 2 * COUNT_LONGS, None, partial(set_pairs, k=k))
+        return meet_in_shards(rows, [*names, "n", *(["root"] if k else [])], 64 * 2 * COUNT_LONGS, SHARD_ROWS, partial(set_pairs, k=k), not k, sets.where("n > 0").select("node", "n", *names))
 
     linked = confirmed(rows.select("key", "text"), sets, dealt, meet)
     roots = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", F.coalesce("root", "node").alias("root"))
