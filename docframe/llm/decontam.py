@@ -10,9 +10,16 @@ The benchmark is read in blocks of bounded size, each sent to all workers; a
 larger benchmark means more blocks, not a larger one. Documents are never
 shuffled.
 
-Defined results: null and empty texts are clean; tests shorter than ``seed``
-words can't be found; repeated tests and rows are judged each; an empty
-benchmark leaves all clean.
+A test of fewer than ``seed`` words has no tile of that length. It counts as
+covered by a document that has it as a line of its own, whole.
+
+Defined results: null and empty texts are clean; tests without a word cover
+nothing; very long texts and tests are read whole; a test with a null id counts
+but is not listed in ``item_ids``; a null doc_id keeps its row; repeated tests
+and rows are judged each (equal ids are listed each); of equally long tiles the
+first in the document is marked first; coverage of exactly the limit counts; an
+empty table gives no rows, an empty benchmark leaves all clean. Extra columns of
+documents are kept by ``drop_contaminated`` and not read by ``contamination``.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ SEED = 5
 COVERAGE = 0.5
 BLOCK_CHARS = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LINE = np.ones(256, bool)
+_LINE[[10, 13]] = False
 
 
 def _windows(h: np.ndarray, s: int) -> np.ndarray:
@@ -107,11 +116,17 @@ class Block:
         owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
+        few = [k for k, x in enumerate(self.tests) if 0 < len(x) < seed]
+        keys = np.array([chain(self.tests[k], len(self.tests[k]))[0] for k in few], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.short_keys, self.short_owner = keys[order], np.array(few, np.int64)[order]
 
     def meet(self, t: Texts) -> list[list[tuple[int, float]]]:
         """Per text: (item id, coverage) of every test that shares a seed with it."""
         out: list[list[tuple[int, float]]] = [[] for _ in range(t.n)]
         s, e, of = t.spans(ALNUM)
+        if len(s) and len(self.short_keys):
+            self.meet_lines(t, s, hash_spans(LOWER[t.buf], s, e)[0], out)
         if len(s) < self.seed or not len(self.keys):
             return out
         (h,) = hash_spans(LOWER[t.buf], s, e)
@@ -135,6 +150,23 @@ class Block:
         return out
 
 
+    def meet_lines(self, t: Texts, s: np.ndarray, h: np.ndarray, out: list[list[tuple[int, float]]]) -> None:
+        """Adds the short tests that are a line of a text."""
+        begin, _, text = t.spans(_LINE)
+        line = np.searchsorted(begin, s, side="right") - 1
+        size = np.bincount(line, minlength=len(begin))
+        first = np.cumsum(size) - size
+        hits: set[tuple[int, int]] = set()
+        for n in range(1, self.seed):
+            own = np.flatnonzero(size == n)
+            key = chain(h, n)[first[own]]
+            lo, hi = (np.searchsorted(self.short_keys, key, side=x) for x in ("left", "right"))
+            for k in np.flatnonzero(hi > lo):
+                hits |= {(int(text[own[k]]), int(x)) for x in self.short_owner[lo[k] : hi[k]] if len(self.tests[x]) == n}
+        for i, k in sorted(hits):
+            out[i].append((self.ids[k], 1.0))
+
+
 def blocks(benchmark: DataFrame, seed: int = SEED, chars: int = BLOCK_CHARS) -> Iterator[Block]:
     """The benchmark in blocks of at most ``chars`` characters (or one test)."""
     items, size = [], 0
