@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.checkpoints import cut
-from docframe.llm.components import components
+from docframe.llm.components import Forest, components
 from docframe.llm.textkit import LOWER, NOT_BLANK, Texts, chain, hash_spans, slices
 from docframe.ship import ship
 
@@ -54,30 +54,6 @@ SIEVE_BITS = 1 << 24
 _JOHNSON = np.array([(1 << v) - 1 if v <= 8 else 0xFF & ~((1 << (v - 8)) - 1) for v in range(16)], np.uint8)
 
 
-class Forest:
-    """Local components of numbered points; ``root`` is the least number of each."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.root[a], self.root[b]
-            apart = ra != rb
-            if not apart.any():
-                return
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                r = self.root[self.root]
-                if (r == self.root).all():
-                    break
-                self.root = r
-
-    def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        self.link(a, b)
-
-
 class Pairs:
     """Near pairs of numbered points, thinned to a least spanning forest whenever there are many."""
 
@@ -248,9 +224,10 @@ def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int
     by_root = "root" in rows.columns
     groups = lambda n: F.ceil(n / shard_rows).cast("long")
     if by_root:
-        of = rows.groupBy("shard", "root").count().groupBy("shard").agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
-        # with one component there is nothing to find
-        of = of.where("roots > 1").select("shard", F.col("top.root").alias("major"), groups(F.col("top.count")).alias("majors"), groups(F.col("size") - F.col("top.count")).alias("groups"), (F.col("size") > shard_rows).alias("is_hot"))
+        each = rows.groupBy("shard", "root").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("node")).alias("nodes"))
+        of = each.groupBy("shard").agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"), F.bit_xor("nodes").alias("nodes"))
+        # with one component there is nothing to find; shards of the same rows are searched once
+        of = of.where("roots > 1").groupBy("size", "roots", "nodes", "top").agg(F.min("shard").alias("shard")).select("shard", F.col("top.root").alias("major"), groups(F.col("top.count")).alias("majors"), groups(F.col("size") - F.col("top.count")).alias("groups"), (F.col("size") > shard_rows).alias("is_hot"))
         rows = rows.join(of, "shard").withColumn("is_major", F.col("is_hot") & (F.col("root") == F.col("major")))
     else:
         # a hot shard has over shard_rows of the rows, so this table is at most rows / shard_rows long

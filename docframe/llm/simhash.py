@@ -45,8 +45,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.checkpoints import cut
-from docframe.llm.components import components
-from docframe.llm.shingles import Forest, Pairs, apart_of, keep_one, meet_in_shards
+from docframe.llm.components import Forest, components
+from docframe.llm.shingles import Pairs, apart_of, keep_one, meet_in_shards
 from docframe.ship import ship
 
 __all__ = ["fingerprint_documents", "keep_one", "near_duplicates", "near_links"]
