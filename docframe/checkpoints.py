@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder. The files survive a lost executor."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written to the shared folder as Parquet and read again: computed once, and kept when an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut_{spark.sparkContext.applicationId}_{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
