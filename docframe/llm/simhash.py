@@ -55,6 +55,8 @@ BITS_APART = 3
 LEAF = 48
 #: Mean number of fingerprints that a shard should hold.
 SHARD_MEAN = 512
+#: A shard of more rows is dealt into groups; rows take 24 bytes, and trees hold comparisons down.
+SHARD_ROWS = 1 << 16
 #: Vantage words for 32-bit halves; the first ``m`` are used.
 VANTAGE = [int(x) for x in np.random.default_rng(20250107).integers(0, 2**32, 10)]
 _BIT_ROWS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -182,7 +184,7 @@ def near_links(distinct: DataFrame, most: int = BITS_APART, shard_rows: int | No
         raise ValueError("halves at distance 1 are exact up to 3 bits")
     ship(distinct.sparkSession)
     m = m or vantage_points(distinct.count())
-    return meet_in_shards(in_vantage_shards(distinct, m), ["fp", "what"], most, shard_rows, shard_links)
+    return meet_in_shards(in_vantage_shards(distinct, m), ["fp", "what"], most, shard_rows or SHARD_ROWS, shard_links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
