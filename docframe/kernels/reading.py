@@ -28,6 +28,8 @@ def read(data: bytes, form: str, budget: int = TEXT_CHARS) -> dict:
     omits = list(OMITS.get(form, ()))
     if form == "xlsx":
         got = sheets.workbook_text(data, budget)
+        if not got["rows"]:  # every sheet empty, or the first row alone beyond the budget
+            raise Refused("INVALID_DOCUMENT", "it has no readable cells")
         counts = {"sheets": got["sheets"], "totalSheets": got["total_sheets"], "hiddenSheets": got["hidden_sheets"], "rows": got["rows"], "totalRows": got["total_rows"]}
         if got["hidden_sheets"]:
             omits.append("hidden sheets")

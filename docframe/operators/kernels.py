@@ -189,7 +189,7 @@ def refused_assets(assets: dict[str, tuple[str, int]], form: str) -> str | None:
         return f"{form} takes no assets"
     if len(assets) > ASSETS:
         return f"more than {ASSETS} assets"
-    if any(not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", n) for n in assets):
+    if any(not re.fullmatch(r"[A-Za-z0-9가-힣][A-Za-z0-9가-힣._-]{0,63}", n) for n in assets):
         return "an asset's name holds other characters than letters, digits, dot, dash and underscore"
     if any(m not in ("image/png", "image/jpeg") for m, _ in assets.values()):
         return "an asset is not a PNG or JPEG"

@@ -168,7 +168,7 @@ def text_sheet(rows: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
 
 def asset_rules(assets: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ok): at most so many assets and bytes in all, plain names, PNG or JPEG."""
-    plain = F.col("name").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+    plain = F.col("name").rlike(r"^[A-Za-z0-9가-힣][A-Za-z0-9가-힣._-]{0,63}$")
     return assets.groupBy(key).agg(((F.count("*") <= ASSETS) & F.min(plain) & F.min(F.col("mime").isin("image/png", "image/jpeg")) & (F.sum("bytes") <= ASSET_BYTES)).alias("ok"))
 
 

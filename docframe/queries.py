@@ -116,7 +116,7 @@ select n_nationkey::bigint as doc_id, case n_nationkey % 3 when 0 then n_name wh
 def output_names(spark, sf_dir):
     """A document's title and file name: as given, or from its first heading, or from each other."""
     k, n = F.col("n_nationkey") % 3, F.col("n_name")
-    asked = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.when(F.col("n_nationkey") % 2 == 0, "docx").otherwise("pptx").alias("format"), F.lit("minimal").alias("profile"), F.when(k == 1, "# Heading").otherwise("plain words").alias("markdown"), F.when(k == 0, n).alias("title"), F.when(k == 2, F.concat(F.lit(" file "), n)).alias("filename"))
+    asked = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.when(F.col("n_nationkey") % 2 == 0, "docx").otherwise("pptx").alias("format"), F.lit("formal").alias("profile"), F.when(k == 1, "# Heading").otherwise("plain words").alias("markdown"), F.when(k == 0, n).alias("title"), F.when(k == 2, F.concat(F.lit(" file "), n)).alias("filename"))
     return kernels.render_documents(asked).select("doc_id", "title", "filename")
 
 
@@ -480,7 +480,7 @@ def pptx_roundtrip(spark, sf_dir):
 @_query("select r_regionkey::bigint as doc_id, 'unsupported' as format, null::varchar as text, 'UNSUPPORTED_FORMAT' as code from region")
 def pdf_refused(spark, sf_dir):
     """PDFs are written, but left to others to read."""
-    made = kernels.render_documents(_reports(spark, sf_dir).select("doc_id", F.lit("pdf").alias("format"), F.lit("minimal").alias("profile"), "markdown"))
+    made = kernels.render_documents(_reports(spark, sf_dir).select("doc_id", F.lit("pdf").alias("format"), F.lit("formal").alias("profile"), "markdown"))
     return kernels.read_documents(made.withColumn("filename", F.lit("report.pdf"))).select("doc_id", "format", "text", F.col("error.code").alias("code"))
 
 
@@ -521,19 +521,19 @@ def output_validation(spark, sf_dir):
 
 
 @_query("""
-select n_nationkey, case n_nationkey % 5 when 0 then 'executive' when 1 then 'minimal' when 2 then 'editorial' when 3 then 'technical' else 'education' end as profile, case n_nationkey % 5 when 0 then 22 when 1 then 21 when 2 then 23 when 3 then 20 else 24 end::bigint as half_points from nation""")
+select n_nationkey, profile, half_points, brand from nation join (values (0, 'executive', 96, '17324D'), (1, 'consulting', 144, '0B2D4D'), (2, 'formal', 72, '334E68'), (3, 'technical', 84, '0F4C5C'), (4, 'standard', 120, '1F4E79')) as v(k, profile, half_points, brand) on n_nationkey % 5 = k""")
 def profile_lookup(spark, sf_dir):
     """A profile's name joined to its constants (five rows)."""
-    from docframe.writers.common import PROFILES
+    from docframe.writers.common import COVER_RULES, PROFILES
 
-    table = spark.createDataFrame([(k, float(v[0])) for k, v in PROFILES.items()], "profile string, points double")
+    table = spark.createDataFrame([(k, float(COVER_RULES[k]), v[2]) for k, v in PROFILES.items()], "profile string, points double, brand string")
     name = F.element_at(F.array(*[F.lit(x) for x in PROFILES]), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    return _t(spark, sf_dir, "nation").select("n_nationkey", name.alias("profile")).join(F.broadcast(table), "profile").select("n_nationkey", "profile", fn.convert(F.col("points"), "half_points").alias("half_points"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", name.alias("profile")).join(F.broadcast(table), "profile").select("n_nationkey", "profile", fn.convert(F.col("points"), "half_points").alias("half_points"), "brand")
 
 
 @_query("""
 with a as (select distinct l_orderkey as doc_id, l_partkey from lineitem), p as (select p_partkey, p_size, case when p_size % 9 = 0 then p_name else replace(p_name, ' ', '-') end as name from part)
-select doc_id, count(*) <= 12 and min(regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]*$')::int) = 1 and max((p_size > 45)::int) = 0 and sum(p_size * 40000) <= 6291456 as ok from a join p on p_partkey = l_partkey group by 1""")
+select doc_id, count(*) <= 12 and min(regexp_matches(name, '^[A-Za-z0-9가-힣][A-Za-z0-9가-힣._-]{0,63}$')::int) = 1 and max((p_size > 45)::int) = 0 and sum(p_size * 40000) <= 6291456 as ok from a join p on p_partkey = l_partkey group by 1""")
 def asset_rules(spark, sf_dir):
     """Asset sets per document: names, kinds, number and total size."""
     p, size = _t(spark, sf_dir, "part"), F.col("p_size")

@@ -11,8 +11,10 @@ HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f" + chr(0xFFFE) + chr(0xFFFF) + "]")
 
-# Body and heading size (points), accent and ink colour of each design profile.
-PROFILES = {"executive": (11, 22, "1F3864", "222222"), "minimal": (10.5, 20, "444444", "111111"), "editorial": (11.5, 24, "7A2E2E", "2B2B2B"), "technical": (10, 18, "0B5394", "1A1A1A"), "education": (12, 22, "38761D", "202020")}
+# Body and first heading size (points), brand and ink colour of each design profile.
+PROFILES = {"executive": (11, 20, "17324D", "18222B"), "consulting": (11, 20, "0B2D4D", "17232D"), "formal": (11, 20, "334E68", "20252A"), "technical": (11, 20, "0F4C5C", "162629"), "standard": (11, 20, "1F4E79", "212529")}
+# Length of the cover's rule (points) by profile.
+COVER_RULES = {"executive": 48, "consulting": 72, "formal": 36, "technical": 42, "standard": 60}
 
 
 def xml(text: str) -> str:

@@ -62,7 +62,7 @@ def _cell(v, at: str, style: str) -> str:
     if v is None:
         return f'<c r="{at}"{style}/>'
     if isinstance(v, dict):
-        formula = f"<f>{xml(v['formula'].lstrip('='))}</f>"
+        formula = f"<f>{xml(v['formula'].removeprefix('='))}</f>"
         cached = v.get("cached")
         if cached is None:
             return f'<c r="{at}"{style}>{formula}</c>'
