@@ -261,7 +261,7 @@ def test_images():
 @pytest.mark.parametrize("form", ["docx", "pptx", "pdf"])
 def test_pictures_are_embedded_once(form):
     blocks = parse("# T\n\n## A\n\n![cap](asset://pic)\n\n![again](asset://pic)\n\n![png](asset://two)")
-    data = WRITERS[form](blocks, "T", "minimal", {"pic": jpeg(640, 400), "two": png(30, 20)})
+    data = WRITERS[form](blocks, "T", "formal", {"pic": jpeg(640, 400), "two": png(30, 20)})
     if form == "pdf":
         assert data.count(b"/DCTDecode") == 1
         return
