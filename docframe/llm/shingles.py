@@ -3,7 +3,11 @@
 Texts with equal shingle sets meet by a hash of the set. Distinct sets meet in
 shards keyed by the shingles of their prefix: of s shingles the first
 s - ceil(0.8 s) + 1 in one order of all, of which two sets of similarity 0.8
-share at least one. Shards that hold the same sets are searched once. A set's
+share at least one. Such a pair is looked for where it meets first: in the shard
+of its first common shingle, before which both hold only shingles of their own, so
+the places of that shingle in their orders bound what they share, and the shingles
+just before it differ. Shards where neither can be are passed over. Shards that
+hold the same sets are searched once, at the first of their shingles. A set's
 fingerprint has, for each of 256 classes of its shingles, their number mod 16 in
 a code (Johnson's) whose differing bits are the difference of the numbers; so
 two sets differ in at least as many shingles as their fingerprints in bits.
@@ -185,26 +189,33 @@ def _shards(key: np.ndarray, x: np.ndarray, most: int, sink: Forest | Pairs) ->
 
 
 class Sized:
-    """Hands on the pairs that sizes and counts of their sets leave a chance of similarity 0.8: exact, see ``class_counts``."""
+    """Hands on the pairs that sizes, counts and places of their sets leave a chance of similarity 0.8 and of meeting here first.
 
-    def __init__(self, sink: Pairs, n: np.ndarray):
-        self.sink, self.n = sink, n
+    Exact for counts, see ``class_counts``. ``pos`` is the place of the shard's shingle in
+    a set's order, ``prev`` the shingle before it: in the shard where a pair meets first,
+    the sets share at most what is left from there on, and have different shingles before.
+    """
+
+    def __init__(self, sink: Pairs, n: np.ndarray, pos: np.ndarray, prev: np.ndarray):
+        self.sink, self.n, self.pos, self.prev = sink, n, pos, prev
 
     def near(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
         na, nb = self.n[a], self.n[b]
         ok = (apart.astype(np.int64) * 9 <= na + nb) & (np.maximum(na, nb) * 4 <= np.minimum(na, nb) * 5)
+        ok &= np.minimum(na - self.pos[a], nb - self.pos[b]) * 9 >= (na + nb) * 4
+        ok &= (self.prev[a] != self.prev[b]) | (self.pos[a] == 0) | (self.pos[b] == 0)
         self.sink.near(a[ok], b[ok], apart[ok])
 
 
 def set_pairs(key: np.ndarray, x: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets (counts, size, component if k) that may be similar, the row with fewer of them first.
+    """Pairs of sets (counts, size, place, shingle before, component if k) that may be similar, the row with fewer of them first.
 
     k = 0: pairs that span them all. Otherwise pairs of different components, the
     ``k`` nearest of each row; a row paired with itself has more of them.
     """
-    n = x[:, COUNT_LONGS].astype(np.int64)
-    pairs = Nearest(x[:, COUNT_LONGS + 1], k) if k else Spanning(len(x))
-    _shards(key, johnson(x[:, :COUNT_LONGS]), min(most, int(n.max(initial=0)) * 2 // 9), Sized(pairs, n))
+    n, pos, prev = x[:, COUNT_LONGS].astype(np.int64), x[:, COUNT_LONGS + 1].astype(np.int64), x[:, COUNT_LONGS + 2]
+    pairs = Nearest(x[:, COUNT_LONGS + 3], k) if k else Spanning(len(x))
+    _shards(key, johnson(x[:, :COUNT_LONGS]), min(most, int(n.max(initial=0)) * 2 // 9), Sized(pairs, n, pos, prev))
     a, b, _ = pairs.forest() if k else tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*pairs.kept, strict=True) if pairs.kept else ((), (), ())))
     degree = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
     swap = degree[a] > degree[b]
@@ -218,16 +229,17 @@ def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int
     A hot shard is dealt into groups of some ``shard_rows``. Every two of them
     meet in a task (``within``: each meets itself only). Where rows have a
     component (``root``), those of a hot shard's largest one need not meet each
-    other: its groups meet those of all other rows only.
+    other: its groups meet those of all other rows only. Of shards of the same
+    rows the one with the least places (``pos``) is searched.
     """
     shard_rows = shard_rows or SHARD_ROWS
     by_root = "root" in rows.columns
     groups = lambda n: F.ceil(n / shard_rows).cast("long")
     if by_root:
-        each = rows.groupBy("shard", "root").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("node")).alias("nodes"))
-        of = each.groupBy("shard").agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"), F.bit_xor("nodes").alias("nodes"))
+        each = rows.groupBy("shard", "root").agg(F.count("*").alias("count"), F.sum("pos").alias("pos"), F.bit_xor(F.xxhash64("node")).alias("nodes"))
+        of = each.groupBy("shard").agg(F.sum("count").alias("size"), F.sum("pos").alias("pos"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"), F.bit_xor("nodes").alias("nodes"))
         # with one component there is nothing to find; shards of the same rows are searched once
-        of = of.where("roots > 1").groupBy("size", "roots", "nodes", "top").agg(F.min("shard").alias("shard")).select("shard", F.col("top.root").alias("major"), groups(F.col("top.count")).alias("majors"), groups(F.col("size") - F.col("top.count")).alias("groups"), (F.col("size") > shard_rows).alias("is_hot"))
+        of = of.where("roots > 1").groupBy("size", "roots", "nodes", "top").agg(F.min_by("shard", F.struct("pos", "shard")).alias("shard")).select("shard", F.col("top.root").alias("major"), groups(F.col("top.count")).alias("majors"), groups(F.col("size") - F.col("top.count")).alias("groups"), (F.col("size") > shard_rows).alias("is_hot"))
         rows = rows.join(of, "shard").withColumn("is_major", F.col("is_hot") & (F.col("root") == F.col("major")))
     else:
         # a hot shard has over shard_rows of the rows, so this table is at most rows / shard_rows long
@@ -510,15 +522,16 @@ def fates(docs: DataFrame) -> DataFrame:
     longs = "key long, doc_id long, whole long, n long"
     sets = rows.mapInArrow(partial(prints, full=True), longs + "".join(f", {x} long" for x in names) + ", fine binary, prefix array<long>")
     sets = cut(sets.groupBy("whole", "n").agg(F.min("key").alias("node"), *[F.first(x).alias(x) for x in (*names, "fine", "prefix")]))
-    firsts = sets.where("n > 0").select("node", F.explode("prefix").alias("shard"))
+    at = F.transform("prefix", lambda x, i: F.struct(x.alias("shard"), i.cast("long").alias("pos"), F.coalesce(F.get("prefix", i - 1), F.lit(0)).alias("prev")))
+    firsts = sets.where("n > 0").select("node", F.explode(at).alias("at")).select("node", "at.*")
     # most shingles are one set's own: those go before anything else is exchanged with them
     firsts = cut(sieved(firsts, "shard", sieve(firsts.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1"), "shard")))
-    shards = firsts.groupBy("shard").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where("size > 1")
-    shards = shards.groupBy("size", "nodes").agg(F.min("shard").alias("shard"))
+    shards = firsts.groupBy("shard").agg(F.count("*").alias("size"), F.sum("pos").alias("pos"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where("size > 1")
+    shards = shards.groupBy("size", "nodes").agg(F.min_by("shard", F.struct("pos", "shard")).alias("shard"))  # places rise with the order of all, in every set
     dealt = cut(firsts.join(shards.select("shard"), "shard", "left_semi"))
 
     def meet(rows: DataFrame, k: int) -> DataFrame:
-        return meet_in_shards(rows, [*names, "n", *(["root"] if k else [])], 64 * 2 * COUNT_LONGS, SHARD_ROWS, partial(set_pairs, k=k), not k, sets.where("n > 0").select("node", "n", *names))
+        return meet_in_shards(rows, [*names, "n", "pos", "prev", *(["root"] if k else [])], 64 * 2 * COUNT_LONGS, SHARD_ROWS, partial(set_pairs, k=k), not k, sets.where("n > 0").select("node", "n", *names))
 
     linked = confirmed(rows.select("key", "text"), sets, dealt, meet)
     roots = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", F.coalesce("root", "node").alias("root"))
