@@ -197,7 +197,12 @@ def refused_assets(assets: dict[str, tuple[str, int]], form: str) -> str | None:
 
 
 # Parts that a package of each format must hold.
-REQUIRED = {"docx": ("[Content_Types].xml", "word/document.xml"), "xlsx": ("[Content_Types].xml", "xl/workbook.xml"), "pptx": ("[Content_Types].xml", "ppt/presentation.xml"), "hwpx": ("mimetype", "Contents/header.xml", "Contents/section0.xml")}
+REQUIRED = {
+    "docx": ("[Content_Types].xml", "_rels/.rels", "docProps/core.xml", "docProps/app.xml", "word/document.xml", "word/styles.xml"),
+    "pptx": ("[Content_Types].xml", "_rels/.rels", "docProps/core.xml", "docProps/app.xml", "ppt/presentation.xml", "ppt/_rels/presentation.xml.rels", "ppt/slideMasters/slideMaster1.xml"),
+    "hwpx": ("mimetype", "META-INF/manifest.xml", "Contents/content.hpf", "Contents/header.xml", "Contents/section0.xml"),
+    "xlsx": ("[Content_Types].xml", "_rels/.rels", "docProps/core.xml", "docProps/app.xml", "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/styles.xml", "xl/worksheets/sheet1.xml"),
+}
 
 
 def validate_outputs(df: DataFrame) -> DataFrame:
@@ -205,7 +210,7 @@ def validate_outputs(df: DataFrame) -> DataFrame:
     def one(doc_id, form, content):
         data = bytes(content or b"")
         if form == "pdf":
-            ok = data.startswith(b"%PDF-") and data.rstrip().endswith(b"%%EOF")
+            ok = data.startswith(b"%PDF-") and data.rstrip().endswith(b"%%EOF") and bool(re.search(rb"/Type */Page\b(?!s)", data))
             yield {"doc_id": doc_id, "structure": ok, "content_ok": ok, "external": 0, "warnings": []}
             return
 

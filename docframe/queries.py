@@ -262,15 +262,15 @@ def zip_budget(spark, sf_dir):
 
 
 @_query("""
-select n_nationkey as doc_id, case n_nationkey % 3 when 0 then '[Content_Types].xml, word/document.xml' when 1 then 'word/document.xml' end as missing from nation where n_nationkey % 3 < 2""")
+select n_nationkey as doc_id, case n_nationkey % 3 when 0 then '[Content_Types].xml, _rels/.rels, docProps/app.xml, docProps/core.xml, word/document.xml, word/styles.xml' when 1 then '_rels/.rels, docProps/app.xml, docProps/core.xml, word/document.xml, word/styles.xml' else '_rels/.rels, docProps/app.xml, docProps/core.xml, word/styles.xml' end as missing from nation""")
 def required_parts(spark, sf_dir):
     n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
-    need = n.select("doc_id", F.explode(F.array(F.lit("[Content_Types].xml"), F.lit("word/document.xml"))).alias("name"))
+    need = n.select("doc_id", F.explode(F.array(*[F.lit(x) for x in kernels.REQUIRED["docx"]])).alias("name"))
     has = n.where("doc_id % 3 > 0").select("doc_id", F.lit("[Content_Types].xml").alias("name")).union(n.where("doc_id % 3 = 2").select("doc_id", F.lit("word/document.xml")))
     return rel.missing_parts(need, has)
 
 
-@_query("select r_regionkey::bigint as doc_id, 0::bigint as dangling, 0::bigint as external, 4::bigint as relationships from region")
+@_query("select r_regionkey::bigint as doc_id, 0::bigint as dangling, 0::bigint as external, 5::bigint as relationships from region")
 def package_links(spark, sf_dir):
     """Every internal relationship of a rendered workbook leads to a part of it."""
     made = kernels.render_spreadsheets(_workbooks(_t(spark, sf_dir, "nation"), "n_regionkey", F.lit("Nations"), "n_nationkey", _text_cell(F.col("n_name"))))

@@ -40,6 +40,20 @@ def content_types(parts: dict[str, str], extra: tuple[str, ...] = ()) -> str:
     return f'{HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">{defaults}{rows}</Types>'
 
 
+PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+# Content types and root relationships of the two property parts.
+PROPERTY_TYPES = {"docProps/core.xml": "package.core-properties+xml", "docProps/app.xml": "officedocument.extended-properties+xml"}
+PROPERTY_LINKS = [("rIdCore", f"{PACKAGE}/relationships/metadata/core-properties", "docProps/core.xml", False), ("rIdApp", f"{REL}/extended-properties", "docProps/app.xml", False)]
+
+
+def properties(title: str) -> dict[str, str]:
+    """The parts with a document's title and the program's name."""
+    return {
+        "docProps/core.xml": f'{HEAD}<cp:coreProperties xmlns:cp="{PACKAGE}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{xml(title)}</dc:title></cp:coreProperties>',
+        "docProps/app.xml": f'{HEAD}<Properties xmlns="{REL.rsplit("/", 1)[0]}/extended-properties"><Application>docframe</Application></Properties>',
+    }
+
+
 def column_shares(rows: list[list[str]]) -> list[float]:
     """Share of the width for each column: by its longest text, within bounds."""
     n = max(map(len, rows), default=1)

@@ -8,7 +8,7 @@ from docframe.kernels.images import extension, figures, fit
 from docframe.kernels.markdown import plain
 from docframe.kernels.package import build
 from docframe.plans.deck import plan
-from docframe.writers.common import HEAD, PROFILES, REL, column_shares, content_types, relationships, round_half_up, xml
+from docframe.writers.common import HEAD, PROFILES, PROPERTY_LINKS, PROPERTY_TYPES, REL, column_shares, content_types, properties, relationships, round_half_up, xml
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _A = "http://schemas.openxmlformats.org/drawingml/2006/main"
@@ -94,8 +94,9 @@ def docx(blocks: list[dict], title: str, profile: str = "executive", assets: dic
     numbering = "".join(f'<w:abstractNum w:abstractNumId="{n}">{level(f, t)}</w:abstractNum>' for n, f, t in ((0, "bullet", "•"), (1, "decimal", "%{}."))) + "".join(f'<w:num w:numId="{n + 1}"><w:abstractNumId w:val="{n}"/></w:num>' for n in (0, 1))
     kind = "officedocument.wordprocessingml."
     return build({
-        "[Content_Types].xml": content_types({"word/document.xml": f"{kind}document.main+xml", "word/styles.xml": f"{kind}styles+xml", "word/numbering.xml": f"{kind}numbering+xml"}, tuple(sorted({extension(d) for _, d in media.values()}))),
-        "_rels/.rels": relationships([("rId1", f"{REL}/officeDocument", "word/document.xml", False)]),
+        "[Content_Types].xml": content_types({"word/document.xml": f"{kind}document.main+xml", "word/styles.xml": f"{kind}styles+xml", "word/numbering.xml": f"{kind}numbering+xml"} | PROPERTY_TYPES, tuple(sorted({extension(d) for _, d in media.values()}))),
+        "_rels/.rels": relationships([("rId1", f"{REL}/officeDocument", "word/document.xml", False), *PROPERTY_LINKS]),
+        **properties(title),
         "word/document.xml": f'{HEAD}<w:document xmlns:w="{_W}" xmlns:r="{REL}"><w:body>{"".join(out)}</w:body></w:document>',
         "word/_rels/document.xml.rels": relationships([("rId1", f"{REL}/styles", "styles.xml", False), ("rId2", f"{REL}/numbering", "numbering.xml", False), *[(i, f"{REL}/hyperlink", to, True) for to, i in links.items()], *[(key, f"{REL}/image", f"media/image{n}.{extension(d)}", False) for n, (key, d) in enumerate(media.values(), 1)]]),
         **{f"word/media/image{n}.{extension(d)}": d for n, (_, d) in enumerate(media.values(), 1)},
@@ -132,6 +133,7 @@ def hwpx(blocks: list[dict], title: str, profile: str = "executive", assets: dic
         "mimetype": "application/hwp+zip",
         "version.xml": f'{HEAD}<hv:HCFVersion xmlns:hv="http://www.hancom.co.kr/hwpml/2011/version" major="5" minor="1"/>',
         "META-INF/container.xml": f'{HEAD}<container><rootfiles><rootfile full-path="Contents/content.hpf" media-type="application/hwpml-package+xml"/></rootfiles></container>',
+        "META-INF/manifest.xml": f'{HEAD}<odf:manifest xmlns:odf="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"/>',
         "Contents/content.hpf": f'{HEAD}<package><metadata><title>{xml(title)}</title></metadata><manifest><item id="header" href="Contents/header.xml"/><item id="section0" href="Contents/section0.xml"/></manifest><spine><itemref idref="section0"/></spine></package>',
         "Contents/header.xml": f'{HEAD}<hh:head {ns} version="1.4" secCnt="1"/>',
         "Contents/section0.xml": f'{HEAD}<hs:sec {ns}>{"".join(out)}</hs:sec>',
@@ -198,8 +200,9 @@ def pptx(blocks: list[dict], title: str, profile: str = "executive", assets: dic
     theme = f'{HEAD}<a:theme xmlns:a="{_A}" name="Docframe"><a:themeElements><a:clrScheme name="Docframe">{colors}</a:clrScheme><a:fontScheme name="Docframe">{fonts}</a:fontScheme><a:fmtScheme name="Docframe"><a:fillStyleLst>{fill * 3}</a:fillStyleLst><a:lnStyleLst>{f"<a:ln>{fill}</a:ln>" * 3}</a:lnStyleLst><a:effectStyleLst>{"<a:effectStyle><a:effectLst/></a:effectStyle>" * 3}</a:effectStyleLst><a:bgFillStyleLst>{fill * 3}</a:bgFillStyleLst></a:fmtScheme></a:themeElements></a:theme>'
     ns, kind, top = range(1, len(slides) + 1), "officedocument.presentationml.", f'xmlns:a="{_A}" xmlns:r="{REL}" xmlns:p="{_P}"'
     parts = {
-        "[Content_Types].xml": content_types({"ppt/presentation.xml": f"{kind}presentation.main+xml", "ppt/slideMasters/slideMaster1.xml": f"{kind}slideMaster+xml", "ppt/slideLayouts/slideLayout1.xml": f"{kind}slideLayout+xml", "ppt/theme/theme1.xml": "officedocument.theme+xml"} | {f"ppt/slides/slide{i}.xml": f"{kind}slide+xml" for i in ns}, tuple(sorted({extension(d) for d in media.values()}))),
-        "_rels/.rels": relationships([("rId1", f"{REL}/officeDocument", "ppt/presentation.xml", False)]),
+        "[Content_Types].xml": content_types({"ppt/presentation.xml": f"{kind}presentation.main+xml", "ppt/slideMasters/slideMaster1.xml": f"{kind}slideMaster+xml", "ppt/slideLayouts/slideLayout1.xml": f"{kind}slideLayout+xml", "ppt/theme/theme1.xml": "officedocument.theme+xml"} | {f"ppt/slides/slide{i}.xml": f"{kind}slide+xml" for i in ns} | PROPERTY_TYPES, tuple(sorted({extension(d) for d in media.values()}))),
+        "_rels/.rels": relationships([("rId1", f"{REL}/officeDocument", "ppt/presentation.xml", False), *PROPERTY_LINKS]),
+        **properties(title),
         "ppt/presentation.xml": f'{HEAD}<p:presentation {top}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst>{"".join(f"<p:sldId id=\"{255 + i}\" r:id=\"rId{i + 1}\"/>" for i in ns)}</p:sldIdLst><p:sldSz cx="12192000" cy="6858000"/><p:notesSz cx="6858000" cy="9144000"/></p:presentation>',
         "ppt/_rels/presentation.xml.rels": relationships([("rId1", f"{REL}/slideMaster", "slideMasters/slideMaster1.xml", False), *[(f"rId{i + 1}", f"{REL}/slide", f"slides/slide{i}.xml", False) for i in ns]]),
         "ppt/slideMasters/slideMaster1.xml": f'{HEAD}<p:sldMaster {top}>{empty}{cmap}<p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="rId1"/></p:sldLayoutIdLst></p:sldMaster>',

@@ -9,9 +9,7 @@ from docframe.kernels.errors import Refused
 from docframe.kernels.package import build
 from docframe.kernels.sheets import column_name
 from docframe.limits import SHEET_CELLS, SHEET_ROWS, SHEETS
-from docframe.writers.common import HEAD, REL, content_types, relationships, xml
-
-PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+from docframe.writers.common import HEAD, PROPERTY_LINKS, PROPERTY_TYPES, REL, content_types, properties, relationships, xml
 
 
 def number(x: float) -> str:
@@ -97,10 +95,9 @@ def render(sheets: list[dict], title: str = "workbook") -> bytes:
     listed = "".join(f'<sheet name="{xml(s["name"])}" sheetId="{i}" r:id="rId{i}"/>' for i, s in enumerate(sheets, 1))
     styles = f'{HEAD}<styleSheet xmlns="{main}"><fonts count="2"><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><name val="Calibri"/></font></fonts><fills count="2"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf fontId="0"/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>'
     return build({
-        "[Content_Types].xml": content_types({"xl/workbook.xml": f"{kind}sheet.main+xml", "xl/styles.xml": f"{kind}styles+xml", "docProps/core.xml": "package.core-properties+xml"} | {f"xl/worksheets/sheet{i}.xml": f"{kind}worksheet+xml" for i in ns}),
-        "_rels/.rels": relationships([("rId1", f"{REL}/officeDocument", "xl/workbook.xml", False), ("rId2", f"{PACKAGE}/relationships/metadata/core-properties", "docProps/core.xml", False)]),
+        "[Content_Types].xml": content_types({"xl/workbook.xml": f"{kind}sheet.main+xml", "xl/styles.xml": f"{kind}styles+xml"} | PROPERTY_TYPES | {f"xl/worksheets/sheet{i}.xml": f"{kind}worksheet+xml" for i in ns}),
+        "_rels/.rels": relationships([("rId1", f"{REL}/officeDocument", "xl/workbook.xml", False), *PROPERTY_LINKS]),
         "xl/workbook.xml": f'{HEAD}<workbook xmlns="{main}" xmlns:r="{REL}"><sheets>{listed}</sheets><calcPr fullCalcOnLoad="1"/></workbook>',
         "xl/_rels/workbook.xml.rels": relationships([*[(f"rId{i}", f"{REL}/worksheet", f"worksheets/sheet{i}.xml", False) for i in ns], (f"rId{len(sheets) + 1}", f"{REL}/styles", "styles.xml", False)]),
         "xl/styles.xml": styles,
-        "docProps/core.xml": f'{HEAD}<cp:coreProperties xmlns:cp="{PACKAGE}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{xml(title)}</dc:title></cp:coreProperties>',
-    } | {f"xl/worksheets/sheet{i}.xml": _sheet(s["rows"]) for i, s in enumerate(sheets, 1)})
+    } | properties(title) | {f"xl/worksheets/sheet{i}.xml": _sheet(s["rows"]) for i, s in enumerate(sheets, 1)})

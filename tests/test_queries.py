@@ -140,6 +140,29 @@ def test_inspection_bounds_and_modes(spark):
     assert short.text == "## S\nA1: a" and not short.complete and "a bounded prefix of cells" in short.answer
 
 
+def test_validation_wants_every_required_part(spark):
+    import io
+    import zipfile
+
+    asked = spark.createDataFrame([(k, f, "standard", "# A\n\ntext & more") for k, f in enumerate(("docx", "pptx", "hwpx"))], "doc_id long, format string, profile string, markdown string")
+    made = {r.doc_id: (f, bytes(r.content)) for r, f in zip(kernels.render_documents(asked).orderBy("doc_id").collect(), ("docx", "pptx", "hwpx"), strict=True)}
+    made[3] = ("xlsx", xlsx.render([{"name": "S", "rows": [["a", 1]]}], "T & U"))
+    rows, want = [], {}
+    for form, data in made.values():
+        old = zipfile.ZipFile(io.BytesIO(data))
+        for gone in (None, *kernels.REQUIRED[form]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for name in old.namelist():
+                    if name != gone:
+                        z.writestr(name, old.read(name))
+            want[len(rows)] = gone
+            rows.append((len(rows), form, bytearray(out.getvalue())))
+    got = {r.doc_id: r for r in kernels.validate_outputs(spark.createDataFrame(rows, "doc_id long, format string, content binary")).collect()}
+    assert all(got[k].structure is (gone is None) for k, gone in want.items())
+    assert all(got[k].content_ok for k, gone in want.items() if gone is None)
+
+
 def test_inline_sources(spark):
     rows = [(1, "a.rtf", "e1xydGYxIGhpfQ=="), (2, None, "*"), (3, "b.rtf", None)]
     got = {r.doc_id: r for r in api.run("read_document", spark.createDataFrame(rows, "doc_id long, filename string, content string")).collect()}
