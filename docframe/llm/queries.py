@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import backoff_lm, decontam, license_scan, mixing, quality, simhash, token_count, toxicity, url_filter, winnow
+from docframe.llm import backoff_lm, codes, collisions, decontam, license_scan, mixing, quality, resample, simhash, token_count, toxicity, url_filter, winnow
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -73,11 +73,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this package
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_license_scan, op4_url_filter, op5_quality, op6_mixing, op7_simhash, op8_winnowing, op9_backoff_lm, op10_decontamination, pipeline)}
-ORACLES = {"op3_license_scan": license_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_license_scan, op4_url_filter, op5_quality, op6_mixing, op7_simhash, op8_winnowing, op9_backoff_lm, op10_decontamination, op11_vector_codes, op12_resampling, op13_embedding_dedup, pipeline)}
+ORACLES = {"op3_license_scan": license_scan.oracle(), "op11_vector_codes": codes.oracle(), "op12_resampling": resample.oracle(), "op13_embedding_dedup": collisions.ORACLE}
