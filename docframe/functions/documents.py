@@ -65,6 +65,26 @@ def decode_named(c: Column) -> Column:
     return c
 
 
+def character(code: Column) -> Column:
+    """The character of a code point; none beyond the last one or for a surrogate."""
+    fits = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+
+
+def decode_entities(c: Column) -> Column:
+    """Numeric references, hexadecimal ones first, then named ones; what a reference hides is not decoded twice."""
+
+    def numbers(text: Column, pattern: str, value) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(rf"(?s)&#{pattern};|&|[^&]+"), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^&#{pattern};\z"), character(value(p))).otherwise(p)), "")
+
+    digits = lambda p, skip: F.regexp_replace(F.regexp_replace(p, rf"^&#{skip}0*|;\z", ""), "^\\z", "0")
+    # numbers of more digits than any code point has stand for none
+    hexadecimal = lambda p: F.when(F.length(digits(p, "[xX]")) <= 6, F.conv(digits(p, "[xX]"), 16, 10).cast("bigint")).otherwise(-1)
+    decimal = lambda p: F.when(F.length(digits(p, "")) <= 7, digits(p, "").try_cast("bigint")).otherwise(-1)
+    return F.when(c.contains("&"), decode_named(numbers(numbers(c, "[xX][0-9a-fA-F]+", hexadecimal), "[0-9]+", decimal))).otherwise(c)
+
+
 def xml_text(c: Column) -> Column:
     """Without control characters that XML can't hold."""
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
