@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.functions.documents import tidy_line, units
+from docframe.functions.documents import attribute, tidy_line, units
 from docframe.limits import ASSET_BYTES, ASSETS, ZIP_ENTRIES, ZIP_ENTRY, ZIP_RATIO, ZIP_TOTAL
+from docframe.operators.paging import paginate
 
 
 def _upto(key: list[str], *order: str) -> Window:
@@ -143,19 +144,30 @@ def sheet_parts(sheets: DataFrame, rels: DataFrame, parts: DataFrame, key: str =
 
 
 def pack(pieces: DataFrame, room: int, key: str = "doc_id") -> DataFrame:
-    """(key, pos, page): whole pieces in order, a new page when one does not fit (a piece over ``room`` stands alone).
+    """(key, pos, page): whole pieces in order, a new page when one does not fit (a piece over ``room`` stands alone)."""
+    return paginate(pieces, room, key).select(key, "pos", "page")
 
-    An ordered fold over each key's costs, as one expression.
-    """
-    g = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "cost"))).alias("p"))
-    start = F.struct(F.lit(0).alias("page"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<pos:bigint,page:int>>").alias("out"))
 
-    def step(a, x):
-        over = (a["used"] > 0) & (a["used"] + x["cost"] > room)
-        page = F.when(over, a["page"] + 1).otherwise(a["page"])
-        return F.struct(page.alias("page"), F.when(over, x["cost"].cast("long")).otherwise(a["used"] + x["cost"]).alias("used"), F.concat(a["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), page.alias("page")))).alias("out"))
+def columns_joined(df: DataFrame, left: str, right: str, key: str = "doc_id") -> DataFrame:
+    """(key, row, left, right) of two arrays set side by side, the shorter one filled up with empty texts; null arrays are empty, two empty ones have no rows."""
+    one = lambda c: df.select(key, F.posexplode(c).alias("row", c))
+    return one(left).join(one(right), [key, "row"], "full_outer").select(key, "row", F.coalesce(left, F.lit("")).alias("left"), F.coalesce(right, F.lit("")).alias("right"))
 
-    return g.select(key, F.explode(F.aggregate("p", start, step)["out"]).alias("o")).select(key, "o.pos", "o.page")
+
+def resolved_path(base: Column, target: Column) -> Column:
+    """``target`` as a path from the top of a package, seen from the folder ``base``: ``..`` leaves a folder (none above the top), ``.`` and empty steps stay, a slash in front begins at the top."""
+    steps = F.concat(F.when(target.startswith("/"), F.array().cast("array<string>")).otherwise(F.split(base, "/")), F.split(target, "/"))
+    step = lambda stack, s: F.when(s.isin("", "."), stack).when(s == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(s)))
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/")
+
+
+def relationships(events: DataFrame, key: str = "doc_id", part: str = "part") -> DataFrame:
+    """(key, source, id, target, external) from the events of relationship parts: internal targets as paths in the package."""
+    of = events.where("kind = 'open'").where(F.element_at(F.split("name", ":"), -1) == "Relationship")
+    target = F.coalesce(attribute(F.col("attrs"), "Target"), F.lit(""))
+    out = F.coalesce(attribute(F.col("attrs"), "TargetMode") == "External", F.lit(False))
+    base = F.regexp_replace(part, r"_rels/[^/]*\z", "")
+    return of.select(key, F.col(part).alias("source"), attribute(F.col("attrs"), "Id").alias("id"), F.when(out, target).otherwise(resolved_path(base, target)).alias("target"), out.alias("external"))
 
 
 def text_sheet(rows: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:

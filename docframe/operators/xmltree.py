@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.functions.documents import decode_entities
+from docframe.functions.documents import attribute, decode_entities
 from docframe.limits import XML_DEPTH, XML_EVENTS
 from docframe.operators.relational import join_lines, normalize_lines
 
@@ -114,11 +114,6 @@ def within(events: DataFrame, column: str, *names: str, key: tuple[str, ...] = (
     return t.withColumn(column, (depth - F.when(opens, 1).otherwise(0)) > 0).drop("_tag", "_of")
 
 
-def attribute(attrs: Column, name: str) -> Column:
-    """The value of an attribute, or null."""
-    return F.when(attrs.rlike(rf'(?:^|\s){name}\s*=\s*"'), F.regexp_extract(attrs, rf'(?:^|\s){name}\s*=\s*"([^"]*)"', 1))
-
-
 def docx_lines(events: DataFrame, key: tuple[str, ...] = ("doc_id", "part")) -> DataFrame:
     """(key, pos, line): the lines of a document's body from its events.
 

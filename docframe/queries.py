@@ -270,16 +270,6 @@ def required_parts(spark, sf_dir):
     return rel.missing_parts(need, has)
 
 
-@_query("select r_regionkey::bigint as doc_id, 0::bigint as dangling, 0::bigint as external, 5::bigint as relationships from region")
-def package_links(spark, sf_dir):
-    """Every internal relationship of a rendered workbook leads to a part of it."""
-    made = kernels.render_spreadsheets(_workbooks(_t(spark, sf_dir, "nation"), "n_regionkey", F.lit("Nations"), "n_nationkey", _text_cell(F.col("n_name"))))
-    rels = kernels.package_relationships(made)
-    lost = rels.where(~F.col("external")).withColumnRenamed("target", "name").join(kernels.package_parts(made).select("doc_id", "name"), ["doc_id", "name"], "left_anti").groupBy("doc_id").count()
-    n = rels.groupBy("doc_id").agg(F.count_if("external").alias("external"), F.count("*").alias("relationships"))
-    return n.join(lost, "doc_id", "left").select("doc_id", F.coalesce("count", F.lit(0).cast("long")).alias("dangling"), "external", "relationships")
-
-
 @_query("""
 select p_partkey, floor(p_size / 2.0 * 2 + 0.5)::bigint as half_points, floor(p_size / 2.0 * 20 + 0.5)::bigint as twips, floor(p_size / 8.0 * 100 + 0.5)::bigint as hwpunit, floor(p_size / 2.0 * 12700 + 0.5)::bigint as emu, round((p_size % 256) / 255.0::double, 9) as red from part""")
 def unit_convert(spark, sf_dir):
@@ -437,12 +427,15 @@ def recognise_sections(spark, sf_dir):
 
 
 @_query("""
-select n_nationkey::bigint as doc_id, n_name || '/' || case when n_nationkey % 2 = 0 then r_name else '' end as row0 from nation join region on n_regionkey = r_regionkey""")
+with c as (select c_custkey::bigint as doc_id, c_name, c_custkey % 7 as a, c_custkey * 3 % 7 as b from customer),
+l as (select doc_id, i::int as "row", c_name || '+' || i as x from c, unnest(range(a)) u(i)), r as (select doc_id, i::int as "row", 'r' || i as y from c, unnest(range(b)) u(i))
+select doc_id, "row", coalesce(x, '') as "left", coalesce(y, '') as "right" from l full join r using (doc_id, "row")""")
 def comparison_columns(spark, sf_dir):
-    """Two columns side by side, the shorter one filled up."""
-    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    z = F.arrays_zip(F.array("n_name").alias("a"), F.when(F.col("n_nationkey") % 2 == 0, F.array("r_name")).otherwise(F.array().cast("array<string>")).alias("b"))
-    return n.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(z[0]["a"], F.lit("/"), F.coalesce(z[0]["b"], F.lit(""))).alias("row0"))
+    """Two columns of 0 to 6 lines side by side, the shorter one filled up."""
+    lines = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<string>"))
+    k = F.col("c_custkey")
+    c = _t(spark, sf_dir, "customer").select(k.cast("long").alias("doc_id"), lines((k % 7).cast("int"), lambda i: F.concat(F.col("c_name"), F.lit("+"), i)).alias("a"), lines((k * 3 % 7).cast("int"), lambda i: F.concat(F.lit("r"), i)).alias("b"))
+    return rel.columns_joined(c, "a", "b")
 
 
 # --- documents written and read again ---------------------------------------------------------------
@@ -627,11 +620,6 @@ def size_guard(spark, sf_dir):
     return rel.size_guard(o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("sheet"), F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 5).alias("cells")), 6, 20)
 
 
-@_query()
-def wrapped_lines(spark, sf_dir):
-    return kernels.wrapped_lines(_t(spark, sf_dir, "documents"), 80)
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return xlsx_roundtrip_nation(spark, sf_dir)

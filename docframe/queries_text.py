@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.checkpoints import shared_folder
+from docframe.functions.documents import BLANK, WIDE
 from docframe.operators import kernels
+from docframe.operators import relational as rel
 from docframe.operators import xmltree as xt
+from docframe.operators.paging import paginate
+from docframe.operators.wrapping import wrap_lines
 from docframe.queries import _query, _t
 from docframe.sources import files, packages, sink
 
@@ -105,3 +109,123 @@ def xml_parents(spark, sf_dir):
     parts = _customer_documents(spark, sf_dir).select("doc_id", F.col("parts")[1]["body"].alias("xml"))
     p = xt.parents(xt.xml_events(parts, key=("doc_id",)), ("doc_id",))
     return p.where("kind = 'open' and name in ('w:p', 'w:r', 'w:del')").groupBy("doc_id", "name", "parent_name").agg(F.count("*").alias("n"))
+
+
+@_query("""
+with c as (select c_nationkey::bigint as doc_id, c_custkey % 6 as k, count(*) as n from customer group by 1, 2)
+select doc_id, sum(case when k in (3, 4) then n else 0 end)::bigint as dangling, sum(case when k = 5 then n else 0 end)::bigint as external, sum(n)::bigint + 1 as relationships from c group by doc_id""")
+def package_links(spark, sf_dir):
+    """Where a package's relationships lead: to parts of it by various ways, to none, or out of it."""
+    k, name = F.col("c_custkey") % 6, F.col("c_custkey").cast("string")
+    target = F.when(k == 0, "document.xml").when(k == 1, "/word/../word/./document.xml").when(k == 2, "../../docProps//app.xml").when(k == 3, F.concat(F.lit("media/"), name, F.lit(".png"))).when(k == 4, "../document.xml").otherwise(F.concat(F.lit("https://example.net/"), name))
+    link = F.concat(F.lit('<Relationship Id="r'), name, F.lit('" Type="t" Target="'), target, F.lit('"'), F.when(k == 5, ' TargetMode="External"').otherwise(""), F.lit("/>"))
+    body = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.concat(F.lit("<Relationships>"), _joined(link, "c_custkey", ""), F.lit("</Relationships>")).alias("rels"))
+    part = lambda n, b: F.struct(F.lit(n).alias("name"), (b if isinstance(b, Column) else F.lit(b)).alias("body"))
+    made = kernels.build_packages(body.select("doc_id", F.array(part("_rels/.rels", '<Relationships><Relationship Id="r" Target="word/document.xml"/></Relationships>'), part("word/document.xml", "<w:document/>"), part("docProps/app.xml", "<p/>"), part("word/_rels/document.xml.rels", F.col("rels"))).alias("parts")))
+    to = _written(made.select(F.concat(F.lit("nation"), "doc_id", F.lit(".docx")).alias("filename"), "content"), "links")
+    of = F.regexp_extract("file", r"nation(\d+)\.docx\z", 1).cast("long").alias("doc_id")
+    rels = packages.members(spark, to, contents=True, where=[("name", "endswith", ".rels")]).select(of, F.col("name").alias("part"), F.decode("content", "UTF-8").alias("xml"))
+    found = rel.relationships(xt.xml_events(rels))
+    parts = packages.members(spark, to).select(of, F.col("name").alias("target"), F.lit(True).alias("there"))
+    met = found.join(parts, ["doc_id", "target"], "left")
+    return met.groupBy("doc_id").agg(F.count_if(~F.col("external") & F.col("there").isNull()).alias("dangling"), F.count_if("external").alias("external"), F.count("*").alias("relationships"))
+
+
+def _class(pattern: str) -> str:
+    return pattern.replace("\n", "\\n").replace("\t", "\\t").replace("\f", "\\f").replace("\r", "\\r")
+
+
+_B, _W = _class(BLANK)[1:-1], _class(WIDE)[1:-1]
+
+
+@_query(f"""
+with recursive u as (select doc_id, unnest(a) as atom, generate_subscripts(a, 1) - 1 as i from (select doc_id, regexp_extract_all(replace(text, chr(10), ' '), '[{_B}]+|[{_W}]|[^{_B}{_W}]+') as a from documents where length(text) > 0)),
+w as materialized (select doc_id, i, atom, length(atom) + length(regexp_replace(atom, '[^{_W}]', '', 'g')) as width, regexp_matches(atom, '^[{_B}]') as space from u),
+s as materialized (select *, sum(width) over (partition by doc_id order by i) - width as begin, count(*) over (partition by doc_id) as n from w),
+x as (select doc_id, i, begin from s union all select doc_id, count(*), sum(width) from w group by doc_id),
+e as materialized (select s.doc_id, s.i, s.n, greatest(x.i, s.i + 1) as stop from s asof join x on s.doc_id = x.doc_id and s.begin + 80 >= x.begin),
+g as materialized (select e.*, stop + coalesce(s.space::int, 0) as next, stop - (stop < e.n and stop - 1 > e.i and b.space)::int as last from e left join s on s.doc_id = e.doc_id and s.i = stop join s b on b.doc_id = e.doc_id and b.i = stop - 1),
+l as (select doc_id, space::int as i, 1 as line_no from s where i = 0 union all select l.doc_id, g.next, line_no + 1 from l join g on g.doc_id = l.doc_id and g.i = l.i where g.next < g.n),
+r as (select g.doc_id, line_no, g.i, g.last from l join g using (doc_id, i))
+select s.doc_id, line_no::bigint as line_no, string_agg(atom, '' order by s.i) as line, sum(width)::bigint as width from s asof join r on s.doc_id = r.doc_id and s.i >= r.i where s.i < r.last group by s.doc_id, line_no""")
+def wrapped_lines(spark, sf_dir):
+    """All texts in lines of 80 half widths."""
+    return wrap_lines(_t(spark, sf_dir, "documents"), 80)
+
+
+_TURN = "case when p.rows is null then p.cost else ceil((p.rows - f.first + 1) * 1.5)::int end"
+
+
+@_query(f"""
+with recursive p as materialized (select *, case when r % 10 <> 3 and r % 7 = 0 then true else false end as opens, case when r % 10 = 3 then q % 12 end as rows from (
+  select l_suppkey::bigint as doc_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as k, l_partkey as r, l_quantity::int as q, l_quantity::int % 4 + 1 as cost from lineitem)),
+f as (
+ select distinct doc_id, 0::bigint as k, 0 as part, 0 as first, 0 as used, 0 as tail, -1::bigint as head, 0 as page, 'start' as act, 0::bigint as ak, 0 as apart, 0 as afirst, null::int as an, 0 as apage from p
+ union all
+ select doc_id, case when act in ('put', 'alone') then k + 1 else k end, case when act = 'cut' then part + 1 when act in ('put', 'alone') then 0 else part end, case when act = 'cut' then first + fits when act in ('put', 'alone') then 0 else first end,
+  case act when 'put' then used + need when 'move' then tail else 0 end, case when act <> 'put' then 0 when opens and used > 0 then need when tail > 0 then tail + need else 0 end, case when act <> 'put' then -1 when opens and used > 0 then k else head end,
+  case when act = 'put' then page else page + 1 end, act, case act when 'move' then head else k end, part, case when act = 'move' then k::int else first end, case act when 'cut' then fits else rows - first end, page
+ from (select *, case when need <= 14 - used then 'put' when used < 14 and rows - first > fits then 'cut' when used = 0 then 'alone' when tail > 0 then 'move' else 'end' end as act from (
+  select f.doc_id, f.k, f.part, f.first, f.used, f.tail, f.head, f.page, p.opens, p.rows, {_TURN} as need, greatest(1, floor((14 - f.used) / 1.5)::int - 1) as fits from f join p using (doc_id, k)))),
+m as (select doc_id, ak as head, afirst as before from f where act = 'move')
+select f.doc_id, ak as pos, apart as part, apage + (m.head is not null)::int as page, case when an is not null then afirst end as first_row, an as n_rows
+from f left join m on m.doc_id = f.doc_id and ak >= m.head and ak < m.before where act in ('put', 'alone', 'cut')""")
+def deck_pages(spark, sf_dir):
+    """Long decks of pieces, sub-headings and tables on slides: tables cut with their heads repeated, sub-headings carried along."""
+    from pyspark.sql import Window
+
+    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1
+    q, table = F.col("l_quantity").cast("int"), F.col("l_partkey") % 10 == 3
+    p = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("doc_id"), pos.alias("pos"), (q % 4 + 1).alias("cost"), (~table & (F.col("l_partkey") % 7 == 0)).alias("opens"), F.when(table, q % 12).alias("rows"))
+    return paginate(p, 14, opens="opens", rows="rows")
+
+
+def _contents_round(k: int) -> str:
+    """Entries of round k set on pages of 12 lines, one after the other."""
+    return f"""
+e{k} as materialized (select doc_id, pos, text, j, greatest(1, ceil((length(text) + 1 + length((bp + 2 + n)::varchar)) / 24.0))::int as cost, bp + 2 + n as page from h join n{k} using (doc_id)),
+q{k} as (select doc_id, 1::bigint as j, 0 as cp, cost as used from e{k} where j = 1 union all
+ select e.doc_id, e.j, case when q.used + e.cost > 12 then q.cp + 1 else q.cp end, case when q.used + e.cost > 12 then e.cost else q.used + e.cost end from q{k} q join e{k} e on e.doc_id = q.doc_id and e.j = q.j + 1),
+n{k + 1} as materialized (select doc_id, greatest(max(cp) + 1, any_value(n))::int as n from q{k} join n{k} using (doc_id) group by doc_id)"""
+
+
+@_query(f"""
+with recursive p as materialized (select l_suppkey::bigint as doc_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as k, l_quantity::int % 4 + 1 as cost, l_partkey from lineitem),
+f as (select doc_id, k, 0 as page, cost as used from p where k = 0 union all
+ select p.doc_id, p.k, case when f.used + p.cost > 14 then f.page + 1 else f.page end, case when f.used + p.cost > 14 then p.cost else f.used + p.cost end from f join p on p.doc_id = f.doc_id and p.k = f.k + 1),
+h as materialized (select doc_id, k as pos, 'Chapter on part no. ' || l_partkey as text, page as bp, row_number() over (partition by doc_id order by k) as j from f join p using (doc_id, k) where l_partkey % 5 = 0),
+n0 as (select distinct doc_id, 1 as n from h),{",".join(_contents_round(k) for k in range(5))}
+select e.doc_id, e.pos, e.text, e.page::int as page, (q.cp + 2)::int as contents_page, n.n::int as contents_pages from e4 e join q4 q using (doc_id, j) join n5 n using (doc_id)""")
+def contents_with_pages(spark, sf_dir):
+    """Headings of long documents with the pages they stand on, behind contents whose length depends on these numbers."""
+    from pyspark.sql import Window
+
+    from docframe.operators.contents import contents_pages
+
+    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1
+    p = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("doc_id"), pos.cast("long").alias("pos"), (F.col("l_quantity").cast("int") % 4 + 1).alias("cost"), "l_partkey")
+    on = paginate(p, 14).select("doc_id", "pos", F.col("page").alias("body_page"))
+    heads = p.where("l_partkey % 5 = 0").select("doc_id", "pos", F.lit(1).alias("level"), F.concat(F.lit("Chapter on part no. "), "l_partkey").alias("text"))
+    return contents_pages(heads.join(on, ["doc_id", "pos"]), 12, 24).drop("level")
+
+
+_MARKED = """(select c_nationkey::bigint as doc_id, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pos,
+ case when c_custkey % 11 = 0 then '```sql' when c_custkey % 11 = 4 then '~~~~' when c_custkey % 11 = 7 then '````' when c_custkey % 11 = 9 then '     ~~~~~' when c_custkey % 13 = 3 then '::: note' when c_custkey % 13 = 9 then ':::' else c_name end as line from customer)"""
+
+
+@_query(f"""
+with recursive l as materialized (select *, regexp_extract(line, '^ *(`{{3,}}|~{{3,}})', 1) as run, line like '   %' as far from {_MARKED}),
+f as (select doc_id, 0::bigint as ix, 0 as d, '' as m, 0 as bd, '' as bm, false as mark from l where pos = 0 union all
+ select doc_id, ix + 1, nd, nm, d, m, nd <> d or nm <> m from (select *,
+  case when line = ':::' and d > 0 then 0 when line = '::: note' and m = '' and d < 4 then d + 1 else d end as nd,
+  case when line = ':::' and d > 0 then '' when run <> '' and m <> '' and starts_with(run, m) then '' when run <> '' and m = '' and not far then run else m end as nm
+  from (select f.doc_id, f.ix, f.d, f.m, l.line, l.run, l.far from f join l on l.doc_id = f.doc_id and l.pos = f.ix)))
+select l.doc_id, l.pos::bigint as pos, l.line, case when mark then greatest(d, bd) else d end as depth, case when mark and (d < bd or d = bd and m = '') then bm <> '' else m <> '' end as fenced, mark from f join l on l.doc_id = f.doc_id and l.pos = f.ix - 1""")
+def line_regions(spark, sf_dir):
+    """Where each line of texts with fences and directives lies: nested, mixed, never closed."""
+    from docframe.operators.regions import line_regions as regions
+
+    k, t = F.col("c_custkey"), F.when
+    line = t(k % 11 == 0, "```sql").when(k % 11 == 4, "~~~~").when(k % 11 == 7, "````").when(k % 11 == 9, "     ~~~~~").when(k % 13 == 3, "::: note").when(k % 13 == 9, ":::").otherwise(F.col("c_name"))
+    texts = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(_joined(line, "c_custkey").alias("text"))
+    return regions(texts)
