@@ -14,7 +14,7 @@ from docframe.operators import relational as rel
 from docframe.operators import xmltree as xt
 from docframe.operators.paging import paginate
 from docframe.operators.wrapping import wrap_lines
-from docframe.queries import _query, _t
+from docframe.queries import ORACLES, _ordered_lines, _query, _t
 from docframe.sources import files, packages, sink
 
 #: Members of fewer bytes are not asked for.
@@ -229,3 +229,57 @@ def line_regions(spark, sf_dir):
     line = t(k % 11 == 0, "```sql").when(k % 11 == 4, "~~~~").when(k % 11 == 7, "````").when(k % 11 == 9, "     ~~~~~").when(k % 13 == 3, "::: note").when(k % 13 == 9, ":::").otherwise(F.col("c_name"))
     texts = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(_joined(line, "c_custkey").alias("text"))
     return regions(texts)
+
+
+def _in_sql(spark: SparkSession, table: DataFrame, call: str) -> DataFrame:
+    """A table function called in SQL text on a DataFrame."""
+    from docframe.functions import tables
+
+    tables.register(spark)
+    return spark.sql(f"select * from {call}".replace("$", "table({t})"), t=table)
+
+
+@_query(ORACLES["pack_slides"])
+def sql_pack_pages(spark, sf_dir):
+    """``pack_slides`` by a table function of SQL."""
+    p = _ordered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("pos"), (F.col("l_quantity").cast("int") % 9 + 1).cast("long").alias("cost"))
+    return _in_sql(spark, p, "pack_pages($, 14)").drop("cost")
+
+
+@_query(ORACLES["list_numbering"])
+def sql_list_numbers(spark, sf_dir):
+    """``list_numbering`` by a table function of SQL."""
+    items = _ordered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("list_id"), F.col("l_linenumber").alias("pos"), (F.col("l_quantity").cast("int") % 5).alias("depth"))
+    return _in_sql(spark, items, "list_numbers($)")
+
+
+@_query(ORACLES["row_budget"])
+def sql_row_budget(spark, sf_dir):
+    """``row_budget`` by a table function of SQL."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("pos"), F.concat_ws(" | ", "c_name", "c_mktsegment").alias("line"))
+    return _in_sql(spark, c, "row_budget($, 500)")
+
+
+@_query("""
+with e as (select user_id, event_type || '/' || (event_id % 20) as title, ts, case when event_id % 40 = 0 then 2 else ntile(3) over (order by ts, event_id) - 1 end as arrival from events),
+w as (select k, (select max(ts) - interval 6 hour from e where arrival < k) as mark from range(4) r(k)),
+g as (select user_id, title, min(ts) as first_seen from e join w on arrival = k where mark is null or ts >= date_trunc('milliseconds', mark) group by user_id, title)
+select user_id::varchar as key, title, epoch_us(first_seen) as first_us from g where first_seen < (select date_trunc('milliseconds', mark) - interval 1 millisecond from w where k = 3)""")
+def stream_first_seen(spark, sf_dir):
+    """The events table as arrivals in three parts, each after a new start of the stream; some rows come late."""
+    from datetime import timedelta
+
+    from pyspark.sql import Window
+
+    from docframe.streaming.titles import first_seen
+
+    base = _folder(spark, "first_seen")
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.concat(F.col("event_type"), F.lit("/"), F.col("event_id") % 20).alias("title"), F.col("ts").cast("timestamp").alias("ts"))
+    third = F.ntile(3).over(Window.orderBy("ts", "event_id")) - 1
+    e = e.withColumn("arrival", F.when(F.col("event_id") % 40 == 0, 2).otherwise(third))
+    for k in range(3):
+        e.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{base}/in")
+        arrivals = spark.readStream.schema(e.drop("arrival").schema).parquet(f"{base}/in")
+        told = first_seen(arrivals, "user_id", "title", "ts", timedelta(hours=6))
+        told.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("key", "title", F.unix_micros("first_seen").alias("first_us"))
