@@ -152,12 +152,19 @@ def _fine(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), dim)
+def _matrix(column: pa.Array, dim: int, dtype: type) -> np.ndarray:
+    """Vectors of length 1 in double precision."""
+    return units(np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, dim).astype(np.float64))
+
+
+def _cosines(one: pa.Array, two: pa.Array, dtype: type) -> np.ndarray:
+    """Row by row, of vectors of any length; ``two`` holds doubles of length 1."""
+    as_unit = lambda x: units(np.frombuffer(x, dtype).astype(np.float64)[None])[0]
+    return np.array([float(as_unit(x) @ np.frombuffer(y)) for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True)])
 
 
 def signed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(node, label, weight, dim, unit, keys): vectors of length 1 as doubles, and the shard that names each in every table."""
+    """(node, label, weight, dim, raw, keys): vectors as bytes of their own type, and the shard that names each in every table."""
     kind = nodes.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +173,15 @@ def signed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
             size = np.diff(b.column(3).offsets.to_numpy())
             for dim in np.unique(size).tolist():
                 s = b.filter(pa.array(size == dim))
-                x = units(s.column(3).flatten().to_numpy().reshape(-1, dim))
+                raw = s.column(3).flatten().to_numpy().reshape(-1, dim)
+                x = units(raw.astype(np.float64))
                 side = x @ directions(dim, bits * tables, SEED + 1) > 0
                 keys = side.reshape(len(x), tables, bits) @ power
-                unit = pa.array([row.tobytes() for row in x], pa.binary())
+                raw = pa.array([row.tobytes() for row in raw], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.astype(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([*(s.column(k) for k in range(3)), pa.array(np.full(len(x), dim, np.int32)), unit, lists], ["node", "label", "weight", "dim", "unit", "keys"])
+                yield pa.RecordBatch.from_arrays([*(s.column(k) for k in range(3)), pa.array(np.full(len(x), dim, np.int32)), raw, lists], ["node", "label", "weight", "dim", "raw", "keys"])
 
-    return nodes.select("node", "label", "weight", F.col("v").alias("v")).mapInArrow(run, f"node long, label {kind}, weight long, dim int, unit binary, keys array<int>")
+    return nodes.select("node", "label", "weight", F.col("v").alias("v")).mapInArrow(run, f"node long, label {kind}, weight long, dim int, raw binary, keys array<int>")
 
 
 _PLACE = ["label", "dim", "keys"]
@@ -183,7 +191,7 @@ def _first_key() -> Column:
     return F.col("keys")[0]
 
 
-def cliques(rows: DataFrame, cosine: float, crowd: int, pivots: int = PIVOTS) -> DataFrame:
+def cliques(rows: DataFrame, cosine: float, crowd: int, dtype: type, pivots: int = PIVOTS) -> DataFrame:
     """(node, clique): rows within half the threshold's angle of a pivot of their shard of the first table; a clique's name is its least node.
 
     A round takes one pivot a hot shard; the hot shards are at most rows / crowd,
@@ -191,25 +199,24 @@ def cliques(rows: DataFrame, cosine: float, crowd: int, pivots: int = PIVOTS) ->
     """
     spark, half = rows.sparkSession, float(np.cos(acos(cosine) / 2)) + MARGIN
     where = ["label", "dim", "first"]
-    rest = rows.select("node", "label", "dim", "unit", _first_key().alias("first"))
+    rest = rows.select("node", "label", "dim", "raw", _first_key().alias("first"))
     found = None
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            apart = np.array([float(np.dot(np.frombuffer(x), np.frombuffer(y))) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
-            ok = pa.array(apart >= half)
+            ok = pa.array(_cosines(b.column(1), pa.array([units(np.frombuffer(y, dtype).astype(np.float64)[None])[0].tobytes() for y in b.column(2).to_pylist()], pa.binary()), dtype) >= half)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok)], ["node"])
 
     def at(rows: DataFrame, pivot: DataFrame) -> DataFrame:
         """Nodes near the pivot of their shard."""
-        return rows.join(pivot, where).select("node", "unit", "pivot").mapInArrow(near, "node long")
+        return rows.join(pivot, where).select("node", "raw", "pivot").mapInArrow(near, "node long")
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of vectors by shard number, as far as a task has read."""
         total: dict = {}
         for b in batches:
             for place, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[place] = total.get(place, 0) + np.frombuffer(x)
+                total[place] = total.get(place, 0) + units(np.frombuffer(x, dtype).astype(np.float64)[None])[0]
             if len(total) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["place", "total"])
                 total = {}
@@ -221,20 +228,19 @@ def cliques(rows: DataFrame, cosine: float, crowd: int, pivots: int = PIVOTS) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units_of, pa.binary())], ["place", "pivot"])
 
     for _ in range(pivots):
-        hot = rest.groupBy(*where).agg(F.count("*").alias("n"), F.min_by("unit", F.struct(F.xxhash64("node"), "node")).alias("pivot")).where(F.col("n") > crowd)
+        hot = rest.groupBy(*where).agg(F.count("*").alias("n"), F.min_by("raw", F.struct(F.xxhash64("node"), "node")).alias("pivot")).where(F.col("n") > crowd)
         hot = cut(hot.select(*where, "pivot").withColumn("place", F.monotonically_increasing_id()))
         if hot.isEmpty():
             break
-        close = rest.join(at(rest, hot), "node", "left_semi").join(hot.drop("pivot"), where).select("place", "unit")
+        close = rest.join(at(rest, hot), "node", "left_semi").join(hot.drop("pivot"), where).select("place", "raw")
         parts = close.mapInArrow(means, "place long, total array<double>").select("place", F.posexplode("total").alias("i", "x")).groupBy("place", "i").agg(F.sum("x").alias("x"))
         total = parts.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
         better = hot.drop("pivot").join(total.mapInArrow(scaled, "place long, pivot binary"), "place")
-        mine = rest.join(better, where).select("node", "unit", "pivot", "place")
+        mine = rest.join(better, where).select("node", "raw", "pivot", "place")
 
         def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                apart = np.array([float(np.dot(np.frombuffer(x), np.frombuffer(y))) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
-                ok = pa.array(apart >= half)
+                ok = pa.array(_cosines(b.column(1), b.column(2), dtype) >= half)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(3).filter(ok)], ["node", "place"])
 
         named = cut(mine.mapInArrow(members, "node long, place long"))
@@ -247,16 +253,9 @@ def cliques(rows: DataFrame, cosine: float, crowd: int, pivots: int = PIVOTS) ->
     return found if found is not None else spark.createDataFrame([], "node long, clique long")
 
 
-def met(rows: DataFrame, tables: int, cosine: float = COSINE, group: int = GROUP, projections: int = PROJECTIONS) -> DataFrame:
-    """(node, n, root): what each shard found for its rows."""
-    need = calibrated(projections)
-    spread = rows.select("node", "label", "weight", "dim", "unit", "keys", "clique", F.posexplode("keys").alias("t", "key"))
-    place = ["label", "dim", "t", "key"]
-    # groups of a hot shard: rows in cliques and the others apart, as groups of one clique need not meet
+def dealt_to_groups(spread: DataFrame) -> DataFrame:
+    """Rows of hot shards once for each two groups that meet (``pair``), with their own group (``mine``)."""
     loose = F.col("clique") < 0
-    hot = spread.groupBy(*place).agg(F.sum(loose.cast("long")).alias("n_loose"), F.sum((~loose).cast("long")).alias("n_close"), F.min(F.when(~loose, F.col("clique"))).alias("c0"), F.max(F.when(~loose, F.col("clique"))).alias("c1")).where(F.col("n_loose") + F.col("n_close") > group)
-    hot = hot.select(*place, F.ceil(F.col("n_loose") / group).cast("long").alias("g_loose"), F.ceil(F.col("n_close") / group).cast("long").alias("g_close"), (F.col("c0") == F.col("c1")).alias("one"))
-    spread = spread.join(hot, place, "left")
     none = F.array().cast("array<long>")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)).otherwise(none)
     salt = F.xxhash64("node", "t", F.lit(3))
@@ -266,9 +265,25 @@ def met(rows: DataFrame, tables: int, cosine: float = COSINE, group: int = GROUP
     # a group in one clique meets the loose groups only; all others meet every group
     others = upto(F.when(~loose & F.col("one"), F.col("g_loose")).otherwise(F.col("g_loose") + F.col("g_close")))
     pairs = F.when(F.col("g_loose").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("h")))).otherwise(F.transform(others, code))
-    spread = spread.select(*place, "node", "weight", "unit", "keys", "clique", "mine", F.explode(pairs).alias("pair"))
+    return spread.withColumn("pair", F.explode(pairs))
+
+
+def met(rows: DataFrame, dtype: type, cosine: float = COSINE, group: int = GROUP, projections: int = PROJECTIONS) -> DataFrame:
+    """(node, n, root): what each shard found for its rows."""
+    need = calibrated(projections)
+    spread = rows.select("node", "label", "weight", "dim", "raw", "keys", "clique", F.posexplode("keys").alias("t", "key"))
+    place = ["label", "dim", "t", "key"]
+    # groups of a hot shard: rows in cliques and the others apart, as groups of one clique need not meet
+    loose = F.col("clique") < 0
+    hot = spread.groupBy(*place).agg(F.sum(loose.cast("long")).alias("n_loose"), F.sum((~loose).cast("long")).alias("n_close"), F.min(F.when(~loose, F.col("clique"))).alias("c0"), F.max(F.when(~loose, F.col("clique"))).alias("c1")).where(F.col("n_loose") + F.col("n_close") > group)
+    hot = hot.select(*place, F.ceil(F.col("n_loose") / group).cast("long").alias("g_loose"), F.ceil(F.col("n_close") / group).cast("long").alias("g_close"), (F.col("c0") == F.col("c1")).alias("one"))
+    hot = cut(hot)
+    if hot.isEmpty():
+        spread = spread.withColumns({"mine": F.lit(0).cast("long"), "pair": F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("h"))})
+    else:
+        spread = dealt_to_groups(spread.join(hot, place, "left"))
     shard = [F.xxhash64(*place, "pair.g", "pair.h").alias("a"), F.xxhash64(F.lit(1), *place, "pair.g", "pair.h").alias("b")]
-    dealt = spread.select(*shard, "t", "dim", "node", "weight", "unit", "keys", "clique", F.col("mine").alias("side"), (F.col("pair.g") != F.col("pair.h")).alias("two")).repartition("a", "b").sortWithinPartitions("a", "b", "node")
+    dealt = spread.select(*shard, "t", "dim", "node", "weight", "raw", F.slice("keys", 1, F.col("t")).alias("keys"), "clique", F.col("mine").alias("side"), (F.col("pair.g") != F.col("pair.h")).alias("two")).repartition("a", "b").sortWithinPartitions("a", "b", "node")
 
     def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -281,7 +296,7 @@ def met(rows: DataFrame, tables: int, cosine: float = COSINE, group: int = GROUP
             side = s.column("side").to_numpy()
             if s.column("two")[0].as_py() and (side == side[0]).all():
                 continue  # one of two groups has no row
-            x = _matrix(s.column("unit"), s.column("dim")[0].as_py())
+            x = _matrix(s.column("raw"), s.column("dim")[0].as_py(), dtype)
             keys = s.column("keys").combine_chunks().flatten().to_numpy().reshape(j - i, -1)
             links, root = linked(x, s.column("weight").to_numpy(), keys, s.column("clique").to_numpy(), side, s.column("t")[0].as_py(), cosine, need)
             at = np.flatnonzero(links)
@@ -312,7 +327,9 @@ def met(rows: DataFrame, tables: int, cosine: float = COSINE, group: int = GROUP
 def near_copies(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", crowd: int = CROWD, group: int = GROUP, pivots: int = PIVOTS, bits_tables: tuple[int, int] | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per input row."""
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("v"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    dtype = np.float32 if single else np.float64
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v"))
     rows = rows.withColumn("fine", F.col("label").isNotNull() & _fine(F.col("v")))
     may = rows.where("fine").withColumn("h", F.xxhash64("label", "v"))
     nodes = may.groupBy("h", "label", "v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
@@ -320,9 +337,9 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_i
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = bits_tables or plan(largest, cosine)
     known = cut(signed(nodes, bits, tables))
-    close = cliques(known, cosine, crowd, pivots) if largest > crowd else vectors.sparkSession.createDataFrame([], "node long, clique long")
+    close = cliques(known, cosine, crowd, dtype, pivots) if largest > crowd else vectors.sparkSession.createDataFrame([], "node long, clique long")
     known = known.join(close, "node", "left").withColumn("clique", F.coalesce("clique", F.lit(-1).cast("long")))
-    found = cut(met(known, tables, cosine, group))
+    found = cut(met(known, dtype, cosine, group))
     size = close.join(nodes.select("node", "weight"), "node").groupBy("clique").agg(F.sum("weight").alias("all"))
     within = close.join(size, "clique").join(nodes.select("node", "weight"), "node").select("node", (F.col("all") - F.col("weight")).alias("n"), F.col("clique").alias("root"))
     found = found.union(within.select("node", "n", "root"))
