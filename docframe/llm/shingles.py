@@ -444,7 +444,7 @@ def confirmed(texts: DataFrame, sets: DataFrame, dealt: DataFrame, meet: Callabl
         rows = of.join(going.withColumnRenamed("ra", "root"), "root", "left_semi").select(of.columns)
         if any_hot:
             rows = rows.join(hot, "shard", "left_anti").select(of.columns).union(of.join(hot, "shard", "left_semi").select(of.columns))
-        proposed = cut(meet(rows, near))
+        proposed = cut(meet(cut(rows), near))  # which reads its rows more than once
         seen = failed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
         done = cut(compared(texts, sets, fresh))
