@@ -137,7 +137,7 @@ def members_of(docs: DataFrame, model: DomainModel, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, t in slices(b.column(0)):
+            for _, t in slices(b.column(0), 1 << 20):
                 tokens = np.bincount(t.spans(NOT_BLANK)[2], minlength=t.n)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *map(pa.array, shared.value.posteriors(t))], ["tokens", *names])
 
@@ -153,7 +153,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, t in slices(b.column(at)):
+            for part, t in slices(b.column(at), 1 << 20):
                 rows = b.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, shared.value.posteriors(t))], [*rows.schema.names, *names])
 

@@ -170,7 +170,7 @@ def keep_rows(docs: DataFrame, score, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, t in slices(b.column(at)):
+            for part, t in slices(b.column(at), 1 << 20):
                 rows = b.slice(part.start, part.stop - part.start)
                 yield rows.filter(pa.array(score(t)))
 
