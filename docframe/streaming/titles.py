@@ -1,13 +1,14 @@
 """First sightings in a stream: the first time a title is seen for a key, by event time, told once it is certain.
 
 Keyed state with timers. The state of a key is, for each of its titles, when it
-was first seen so far, and whether that has been told. A row older than the
-watermark is late and dropped. A title is told when the watermark passes its
-first time, as no earlier row can count any more; a timer wakes the key then.
-With ``forget`` a title that was told is given up so long after it was first seen, which
-bounds the state; seen again later it is new. State and timers are kept in the
-checkpoint, so a stream that starts again goes on where it was, and its results
-do not depend on how arrivals are cut to batches beyond what is late.
+was told last and at which times it has been seen since the watermark. A row
+older than the watermark is late and dropped. A title is told when the watermark
+passes its first time, as no earlier row can count any more; a timer wakes the
+key then. With ``forget`` a title that is seen so long after it was told last, or
+later, is new again, and its state is given up as soon as nothing can depend on
+it. State and timers are kept in the checkpoint, so a stream that starts again
+goes on where it was, and its results depend on how arrivals are cut to batches
+only by what is late.
 
 Defined results: rows with a null key, title or time are dropped; repeated rows
 change nothing; of equal times the title is told once; titles that the last
@@ -17,7 +18,7 @@ watermark has not passed are not told yet.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -26,40 +27,55 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from docframe.ship import ship
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EPOCH = datetime(1970, 1, 1)
+
+
+def _passed(us: int) -> int:
+    """The first millisecond at which a watermark has passed a time."""
+    return us // 1000 + 1
 
 
 class FirstSeen(StatefulProcessor):
-    def __init__(self, forget_ms: int | None):
-        self.forget_ms = forget_ms
+    def __init__(self, forget_us: int | None):
+        self.forget_us = forget_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "title string", "first_us long, told boolean")
+        self.seen = handle.getMapState("seen", "title string", "told_us long, pending array<long>")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         late = timerValues.getCurrentWatermarkInMs() * 1000
-        first: dict[str, int] = {}
+        new: dict[str, set[int]] = {}
         for r in rows:
             if r.us >= late:
-                first[r.title] = min(r.us, first.get(r.title, r.us))
-        for title, us in first.items():
-            known = self.seen.getValue((title,)) if self.seen.containsKey((title,)) else None
-            if known is None or not known[1] and us < known[0]:
-                self.seen.updateValue((title,), (us, False))
-                self.handle.registerTimer(us // 1000 + 1)
+                new.setdefault(r.title, set()).add(r.us)
+        for title, times in new.items():
+            told, pending = self.seen.getValue((title,)) if self.seen.containsKey((title,)) else (None, [])
+            if self.forget_us is None:
+                if told is not None:
+                    continue
+                times = {min([*times, *pending])}
+            fresh = times.difference(pending)
+            if fresh:
+                self.seen.updateValue((title,), (told, sorted(times.union(pending) if self.forget_us is not None else times)))
+            for us in fresh:
+                self.handle.registerTimer(_passed(us))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for (title,), (us, told) in list(self.seen.iterator()):
-            if not told and us // 1000 + 1 <= now:
-                out.append(Row(key=key[0], title=title, us=us))
-                self.seen.updateValue((title,), (us, True))
-                if self.forget_ms is not None:
-                    self.handle.registerTimer(us // 1000 + 1 + self.forget_ms)
-            elif told and self.forget_ms is not None and us // 1000 + 1 + self.forget_ms <= now:
+        for (title,), (told, pending) in list(self.seen.iterator()):
+            due = [us for us in pending if _passed(us) <= now]
+            for us in due:
+                if told is None or self.forget_us is not None and us >= told + self.forget_us:
+                    out.append(Row(key=key[0], title=title, us=us))
+                    told = us
+                    if self.forget_us is not None:
+                        self.handle.registerTimer(_passed(us + self.forget_us))
+            left = pending[len(due) :]
+            if not left and told is not None and self.forget_us is not None and _passed(told + self.forget_us) <= now:
                 self.seen.removeKey((title,))
+            elif due:
+                self.seen.updateValue((title,), (told, left))
         return iter(out)
 
     def close(self) -> None:
@@ -72,6 +88,6 @@ def first_seen(arrivals: DataFrame, key: str, title: str, at: str, delay: timede
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     rows = arrivals.select(F.col(key).cast("string").alias("key"), F.col(title).cast("string").alias("title"), F.col(at).cast("timestamp").alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
     rows = rows.dropna().withWatermark("at", f"{int(delay.total_seconds() * 1000)} milliseconds")
-    forget_ms = None if forget is None else int(forget.total_seconds() * 1000)
-    told = rows.groupBy("key").transformWithState(FirstSeen(forget_ms), "key string, title string, us long", "Append", "EventTime")
+    forget_us = None if forget is None else int(forget.total_seconds() * 1_000_000)
+    told = rows.groupBy("key").transformWithState(FirstSeen(forget_us), "key string, title string, us long", "Append", "EventTime")
     return told.select("key", "title", F.timestamp_micros("us").alias("first_seen"))
