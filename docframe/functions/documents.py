@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docframe.kernels.detecting import EXTENSIONS, NAMED
+from docframe.kernels.detecting import EXTENSIONS, MIME_TYPES, NAMED
 from docframe.limits import SOURCE_BYTES
 
 #: White space as the engine means it (no regular expression dialect has just this).
@@ -29,6 +29,14 @@ def tidy_line(c: Column) -> Column:
     return strip_cells(trim(runs))
 
 
+def normal_lines(lines: Column) -> Column:
+    """An array of lines: tidy, no two empty ones in a row, none at the ends."""
+    tidy = F.transform(lines, tidy_line)
+    kept = F.filter(F.transform(F.arrays_zip(tidy.alias("line"), F.concat(F.array(F.lit("")), tidy).alias("before")), lambda z: F.struct(z["line"].alias("line"), z["before"].alias("before"))), lambda z: z["line"].isNotNull() & ((z["line"] != "") | (z["before"] != "")))
+    out = F.transform(kept, lambda z: z["line"])
+    return F.when(F.try_element_at(out, F.lit(-1)) == "", F.slice(out, 1, F.size(out) - 1)).otherwise(out)
+
+
 def row_text(cells: Column) -> Column:
     return strip_cells(trim(F.concat_ws(" | ", F.transform(cells, lambda x: F.coalesce(x, F.lit(""))))))
 
@@ -154,9 +162,46 @@ def png_size(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+def jpeg_size(content: Column) -> Column:
+    """{width, height} of a JPEG from its first frame header, or null.
+
+    The marks of segments are among the 0xFF bytes. These are found by one split; a
+    fold along them holds where the next mark must stand, passes those before it
+    (they are within a segment), and ends where one is missing or a frame begins.
+    """
+    pieces = F.split(F.decode(content, "ISO-8859-1"), "\u00ff", -1)
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at + 1, F.lit(n))), 16, 10).cast("int")
+    size, none = F.length(content), F.lit(None).cast("int")
+    state = lambda at, want, done, w=none, h=none: F.struct(at.cast("int").alias("at"), want.cast("int").alias("want"), F.lit(done).alias("done") if isinstance(done, bool) else done.alias("done"), w.alias("width"), h.alias("height"))
+
+    def step(a: Column, piece: Column) -> Column:
+        at = a["at"]  # of the 0xFF in front of this piece
+        here, mark, n = at + 1 + F.length(piece), number(at + 1, 1), number(at + 2, 2)
+        frame = mark.between(0xC0, 0xCF) & ~mark.isin(0xC4, 0xC8, 0xCC)
+        return (
+            F.when(a["done"] | (at < a["want"]), state(here, a["want"], a["done"], a["width"], a["height"]))
+            .when((at > a["want"]) | (at + 9 >= size), state(here, a["want"], True))
+            .when((mark == 0xD8) | mark.between(0xD0, 0xD7), state(here, at + 2, False))
+            .when(n < 2, state(here, a["want"], True))
+            .when(frame, state(here, a["want"], True, number(at + 7, 2), number(at + 5, 2)))
+            .otherwise(state(here, at + 2 + n, False))
+        )
+
+    walked = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), state(F.lit(0), F.lit(2), False), step)
+    # the first 0xFF stands at 0, as the file must begin with one
+    found = F.when(F.hex(F.substring(content, 1, 2)) == "FFD8", walked)
+    return F.when((found["width"] > 0) & (found["height"] > 0), F.struct(found["width"].alias("width"), found["height"].alias("height")))
+
+
+def image_size(content: Column) -> Column:
+    """{width, height} of a PNG or JPEG, by its own bytes; null for others and for broken ones."""
+    png = png_size(content)
+    return F.coalesce(F.when((F.length(content) >= 24) & (png["width"] > 0) & (png["height"] > 0), png), jpeg_size(content))
+
+
 def fit_into(w: Column, h: Column, box_w: float, box_h: float) -> Column:
     """Scale that fits w by h into a box without enlarging."""
-    return F.least(F.lit(1.0), F.lit(box_w) / w, F.lit(box_h) / h)
+    return F.when(w.isNotNull() & h.isNotNull(), F.least(F.lit(1.0), F.lit(box_w) / w, F.lit(box_h) / h))
 
 
 def base64_source(content: Column) -> Column:
@@ -173,12 +218,14 @@ def looks_like_text(content: Column) -> Column:
     return (F.length(head) > 0) & (F.instr(head, "\x00") == 0) & (F.regexp_count(head, F.lit(r"[\x01-\x08\x0E-\x1F\x7F]")) / F.length(head) < 0.05)
 
 
-def detect(content: Column, filename: Column) -> Column:
-    """{format, reason}; ``zip`` is left to its part names (``kernels.detecting.zip_format``)."""
+def detect(content: Column, filename: Column, mime: Column | None = None) -> Column:
+    """{format, reason}; ``zip`` is left to its part names (``kernels.detecting.zip_format``). Bytes come first, then the MIME type it was served as, then the name."""
     head = F.hex(F.substring(content, 1, 24))
     ext = extension_of(filename)
-    look = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce(ext, F.lit("")))
-    named, declared = look(NAMED), look(EXTENSIONS)
+    look = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce(key, F.lit("")))
+    named, declared = look(NAMED, ext), look(EXTENSIONS, ext)
+    served = F.lit("") if mime is None else F.lower(F.trim(F.coalesce(mime, F.lit(""))))
+    told = look(MIME_TYPES, served)
     ascii16 = F.decode(F.substring(content, 1, 16), "ISO-8859-1")
     no = lambda why: F.struct(F.lit("unsupported").alias("format"), (F.lit(why) if isinstance(why, str) else why).alias("reason"))
     yes = lambda form: F.struct(F.lit(form).alias("format"), F.lit(None).cast("string").alias("reason"))
@@ -189,11 +236,16 @@ def detect(content: Column, filename: Column) -> Column:
         .when(trim(ascii16).startswith("{\\rtf"), yes("rtf"))
         .when(head.startswith("48575020446F63756D656E742046696C652056332E3030"[:46]), no("an HWP 3.0 document"))
         .when(head.startswith("D0CF11E0A1B11AE1"), yes("hwp"))
+        .when(served.startswith("image/"), no(F.concat(served, F.lit(", an image rather than a document"))))
+        .when(served.isin("text/html", "application/xhtml+xml"), no("a web page"))
+        .when(told == "pdf", no("a PDF is read by the caller"))
+        .when(told == "text", no("a plain-text document is read by the caller"))
+        .when(told.isNotNull(), no(F.concat(F.lit("served as "), served, F.lit(", but its contents are not "), F.upper(told))))
         .when(ext.isin("html", "htm"), no("a web page"))
         .when(named.isNotNull(), no(named))
         .when(declared.isin("text", "pdf"), no("a plain-text document is read by the caller"))
         .when(declared.isNotNull(), no(F.concat(F.lit("named ."), ext, F.lit(", but its contents are not "), F.upper(declared))))
-        .when(looks_like_text(content), no("a plain-text document is read by the caller"))
+        .when(served.startswith("text/") | looks_like_text(content), no("a plain-text document is read by the caller"))
         .otherwise(no("not a document format that is known"))
     )
 

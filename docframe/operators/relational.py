@@ -143,6 +143,14 @@ def sheet_parts(sheets: DataFrame, rels: DataFrame, parts: DataFrame, key: str =
     return t.join(parts.select(key, "name"), [key, "name"], "left_semi").select(key, "sheet_idx", F.col("name").alias("part"))
 
 
+def uses_bold(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, bold): whether a document's blocks need a bold face; headings and heads of tables are set in it."""
+    some = lambda runs: F.coalesce(F.exists(runs, lambda r: F.coalesce(r["bold"], F.lit(False))), F.lit(False))
+    listed = F.coalesce(F.exists("items", lambda i: F.exists(i["runs"], lambda r: F.coalesce(r["bold"], F.lit(False)))), F.lit(False))
+    bold = F.col("kind").isin("heading", "table") | F.col("kind").isin("paragraph", "quote") & some(F.col("runs")) | (F.col("kind") == "list") & listed
+    return blocks.where(F.col("depth") == 0).groupBy(key).agg(F.max(bold).alias("bold"))
+
+
 def pack(pieces: DataFrame, room: int, key: str = "doc_id") -> DataFrame:
     """(key, pos, page): whole pieces in order, a new page when one does not fit (a piece over ``room`` stands alone)."""
     return paginate(pieces, room, key).select(key, "pos", "page")

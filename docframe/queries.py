@@ -279,12 +279,19 @@ def unit_convert(spark, sf_dir):
 
 
 @_query("""
-select o_orderkey, (o_orderkey % 900 + 1)::int as width, (o_custkey % 700 + 1)::int as height, round(least(1.0::double, 400.0::double / (o_orderkey % 900 + 1), 300.0::double / (o_custkey % 700 + 1)), 9) as scale from orders""")
+with o as (select o_orderkey, o_orderkey % 5 as k, (o_orderkey % 900 + 1)::int as w, (o_custkey % 700 + 1)::int as h from orders)
+select o_orderkey, case when k < 3 then w end as width, case when k < 3 then h end as height, case when k < 3 then round(least(1.0::double, 400.0::double / w, 300.0::double / h), 9) end as scale from o""")
 def image_size(spark, sf_dir):
+    """Sizes of PNG and JPEG files, the latter with other segments before the frame, and of files that break off."""
     o = _t(spark, sf_dir, "orders")
-    number = lambda c: F.lpad(F.hex(c.cast("int")), 8, "0")
-    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(F.col("o_orderkey") % 900 + 1), number(F.col("o_custkey") % 700 + 1)))
-    s = o.select("o_orderkey", fn.png_size(png).alias("s"))
+    number = lambda c, n: F.lpad(F.hex(c.cast("int")), n, "0")
+    w, h, k = F.col("o_orderkey") % 900 + 1, F.col("o_custkey") % 700 + 1, F.col("o_orderkey") % 5
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(w, 8), number(h, 8))
+    # a segment that holds what looks like a frame, then one of some length
+    before = F.concat(F.lit("FFD8FFE1000AFFC000110800FFFFFFDB"), number(F.col("o_custkey") % 40 + 2, 4), F.repeat(F.lit("FF"), (F.col("o_custkey") % 40).cast("int")))
+    jpeg = F.concat(before, F.lit("FFD3FFC2001108"), number(h, 4), number(w, 4), F.lit("03012200021101031101FFDA"))
+    data = F.unhex(F.when(k == 0, png).when(k <= 2, jpeg).when(k == 3, before).otherwise(F.substring(png, 1, 36)))
+    s = o.select("o_orderkey", fn.image_size(data).alias("s"))
     return s.select("o_orderkey", "s.width", "s.height", F.round(fn.fit_into(F.col("s.width"), F.col("s.height"), 400.0, 300.0), 9).alias("scale"))
 
 
@@ -307,9 +314,9 @@ t as (select doc_id, pos * 3 + k as pos, regexp_replace(trim(regexp_replace(rege
 w as (select *, lag(line) over (partition by doc_id order by pos) as b, min(case when line <> '' then pos end) over (partition by doc_id) as f, max(case when line <> '' then pos end) over (partition by doc_id) as e from t)
 select doc_id, string_agg(line, chr(10) order by pos) as text from w where pos between f and e and (line <> '' or b <> '') group by doc_id""")
 def normalize_lines(spark, sf_dir):
-    l = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))  # noqa: E741
-    x = l.select("doc_id", "p", F.posexplode(F.array(F.lit(""), F.concat(F.lit("  "), "line", F.lit("\t z  |  | ")), F.lit("  "))).alias("k", "line"))
-    return rel.join_lines(rel.normalize_lines(x.select("doc_id", (F.col("p") * 3 + F.col("k")).alias("pos"), "line")))
+    lines = F.flatten(F.transform(F.split("text", "\n"), lambda x: F.array(F.lit(""), F.concat(F.lit("  "), x, F.lit("\t z  |  | ")), F.lit("\u00a0  "))))
+    normal = F.array_join(fn.normal_lines(lines), "\n")
+    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", normal.alias("text"))
 
 
 @_query("""
@@ -576,8 +583,7 @@ def text_flags(spark, sf_dir):
 def deck_counts(spark, sf_dir):
     r = _reports(spark, sf_dir)
     slides = kernels.plan_slides(r).groupBy("doc_id").agg(F.count("*").alias("slides"), F.count_if(F.col("title").rlike(r"\(계속\)$| — ")).alias("continued"))
-    bold = kernels.parse_markdown(r).groupBy("doc_id").agg(F.max(F.col("kind").isin("heading", "table") | F.coalesce(F.exists("runs", lambda x: x["bold"]), F.lit(False))).alias("bold"))
-    return slides.join(bold, "doc_id")
+    return slides.join(rel.uses_bold(kernels.parse_markdown(r)), "doc_id")
 
 
 @_query("""

@@ -283,3 +283,19 @@ def stream_first_seen(spark, sf_dir):
         told = first_seen(arrivals, "user_id", "title", "ts", timedelta(hours=6))
         told.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("key", "title", F.unix_micros("first_seen").alias("first_us"))
+
+
+@_query("""
+with p as (select page_id, html, page_id % 8 as k from pages)
+select page_id, case when k = 7 then 'rtf' else 'unsupported' end as format, case k when 0 then 'image/png, an image rather than a document' when 1 then 'a web page' when 2 then 'a PDF is read by the caller' when 3 then 'served as application/vnd.hancom.hwpx, but its contents are not HWPX' when 4 then 'a plain-text document is read by the caller' when 5 then 'named .docx, but its contents are not DOCX' when 6 then 'a plain-text document is read by the caller' end as reason from p where length(html) > 0""")
+def detect_served(spark, sf_dir):
+    """What pages are that were served under various MIME types; bytes come first, then the type, then the name."""
+    from docframe.functions import documents as fn
+
+    k = F.col("page_id") % 8
+    of = lambda *x: F.element_at(F.array(*[F.lit(v).cast("string") for v in x]), (k + 1).cast("int"))
+    mime = of("Image/PNG ", "text/html", "application/pdf", "application/vnd.hancom.hwpx", "application/json", "application/octet-stream", None, "image/gif")
+    name = of("a.docx", "a.docx", "a.docx", "a.docx", "a.docx", "a.docx", "a.txt", "a.docx")
+    body = F.when(k == 7, F.concat(F.lit("{\\rtf1 "), "html")).otherwise(F.col("html"))
+    d = fn.detect(F.encode(body, "UTF-8"), name, mime)
+    return _t(spark, sf_dir, "pages").where("length(html) > 0").select("page_id", d.alias("d")).select("page_id", "d.format", "d.reason")
