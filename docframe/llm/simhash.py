@@ -7,10 +7,10 @@ a fingerprint lies in the shard named by its half's distances to ``m`` fixed
 vantage words. By the triangle inequality two halves at distance 0 lie in one
 shard, and at distance 1 in shards whose distances all differ by exactly 1 (one
 bit flipped changes every distance by 1). Of two such halves one has an odd
-number of bits; every odd one is sent as a guest to the 2^m shards across its
-borders. So a fingerprint is sent some 1 + 2^(m-1) times a half; ``m`` grows
-with the logarithm of the number of fingerprints so that a shard holds some
-hundreds on average.
+number of bits; every odd one is sent as a guest to the shards across its borders
+in which one of its 32 neighbours lies. So a fingerprint is sent at most 33 times
+a half, whatever ``m`` is; ``m`` grows with the logarithm of the number of
+fingerprints so that a shard holds some hundreds on average.
 
 Within a shard a vantage-point tree is built on the halves of the fingerprints
 at home there, halved at the median distance from one of them; a fingerprint,
@@ -164,14 +164,13 @@ def vantage_points(n: int) -> int:
 
 def in_vantage_shards(distinct: DataFrame, m: int) -> DataFrame:
     """(node, shard, fp, what): every fingerprint at home in one shard a half, and as a guest in those across its borders."""
-    steps = [sum((1 if c >> i & 1 else -1) << 6 * i for i in range(m)) for c in range(1 << m)]
-
     def of_half(j: int) -> Column:
         half = F.shiftrightunsigned(F.col("fp"), 32 * j).bitwiseAND(F.lit(0xFFFFFFFF))
-        at = sum((F.shiftleft((F.bit_count(half.bitwiseXOR(F.lit(v))) + 1).cast("long"), 6 * i) for i, v in enumerate(VANTAGE[:m])), F.lit(j << 62))
+        place = lambda x: sum((F.shiftleft((F.bit_count(x.bitwiseXOR(F.lit(v))) + 1).cast("long"), 6 * i) for i, v in enumerate(VANTAGE[:m])), F.lit(j << 62))
         row = lambda shard, what: F.struct(shard.alias("shard"), F.lit(what).cast("long").alias("what"))
-        own = F.array(row(at, 2 * j))
-        guests = F.transform(F.array(*[F.lit(s).cast("long") for s in steps]), lambda s: row(at + s, 2 * j + 1))
+        own = F.array(row(place(half), 2 * j))
+        across = F.array_distinct(F.transform(F.array(*[F.lit(1 << b).cast("long") for b in range(32)]), lambda bit: place(half.bitwiseXOR(bit))))
+        guests = F.transform(across, lambda s: row(s, 2 * j + 1))
         return F.when(F.bit_count(half) % 2 == 1, F.concat(own, guests)).otherwise(own)
 
     shards = [of_half(0), of_half(1)]
