@@ -10,11 +10,15 @@ towards rate 1.
 
 The rates are never stored between steps. A step changes a document's rate by
 its posterior times one vector for all, so the rate follows from the document's
-posterior and the vectors so far; each step is one aggregate over a narrow
-table, and the driver sees only one sum per domain.
+posterior and the vectors so far; each step is one pass over a narrow table, in
+which a task hands on its sums, and the driver sees only some sums per domain.
 
-The least squares norm is weighted by the inverse (ridged) second moment of the
-posteriors, which gives the unit step the same pace in rare and common domains.
+The gradient is scaled by the inverse second moment of the posteriors of those
+documents whose rate is above 0 (a projected Newton step), so a step moves totals
+by what they are off as far as no rate meets 0, in rare and common domains alike;
+a step that leaves totals further off than before is followed by shorter ones.
+It ends when every total is as close as ``CLOSE`` of its target's share, or when
+a step changes nothing any more.
 
 Defined results: null and empty texts have 0 tokens and don't weigh in, but get
 a posterior and a rate; very long texts are read whole; repeated rows, and rows
@@ -27,7 +31,6 @@ the name of a result (``rate``, ``unmet``, ``p_...``) gives way to it.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,9 +49,9 @@ from docframe.ship import ship
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = (0.90, 0.08, 0.02)
-ROUNDS, PULL, RIDGE, CLOSE = 40, 1e-4, 0.02, 1e-4
+ROUNDS, PULL, RIDGE, CLOSE = 40, 1e-4, 2e-3, 1e-3
 #: A domain's share may be off by so much before its target counts as unmet.
-UNMET = 5e-3
+UNMET = 5e-4
 
 
 def posteriors(docs: DataFrame, toxic: ToxicModel, quality: QualityModel) -> DataFrame:
@@ -95,29 +98,50 @@ class Fit:
         return {"rate": self.rate(), "unmet": F.array(*[F.lit(x) for x in self.unmet]).cast("array<string>")}
 
 
+def rates(p: np.ndarray, steps: list[np.ndarray], pull: float = PULL) -> np.ndarray:
+    """``rate_after`` of rows of posteriors."""
+    r = np.ones(len(p))
+    for u in steps:
+        r = np.maximum(0.0, r * (1 - pull) + pull - p @ u)
+    return r
+
+
+def sums(members: DataFrame, names: list[str], steps: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Tokens of all; expected tokens of each domain under the rates after the steps; second moments of posteriors, by tokens, where the rate is above 0."""
+    k = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 + k + k * k)
+        for b in batches:
+            p = np.stack([b.column(1 + i).to_numpy() for i in range(k)], 1)
+            w, r = b.column(0).to_numpy().astype(float), rates(p, steps)
+            out += np.concatenate([[w.sum()], (w * r) @ p, (p * (w * (r > 0))[:, None]).T.dot(p).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out)], ["i", "x"])
+
+    ship(members.sparkSession)
+    got = np.zeros(1 + k + k * k)
+    for r in members.select(F.coalesce("tokens", F.lit(0)).alias("tokens"), *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names]).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        got[r.i] = r.x
+    return got[0], got[1 : 1 + k], got[1 + k :].reshape(k, k)
+
+
 def fit(members: DataFrame, targets=TARGETS, names: list[str] | None = None, rounds: int = ROUNDS) -> Fit:
     """``members``: tokens, and one posterior column per domain; ``targets`` are shares of all tokens."""
     names = names or [f"p_{d}" for d in DOMAINS]
-    k, want = len(names), np.asarray(targets, float)
-    first = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(a) * F.col(b)) for a in names for b in names]).first()
-    total = first[0] or 0
-    steps: list[np.ndarray] = []
-    if not total:
-        return Fit(names, steps, want, want)
-    second = np.array(first[1:], float).reshape(k, k) / total
-    norm = np.linalg.inv(second + RIDGE * np.eye(k))
-    last = None
+    want, steps = np.asarray(targets, float), []
+    last, pace = None, 1.0
     while True:
-        now = members.withColumn("rate", rate_after(steps, names)).agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col(n)) for n in names]).first()
-        gap = np.array(now, float) / total - want
-        if len(steps) == rounds or np.abs(gap).max() < CLOSE or last is not None and np.abs(gap - last).max() < CLOSE / 10:
-            break
-        steps.append(norm @ gap)
+        total, now, second = sums(members, names, steps)
+        if not total:
+            return Fit(names, [], want, want)
+        gap = now / total - want
+        if last is not None and np.abs(gap).max() > np.abs(last).max():
+            pace = max(pace / 2, 1 / 64)
+        if len(steps) == rounds or (np.abs(gap) <= np.minimum(CLOSE * want, UNMET / 2)).all() or last is not None and np.abs(gap - last).max() < CLOSE * want.max() / 1000:
+            return Fit(names, steps, gap + want, want)
+        norm = np.linalg.inv(second / total + RIDGE * np.eye(len(names)))
+        steps.append(pace * norm @ gap)
         last = gap
-    done = Fit(names, steps, gap + want, want)
-    if done.unmet:
-        warnings.warn(f"targets not met: {dict(zip(names, zip(done.reached.round(4), want, strict=True), strict=True))}", stacklevel=2)
-    return done
 
 
 def fit_rates(members: DataFrame, targets=TARGETS, names: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
