@@ -28,7 +28,8 @@ Pairs and triples are keyed by as many bits as the whole input's size has, and
 
 Defined results: null and empty texts are one end token; rows with a null id
 are scored (learned from if ``learn`` says so); repeated rows count and are
-scored each; a very long text is a shard of its own; no rows give no rows; with
+scored each; a very long text is read whole, in one shard; no rows give no rows;
+other columns are not read, whatever their names; with
 no training text N and V are 0 and every token has probability 1.
 """
 

@@ -1,4 +1,9 @@
-"""Connected components of a link table, distributed."""
+"""Connected components of a link table, distributed.
+
+Defined results: repeated links and links of a node to itself change nothing;
+nodes without a link are not returned; rows with a null end are dropped; no
+links give no rows.
+"""
 
 from __future__ import annotations
 

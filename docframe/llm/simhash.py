@@ -31,7 +31,8 @@ That distance is close to equality: texts of similarity 0.8 differ in some 9 of
 Defined results: texts without a word have fingerprint zero and are linked
 like any other; null texts count as empty; very long texts are read whole;
 repeated rows are kept; a null id takes part in links but can't name a
-component; of several ids the least names it; an empty table gives no rows.
+component; of several ids the least names it; an empty table gives no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

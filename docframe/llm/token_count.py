@@ -17,6 +17,10 @@ Two machines count tokens without producing them.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. The special
 tokens of the file count as one token wherever their strings occur in a text.
+Very long texts are counted whole, in chunks; one unbroken piece of them takes
+states in proportion to its length. Repeated rows are counted each, rows with a
+null id too; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

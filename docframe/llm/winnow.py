@@ -10,7 +10,10 @@ work per word does not depend on their lengths.
 
 Defined results: null and empty texts have an empty fingerprint; two empty
 ones are alike (1); texts of fewer than GRAM words are one gram; texts of at
-most WINDOW grams have one window.
+most WINDOW grams have one window. Very long texts are fingerprinted whole, in
+one row. Repeated rows have a result each, equal ids in the order of their texts;
+rows with a null id come first, and meet in one task; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
