@@ -440,10 +440,13 @@ def confirmed(texts: DataFrame, sets: DataFrame, dealt: DataFrame, meet: Callabl
         going = cut(pairs.select("ra").union(pairs.select("rb")).distinct())
         if not any_hot and not going.limit(1).count():
             return linked
-        of = dealt.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = of.join(going.withColumnRenamed("ra", "root"), "root", "left_semi").select(of.columns)
+        # the nodes of going components first, then their rows: all others stay where they are
+        asked = going.select(F.col("ra").alias("root"))
+        nodes = linked.join(asked, "root", "left_semi").select("node", "root").union(asked.join(linked.select("root"), "root", "left_anti").select(F.col("root").alias("node"), "root"))
+        rows = dealt.join(nodes, "node").select(*dealt.columns, "root")
         if any_hot:
-            rows = rows.join(hot, "shard", "left_anti").select(of.columns).union(of.join(hot, "shard", "left_semi").select(of.columns))
+            of_hot = dealt.join(hot, "shard", "left_semi").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rows = rows.join(hot, "shard", "left_anti").select(*dealt.columns, "root").union(of_hot.select(*dealt.columns, "root"))
         proposed = cut(meet(cut(rows), near))  # which reads its rows more than once
         seen = failed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
