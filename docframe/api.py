@@ -9,7 +9,6 @@ from docframe.functions.documents import base64_source
 from docframe.kernels.errors import Refused
 from docframe.limits import INSPECTED_CELLS
 from docframe.operators import kernels
-from docframe.operators.relational import cell_cap
 
 MODES = ("values", "formulas", "both")
 
@@ -18,7 +17,7 @@ def inspect_spreadsheets(df: DataFrame, mode: str = "both", hidden: bool = False
     """(doc_id, content) -> addressed cells, at most ``cap`` a workbook over all its sheets."""
     if mode not in MODES:
         raise Refused("INVALID_ARGUMENT", f"mode must be one of {', '.join(MODES)}", "mode")
-    cells = cell_cap(kernels.workbook_cells(df, hidden).where(F.col("error").isNull()), cap)
+    cells = kernels.workbook_cells(df, hidden, cap).where(F.col("error").isNull())
     if mode == "values":
         return cells.drop("formula")
     return cells.where(F.col("formula").isNotNull()).drop("value") if mode == "formulas" else cells

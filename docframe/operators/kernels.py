@@ -97,20 +97,29 @@ def _blank(x: str | None) -> str:
     return (x or "").strip()
 
 
-def workbook_cells(df: DataFrame, hidden: bool = False) -> DataFrame:
-    """(doc_id, content) -> one row per cell, in workbook order; refused workbooks give one row with an error."""
+def workbook_cells(df: DataFrame, hidden: bool = False, cap: int | None = None) -> DataFrame:
+    """(doc_id, content) -> one row per cell, in workbook order; refused workbooks give one row with an error.
+
+    With a cap only so many of a workbook's first cells, over all its sheets, and ``n`` and ``complete`` beside each.
+    """
     def one(doc_id, content):
         got = _safely(lambda: {"sheets": sheets.read_workbook(bytes(content), hidden)[0]})
         if got["error"]:
             yield {"doc_id": doc_id, "error": got["error"]}
-        for k, s in enumerate(got.get("sheets", [])):
+        found = got.get("sheets") or []
+        complete = cap is None or sum(len(row) for s in found for row in s.rows) <= cap
+        total = 0
+        for k, s in enumerate(found):
             n = 0
             for r, row in enumerate(s.rows):
                 for c in row:
-                    n += 1
-                    yield {"doc_id": doc_id, "sheet_idx": k, "sheet_name": s.name, "sheet_state": s.state, "row_ord": r, "cell_ord": n, "address": c.address, "row_no": c.row, "col_no": c.column, "value": c.value, "formula": c.formula, "cell_error": c.error}
+                    if cap is not None and total == cap:
+                        return
+                    n, total = n + 1, total + 1
+                    yield {"n": total, "complete": complete, "doc_id": doc_id, "sheet_idx": k, "sheet_name": s.name, "sheet_state": s.state, "row_ord": r, "cell_ord": n, "address": c.address, "row_no": c.row, "col_no": c.column, "value": c.value, "formula": c.formula, "cell_error": c.error}
 
-    return _rows(df, ["doc_id", "content"], one, f"doc_id long, sheet_idx int, sheet_name string, sheet_state string, row_ord int, cell_ord long, address string, row_no int, col_no int, value string, formula string, cell_error string, error {_ERROR}")
+    out = _rows(df, ["doc_id", "content"], one, f"n long, complete boolean, doc_id long, sheet_idx int, sheet_name string, sheet_state string, row_ord int, cell_ord long, address string, row_no int, col_no int, value string, formula string, cell_error string, error {_ERROR}")
+    return out.drop("n", "complete") if cap is None else out.select(*out.columns[2:], "n", "complete")
 
 
 def _cell_value(c):

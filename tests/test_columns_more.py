@@ -68,3 +68,14 @@ def test_bold_faces(spark):
     for i, t in enumerate(texts):
         want = any(b["kind"] in ("heading", "table") or b["kind"] in ("paragraph", "quote") and any(x["bold"] for x in b["runs"]) or b["kind"] == "list" and any(x["bold"] for item in b["items"] for x in item["runs"]) for b in markdown.parse(t))
         assert got[i] == want, t
+
+
+def test_cells_are_capped_as_by_windows(spark):
+    cell = lambda s: {"kind": "string", "s": s, "n": None, "b": None, "formula": None}
+    books = [(i, [{"name": f"S{k}", "rows": [[cell(f"{i}{k}{r}{c}") for c in range(3)] for r in range(i % 4)]} for k in range(3)]) for i in range(9)]
+    df = spark.createDataFrame(books, "doc_id long, sheets array<struct<name:string,rows:array<array<struct<kind:string,s:string,n:double,b:boolean,formula:string>>>>>")
+    made = kernels.render_spreadsheets(df)
+    for cap in (1, 4, 9, 18, 100):
+        columns = ["doc_id", "sheet_idx", "address", "n", "complete"]
+        want = rel.cell_cap(kernels.workbook_cells(made).where("error is null"), cap).select(columns)
+        assert sorted(map(tuple, kernels.workbook_cells(made, cap=cap).where("error is null").select(columns).collect())) == sorted(map(tuple, want.collect()))
