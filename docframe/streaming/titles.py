@@ -83,7 +83,10 @@ class FirstSeen(StatefulProcessor):
 
 
 def first_seen(arrivals: DataFrame, key: str, title: str, at: str, delay: timedelta, forget: timedelta | None = None) -> DataFrame:
-    """(key, title, first_seen) of a stream with a key (string), titles and event times, which may be late by ``delay``."""
+    """(key, title, first_seen) of a stream with a key (string), titles and event times, which may be late by ``delay``.
+
+    Keyed state needs the RocksDB state store, which is set for the session.
+    """
     spark: SparkSession = ship(arrivals.sparkSession)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     rows = arrivals.select(F.col(key).cast("string").alias("key"), F.col(title).cast("string").alias("title"), F.col(at).cast("timestamp").alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
