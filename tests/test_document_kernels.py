@@ -83,6 +83,12 @@ def test_workbook_budget_keeps_whole_rows():
     assert got["counts"]["totalRows"] == 50 and 0 < got["counts"]["rows"] < 50 and not got["complete"] and got["text"].endswith("x" * 20)
 
 
+def test_counts_in_notes_are_plain_numbers():
+    data = xlsx.render([{"name": "S", "rows": [[k] for k in range(1200)]}])
+    assert reading.read(data, "xlsx", 10_000_000)["note"] == "all 1 visible sheet(s), 1200 row(s)"
+    assert reading.read(data, "xlsx", 4000)["note"].endswith(" of 1200 row(s) across 1 visible sheet(s)")
+
+
 def test_xlsx_writer():
     rows = [["Item", "Value"], ["매출", 40], ["비용", 10.5], ["이익", {"formula": "=B2-B3", "cached": 29.5}], ["=literal", True], [None, 1e21]]
     got, _ = sheets.read_workbook(xlsx.render([{"name": "A & B", "rows": rows}]))
