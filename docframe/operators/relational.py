@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.checkpoints import cut
 from docframe.functions.documents import attribute, tidy_line, units
 from docframe.limits import ASSET_BYTES, ASSETS, ZIP_ENTRIES, ZIP_ENTRY, ZIP_RATIO, ZIP_TOTAL
 from docframe.operators.paging import paginate
@@ -14,6 +15,25 @@ def _upto(key: list[str], *order: str) -> Window:
     return Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def tiles(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """Adds tile: which of ``n`` equal parts (0 first; the first ones a row longer) of all rows in order a row lies in.
+
+    Ranges of the order are sorted apart; only their numbers of rows are collected.
+    """
+    placed = cut(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).count().collect())
+    total, before = 0, []
+    for p, count in sizes:
+        before.append((int(p), total))
+        total += count
+    begins = F.broadcast(rows.sparkSession.createDataFrame(before, "_part long, _begin long"))
+    most, more = total // n, total % n
+    k, edge = F.col("_begin") + at, more * (most + 1)
+    tile = F.when(k < edge, F.floor(k / (most + 1))).otherwise(more + F.floor((k - edge) / max(1, most))).cast("int")
+    return placed.withColumn("_part", part).join(begins, "_part").withColumn("tile", tile).drop("_id", "_part", "_begin")
+
+
 def normalize_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, line): tidy, no two empty lines in a row, none at the ends."""
     t = lines.select(key, "pos", tidy_line(F.col("line")).alias("line"))

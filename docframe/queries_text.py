@@ -269,14 +269,11 @@ def stream_first_seen(spark, sf_dir):
     """The events table as arrivals in three parts, each after a new start of the stream; some rows come late."""
     from datetime import timedelta
 
-    from pyspark.sql import Window
-
     from docframe.streaming.titles import first_seen
 
     base = _folder(spark, "first_seen")
     e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.concat(F.col("event_type"), F.lit("/"), F.col("event_id") % 20).alias("title"), F.col("ts").cast("timestamp").alias("ts"))
-    third = F.ntile(3).over(Window.orderBy("ts", "event_id")) - 1
-    e = e.withColumn("arrival", F.when(F.col("event_id") % 40 == 0, 2).otherwise(third))
+    e = rel.tiles(e, 3, "ts", "event_id").withColumn("arrival", F.when(F.col("event_id") % 40 == 0, 2).otherwise(F.col("tile"))).drop("tile")
     for k in range(3):
         e.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{base}/in")
         arrivals = spark.readStream.schema(e.drop("arrival").schema).parquet(f"{base}/in")

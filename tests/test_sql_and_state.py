@@ -70,3 +70,77 @@ def test_first_sightings(spark, tmp_path):
     assert run(timedelta(minutes=20)) == [[("a", "x", 10)], [("a", "y", 35), ("b", "w", 41), ("b", "x", 30)], [("c", "q", 60)], [("a", "x", 75), ("b", "w", 80)]]
     assert run(timedelta(minutes=39)) == [[("a", "x", 10)], [("a", "y", 35), ("b", "w", 41), ("b", "x", 30)], [("c", "q", 60)], [("a", "x", 75), ("b", "w", 80)]]
     assert run(timedelta(minutes=40))[3] == [("a", "x", 75)]
+
+
+def test_tiles_are_those_of_a_window(spark):
+    from pyspark.sql import Window
+
+    for n, of in ((3, 100), (7, 5), (3, 0)):
+        df = spark.range(of).select((F.col("id") * 37 % 101).alias("a"), "id").repartition(3)
+        want = df.withColumn("tile", F.ntile(n).over(Window.orderBy("a", "id")) - 1)
+        got = rel.tiles(df, n, "a", "id")
+        assert rows(got, "a", "id", "tile") == rows(want, "a", "id", "tile")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+
+
+class _Handle:
+    """What a processor asks of its state, counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.add(ms)
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_a_batch_asks_for_a_keys_state_a_few_times_only(spark):
+    from pyspark.sql import Row
+
+    from docframe.streaming.titles import FirstSeen
+
+    p, h = FirstSeen(None), _Handle()
+    p.init(h)
+    p.handleInputRows(("a",), iter([Row(title=str(k), us=5_000_000 - k * 1000) for k in range(500)]), _Mark(0))
+    assert len(h.timers) == 1 and h.calls <= 4
+    (first,) = h.timers
+    told = list(p.handleExpiredTimer(("a",), _Mark(4_900), None))
+    assert first == 4_502 and {r.title for r in told} == {str(k) for k in range(102, 500)}
+    assert h.calls <= 8 and max(h.timers) == 4_900
+    assert len(list(p.handleExpiredTimer(("a",), _Mark(10_000), None))) == 102
+
+
+def test_titles_of_a_key_in_slots(spark, tmp_path):
+    spark.createDataFrame([("a", f"t{k}", at(k)) for k in range(60)], "key string, title string, ts timestamp").write.parquet(f"{tmp_path}/in")
+    arrivals = spark.readStream.schema("key string, title string, ts timestamp").parquet(f"{tmp_path}/in")
+    got = first_seen(arrivals, "key", "title", "ts", timedelta(minutes=10), slots=4)
+    got.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    assert {r.title for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {f"t{k}" for k in range(49)}
