@@ -89,6 +89,20 @@ def test_counts_in_notes_are_plain_numbers():
     assert reading.read(data, "xlsx", 4000)["note"].endswith(" of 1200 row(s) across 1 visible sheet(s)")
 
 
+def test_packages_are_as_zipfile_writes_them(monkeypatch):
+    from docframe.kernels import package
+
+    parts = {"mimetype": "a/b", "x/한글.xml": "text " * 3000, "empty": b"", "same.xml": "<a/>", "y/same.xml": "<a/>"}
+    want = package._build_large({k: v.encode() if isinstance(v, str) else v for k, v in parts.items()}, ("mimetype",))
+    assert build(parts, ("mimetype",)) == want
+    # parts that every workbook has are packed once
+    packed = []
+    monkeypatch.setattr(package, "_packed_once", package.lru_cache(64)(lambda b: packed.append(b) or package._packed(b)))
+    for k in range(20):
+        xlsx.render([{"name": "S", "rows": [[k]]}])
+    assert len(packed) <= 8 + 19
+
+
 def test_xlsx_writer():
     rows = [["Item", "Value"], ["매출", 40], ["비용", 10.5], ["이익", {"formula": "=B2-B3", "cached": 29.5}], ["=literal", True], [None, 1e21]]
     got, _ = sheets.read_workbook(xlsx.render([{"name": "A & B", "rows": rows}]))
