@@ -18,6 +18,7 @@ order; no pieces give no pages; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from docframe.operators.chain import entries
 from docframe.ship import ship
 
 BLOCK = 4096
+#: Rows are handed on in batches of about so many.
+OUT_ROWS = 16_384
 #: A table's row takes as much as so many lines.
 ROW_LINES = 1.5
 
@@ -119,6 +122,26 @@ def _arrays(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _placed_rows(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    i, pos, part, at, first, n = zip(*found, strict=True)
+    of_table = [x if x >= 0 else None for x in n]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(pos, pa.int64()), pa.array(part, pa.int32()), pa.array(at, pa.int32()), pa.array([f if x is not None else None for f, x in zip(first, of_table, strict=True)], pa.int32()), pa.array(of_table, pa.int32())], ["key", "pos", "part", "page", "first_row", "n_rows"])
+
+
+def placed(rule: Pages, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, pos, part, page, first_row, n_rows) of blocks (key, pos, cost, opens, rows, state, count, own), some ``OUT_ROWS`` at a time: a batch may hold millions of pieces."""
+    for b in batches:
+        found: list[tuple] = []
+        state, page, own = (b.column(k).to_pylist() for k in (5, 6, 7))
+        for i, (pos, c, o, r) in enumerate(zip(*(_arrays(b, k) for k in (1, 2, 3, 4)), strict=True)):
+            found += [(i, int(pos[k]), part, at, first, n) for k, part, at, first, n in rule.place(rule.states[state[i]], page[i], c, o, r, own[i])]
+            if len(found) >= OUT_ROWS:
+                yield _placed_rows(b, found)
+                found = []
+        if found:
+            yield _placed_rows(b, found)
+
+
 def paginate(pieces: DataFrame, room: int, key: str = "doc_id", cost: str = "cost", opens: str | None = None, rows: str | None = None, block: int = BLOCK) -> DataFrame:
     """(key, pos, part, page, first_row, n_rows) of (key, pos, cost, opens, rows): where each piece, or part of a table, stands.
 
@@ -149,16 +172,5 @@ def paginate(pieces: DataFrame, room: int, key: str = "doc_id", cost: str = "cos
     seen = entries(mapped, many.select("key", F.lit(0).alias("state")), "key")
     entered = long.join(seen, ["key", "block"]).unionByName(p.join(many, "key", "left_anti").withColumns({"state": F.lit(0), "count": F.lit(0).cast("long")}))
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            state, page, own = (b.column(k).to_pylist() for k in (5, 6, 7))
-            for i, (pos, c, o, r) in enumerate(zip(_arrays(b, 1), _arrays(b, 2), _arrays(b, 3), _arrays(b, 4), strict=True)):
-                out += [(i, int(pos[k]), part, at, first, n) for k, part, at, first, n in rule.place(rule.states[state[i]], page[i], c, o, r, own[i])]
-            if out:
-                i, pos, part, at, first, n = zip(*out, strict=True)
-                of_table = [x if x >= 0 else None for x in n]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(pos, pa.int64()), pa.array(part, pa.int32()), pa.array(at, pa.int32()), pa.array([f if x is not None else None for f, x in zip(first, of_table, strict=True)], pa.int32()), pa.array(of_table, pa.int32())], ["key", "pos", "part", "page", "first_row", "n_rows"])
-
-    got = entered.select("key", "pos", "cost", "opens", "rows", "state", "count", "own").mapInArrow(placed, f"key {kind}, pos bigint, part int, page int, first_row int, n_rows int")
+    got = entered.select("key", "pos", "cost", "opens", "rows", "state", "count", "own").mapInArrow(partial(placed, rule), f"key {kind}, pos bigint, part int, page int, first_row int, n_rows int")
     return got.withColumnRenamed("key", key)

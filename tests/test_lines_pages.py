@@ -110,3 +110,17 @@ def test_a_deck_of_a_million_pieces(spark):
     want = packed([{"pos": i, "cost": i * 7 % 5 + 1, "opens": i % 11 == 0, "rows": None} for i in range(5000)], 14)
     first = [p for _, _, p, _, _ in want]
     assert all(first.count(k) == got[k].n for k in range(500))
+
+
+def test_pages_are_handed_on_in_small_batches():
+    """What a task holds does not grow with the pieces of an Arrow batch."""
+    import pyarrow as pa
+
+    keys, n = 200, 600
+    lists = lambda x, kind: pa.array([x] * keys, pa.list_(kind))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(keys)), lists(list(range(n)), pa.int64()), lists([3] * n, pa.int32()), lists([False] * n, pa.bool_()), lists([-1] * n, pa.int32()), pa.array([0] * keys, pa.int32()), pa.array([0] * keys, pa.int64()), pa.array([n] * keys, pa.int32())], ["key", "pos", "cost", "opens", "rows", "state", "count", "own"])
+    got = list(paging.placed(paging.Pages(14), iter([batch])))
+    assert max(b.num_rows for b in got) < paging.OUT_ROWS + n
+    t = pa.Table.from_batches(got)
+    assert t.num_rows == keys * n and sorted(set(zip(t.column("key").to_pylist(), t.column("pos").to_pylist(), strict=True))) == [(k, p) for k in range(keys) for p in range(n)]
+    assert all(at == p // 4 for p, at in zip(t.column("pos").to_pylist(), t.column("page").to_pylist(), strict=True))
