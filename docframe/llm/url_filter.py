@@ -10,8 +10,10 @@ rejected ones usually score, as what the models know little of scores around 0.
 
 Labels come from the rules alone: rejected are the URLs that a block rule fits,
 accepted those that an allow rule fits; all others are not learned from, only
-scored. They are a bounded sample (``SAMPLE`` distinct URLs of each kind, least
-hash first, of equal hash by the URL). The models see a URL without its scheme,
+scored. All distinct URLs of both kinds are counted, over the cluster, but for the
+fifth that is held out (by hash), and all of that decides on the cut, by numbers of
+scores in steps of ``STEP``. The driver gets the models' distinct grams, which grow
+ever less than the URLs, and at most a number a step. The models see a URL without its scheme,
 without the host that a rule names, and without the path that one names
 (``look``), of every URL alike; else they would learn the rules again. So what
 they carry on is what blocked URLs look like beside their rule.
@@ -35,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docframe.checkpoints import cut
 from docframe.llm.crf import best_cut
 from docframe.llm.textkit import LOWER, Texts, slices
 from docframe.ship import ship
@@ -42,7 +45,8 @@ from docframe.ship import ship
 ORDER = 5
 #: Bytes that stand before and after a text.
 TEXT_START, TEXT_END = 32, 10
-SAMPLE = 10_000
+#: Held-out scores are told apart by so much.
+STEP = 2.0**-16
 #: Share of held-out accepted URLs that the cut may reject; share of the usual score of held-out rejected ones that a URL must reach to be rejected.
 LOSS, EVIDENCE = 0.05, 0.25
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -158,11 +162,62 @@ class UrlModel:
         return np.where(size > 0, x, max(0.0, self.cut))
 
 
-def train(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> UrlModel:
+def cut_of(x: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> float:
+    """The cut by held-out scores (ascending, each once) and how many URLs of either kind have them; as ``UrlModel.fit``."""
+    if not len(x):
+        return 0.0
+    wrong = np.concatenate([[0], np.cumsum(accepted)]) + np.concatenate([np.cumsum(rejected[::-1])[::-1], [0]])
+    at = np.flatnonzero(wrong == wrong.min())
+    edge = np.concatenate([[x[0] - 1], x, [x[-1] + 1]])
+    i = at[int(np.argmax(edge[at + 1] - edge[at]))]
+    cut = min(0.0, float((edge[i] + edge[i + 1]) / 2))
+    ranked = lambda counts, k: float(x[np.searchsorted(np.cumsum(counts), k, side="right")])
+    if n := int(rejected.sum()):
+        cut = min(cut, (ranked(rejected, (n - 1) // 2) + ranked(rejected, n // 2)) / 2 * EVIDENCE)
+    if n := int(accepted.sum()):
+        cut = min(cut, ranked(accepted, int(LOSS * n)))
+    return cut
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(accepted, order, gram, n) of (url, accepted)."""
+    for b in batches:
+        kind = b.column(1).to_numpy(zero_copy_only=False)
+        for part, t in slices(b.column(0), 1 << 20):
+            _, doc, _, grams = MarkovModel.keys(t)
+            for yes in (False, True):
+                for k, g in enumerate(grams):
+                    key, n = np.unique(g[kind[part][doc] == yes], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), yes)), pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["accepted", "k", "gram", "n"])
+
+
+def train(pages: DataFrame, rules=RULES) -> UrlModel:
     said = rule_of(*host_and_path(F.col("url")), rules)[1]
-    urls = pages.where(F.length("url") > 0).select(look(F.col("url"), rules).alias("url"), said.alias("kind")).where(F.length("url") > 0)
-    got = {k: [r[0] for r in urls.where(F.col("kind") == k).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(sample).collect()] for k in ("allow", "block")}
-    return UrlModel().fit(got["allow"], got["block"])
+    urls = pages.where(F.length("url") > 0).select(look(F.col("url"), rules).alias("url"), (said == "allow").alias("accepted")).where((F.length("url") > 0) & F.col("accepted").isNotNull())
+    urls = cut(urls.distinct().withColumn("held", F.pmod(F.xxhash64("url", F.lit(4)), F.lit(5)) == 4))
+    ship(pages.sparkSession)
+    got = urls.where("not held").select("url", "accepted").mapInArrow(_grams, "accepted boolean, k int, gram long, n long").groupBy("accepted", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    accepted, k, gram, n = (got.column(c).to_numpy() for c in ("accepted", "k", "gram", "n"))
+    model, made = UrlModel(), []
+    for yes in (True, False):
+        made.append(MarkovModel())
+        for order in range(ORDER + 1):
+            own = np.flatnonzero((accepted == yes) & (k == order))
+            own = own[np.argsort(gram[own].view(np.uint64))]
+            made[-1].add_order(gram[own].view(np.uint64), n[own])
+    if not all(len(m.grams[0][0]) for m in made):
+        return model
+    model.accepted, model.rejected = made
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, t in slices(b.column(0), 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(1)[part], pa.array(np.floor(shared.value.score(t) / STEP).astype(np.int64))], ["accepted", "step"])
+
+    held = urls.where("held").select("url", "accepted").mapInArrow(scores, "accepted boolean, step long").groupBy("step").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no")).toArrow().sort_by("step")
+    model.cut = cut_of(*(held.column(c).to_numpy() * f for c, f in (("step", STEP), ("yes", 1), ("no", 1))))
+    return model
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:

@@ -132,6 +132,24 @@ def test_url_models_carry_rules_on_to_unseen_hosts(spark):
         assert abs(m.score(url_filter.Texts.of([u]))[0] - (ll(good, u) - ll(bad, u)) / (len(u) + 1)) < 1e-9
 
 
+def test_url_models_learn_from_all_urls(spark):
+    rng = np.random.default_rng(8)
+    urls = [f"https://a{i}.site.com/{'xyz'[i % 3]}/{rng.integers(10**5)}" for i in range(13_000)] + [f"http://b{i}.ads.biz/q/{rng.integers(10**5)}" for i in range(300)]
+    rules = (("block", "ads.biz", "/"), ("allow", "site.com", "/"))
+    pages = spark.createDataFrame(list(enumerate(urls + urls[:50])), "page_id long, url string")
+    model = url_filter.train(pages, rules)
+    seen = pages.select(url_filter.look(F.col("url"), rules).alias("u"), F.col("url").contains("site.com").alias("yes")).distinct().where("pmod(xxhash64(u, 4), 5) <> 4").collect()
+    for m, yes in ((model.accepted, True), (model.rejected, False)):
+        want = url_filter.MarkovModel().fit([r.u for r in seen if r.yes == yes])
+        assert all((a == b).all() for x, y in zip(m.grams + m.contexts, want.grams + want.contexts, strict=True) for a, b in zip(x, y, strict=True))
+    # the cut by numbers of scores is that by scores
+    x, y = np.sort(rng.integers(-40, 40, 200)) / 8.0, rng.integers(0, 2, 200)
+    at = np.unique(x)
+    count = lambda k: np.array([((x == v) & (y == k)).sum() for v in at])
+    want = min(0.0, url_filter.best_cut(x, y), float(np.median(x[y == 0])) * url_filter.EVIDENCE, float(x[y == 1][int(url_filter.LOSS * y.sum())]))
+    assert url_filter.cut_of(at, count(1), count(0)) == want
+
+
 def test_a_rule_left_out_is_carried_by_the_others(spark):
     """Pages of a block rule that is left out are mostly blocked for their looks, plain hosts that no rule knows are allowed."""
     rng = np.random.default_rng(4)
