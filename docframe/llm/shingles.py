@@ -223,8 +223,8 @@ def set_pairs(key: np.ndarray, x: np.ndarray, most: int, k: int) -> tuple[np.nda
     return np.concatenate([np.where(swap, b, a), more]), np.concatenate([np.where(swap, a, b), more])
 
 
-def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int | None, links_of: Callable, within: bool = False, wide: DataFrame | None = None) -> DataFrame:
-    """(a, b): links between rows (node, shard, words of the fingerprint) of one shard, spanning all pairs at most ``most`` bits apart.
+def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int | None, links_of: Callable, within: bool = False, wide: DataFrame | None = None, where: bool = False) -> DataFrame:
+    """(a, b; ``where``: and their shard): links between rows (node, shard, words of the fingerprint) of one shard, spanning all pairs at most ``most`` bits apart.
 
     A hot shard is dealt into groups of some ``shard_rows``. Every two of them
     meet in a task (``within``: each meets itself only). Where rows have a
@@ -270,7 +270,8 @@ def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int
             x = [t.column(k).to_numpy().view(np.uint64) for k in range(4, t.num_columns)]
             a, b = links_of(np.cumsum(new), x[0] if len(x) == 1 else np.stack(x, 1), most)
             node = t.column(3).to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+            columns = [node[a], node[b], *([t.column(1).to_numpy()[a]] if where else [])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "shard"][: len(columns)])
 
         for batch in batches:
             if not batch.num_rows:
@@ -288,7 +289,7 @@ def meet_in_shards(rows: DataFrame, words: list[str], most: int, shard_rows: int
         if held:
             yield links(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long" + ", shard long" * where)
 
 
 def by_text(of: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
@@ -419,42 +420,51 @@ def compared(texts: DataFrame, sets: DataFrame, proposed: DataFrame, least: floa
     return two.mapInArrow(check, "a long, b long, ok boolean").union(ruled.where("not may").select("a", "b", F.lit(False)))
 
 
-def confirmed(texts: DataFrame, sets: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int], DataFrame], near: int = NEAREST) -> DataFrame:
+def rooted(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose ends lie in different components, with these (ra, rb)."""
+    for x in "ab":
+        pairs = pairs.join(linked.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    return pairs.where("ra <> rb")
+
+
+def confirmed(texts: DataFrame, sets: DataFrame, dealt: DataFrame, meet: Callable[[DataFrame, int], DataFrame], near: int = NEAREST, first: DataFrame | None = None) -> DataFrame:
     """(node, root): components of the pairs of near rows (node, shard, ...) of one shard whose texts are similar.
 
-    ``meet(rows, 0)`` proposes a forest that spans the near pairs of each shard
-    (of each group of a hot one). A pair of it that is not similar may stand for
-    others that are, so rows go on if such a pair leaves their component, and all
-    rows of a hot shard: ``meet(rows, k)``, rows having their component in
-    ``root``, proposes for each row its k nearest of other components. k grows
-    until no near pair was left out. So in the end each near pair was compared, or
-    has both ends in one component.
+    Pairs of ``first`` (a, b) are compared before all others; what they join is not
+    compared again. ``meet(rows, 0)`` proposes a forest that spans the near pairs of each
+    shard (of each group of a hot one). A pair of it that is not similar may stand for
+    others of its shard that are, so a shard's rows go on if such a pair of that shard
+    leaves their component, and all rows of a hot shard: ``meet(rows, k)``, rows having
+    their component in ``root``, proposes for each row its k nearest of other components.
+    k grows until no near pair was left out. So in the end each near pair was compared,
+    or has both ends in one component.
     """
-    done = cut(compared(texts, sets, meet(dealt, 0)))
-    linked, failed = cut(components(done.where("ok"))), done.where("not ok")
+    none = dealt.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    linked = cut(components(cut(compared(texts, sets, none if first is None else first)).where("ok")))
+    forest = cut(meet(dealt, 0))
+    done = cut(compared(texts, sets, rooted(forest, linked).select("a", "b")))
+    linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(done.where("ok").select("a", "b"))))
+    failed = done.where("not ok").select("a", "b")
     hot = cut(dealt.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard"))
     any_hot = hot.limit(1).count() > 0
     while True:
-        pairs = failed.join(linked.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(linked.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        pairs = pairs.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-        going = cut(pairs.select("ra").union(pairs.select("rb")).distinct())
+        pairs = rooted(forest, linked)
+        going = cut(pairs.select("shard", F.col("ra").alias("root")).union(pairs.select("shard", F.col("rb").alias("root"))).distinct())
         if not any_hot and not going.limit(1).count():
             return linked
-        # the nodes of going components first, then their rows: all others stay where they are
-        asked = going.select(F.col("ra").alias("root"))
-        nodes = linked.join(asked, "root", "left_semi").select("node", "root").union(asked.join(linked.select("root"), "root", "left_anti").select(F.col("root").alias("node"), "root"))
-        rows = dealt.join(nodes, "node").select(*dealt.columns, "root")
+        # rows of the shards in doubt only, and of these the components that a failed pair leaves
+        of = lambda shards: dealt.join(shards, "shard", "left_semi").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*dealt.columns, "root")
+        rows = of(going.select("shard").distinct()).join(going, ["shard", "root"], "left_semi").select(*dealt.columns, "root")
         if any_hot:
-            of_hot = dealt.join(hot, "shard", "left_semi").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            rows = rows.join(hot, "shard", "left_anti").select(*dealt.columns, "root").union(of_hot.select(*dealt.columns, "root"))
+            rows = rows.join(hot, "shard", "left_anti").union(of(hot)).select(*dealt.columns, "root")
         proposed = cut(meet(cut(rows), near))  # which reads its rows more than once
         seen = failed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
+        fresh = proposed.where("a <> b").join(seen, (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti").select("a", "b")
         done = cut(compared(texts, sets, fresh))
         linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(done.where("ok").select("a", "b"))))
         if not proposed.where("a = b").limit(1).count():
             return linked
-        failed, near = failed.union(done.where("not ok")), near * 16
+        failed, near = failed.union(done.where("not ok").select("a", "b")), near * 16
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -501,8 +511,11 @@ def row_key() -> Column:
     return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def fates(docs: DataFrame) -> DataFrame:
-    """(key, stays, n): for every row key whether its row is the one of its group that stays, and how many rows have it."""
+def fates(docs: DataFrame, first: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, stays, n): for every row key whether its row is the one of its group that stays, and how many rows have it.
+
+    ``first(texts, nodes)`` may propose pairs (a, b) of nodes, which are keys of ``texts`` (key, text).
+    """
     spark = ship(docs.sparkSession)
     names = [f"c{k}" for k in range(COUNT_LONGS)]
     rows = docs.where(F.col("doc_id").isNotNull()).select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -534,21 +547,22 @@ def fates(docs: DataFrame) -> DataFrame:
     dealt = cut(firsts.join(shards.select("shard"), "shard", "left_semi"))
 
     def meet(rows: DataFrame, k: int) -> DataFrame:
-        return meet_in_shards(rows, [*names, "n", "pos", "prev", *(["root"] if k else [])], 64 * 2 * COUNT_LONGS, SHARD_ROWS, partial(set_pairs, k=k), not k, sets.where("n > 0").select("node", "n", *names))
+        return meet_in_shards(rows, [*names, "n", "pos", "prev", *(["root"] if k else [])], 64 * 2 * COUNT_LONGS, SHARD_ROWS, partial(set_pairs, k=k), not k, sets.where("n > 0").select("node", "n", *names), True)
 
-    linked = confirmed(rows.select("key", "text"), sets, dealt, meet)
+    texts = rows.select("key", "text")
+    linked = confirmed(texts, sets, dealt, meet, first=first(texts, sets.select("node")) if first else None)
     roots = sets.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("whole", "n", F.coalesce("root", "node").alias("root"))
     members = cut(rows.mapInArrow(prints, longs).join(roots, ["whole", "n"]).select("key", "doc_id", "root"))
     best = members.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"))
     return members.join(best, "root").groupBy("key").agg(F.max(F.col("key") == F.col("best.key")).alias("stays"), F.count("*").alias("n"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of similar texts; see the module for which. Columns as they are."""
+def keep_one(docs: DataFrame, first: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row of each group of similar texts; see the module for which, and ``fates`` for ``first``. Columns as they are."""
     key = "row_key"
     while key in docs.columns:
         key += "_"
-    fate = cut(fates(docs))
+    fate = cut(fates(docs, first))
     bits = sieve(fate.where("not stays or n > 1"), "key")
     rows = docs.withColumn(key, row_key())
     doubtful = sieved(rows, key, bits).join(fate.where("not stays").select(F.col("key").alias(key)), key, "left_anti").dropDuplicates([key])

@@ -25,8 +25,10 @@ of its groups meet in a task of their own, so no task holds more than two
 groups. Shards give spanning links (each fingerprint to the least one of its
 local component), never all pairs.
 
-That distance is close to equality: texts of similarity 0.8 differ in some 9 of
-64 bits. ``keep_one`` therefore compares five-word shingle sets (``shingles``).
+``keep_one`` takes such links between texts, and keeps those that an exact check
+of the five-word shingle sets finds similar. That distance is close to equality:
+texts of similarity 0.8 differ in some 9 of 64 bits. So sets that the fingerprints
+have not joined meet once more by their shingles (``shingles``), and no link is lost.
 
 Defined results: texts without a word have fingerprint zero and are linked
 like any other; null texts count as empty; very long texts are read whole;
@@ -46,8 +48,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.checkpoints import cut
+from docframe.llm import shingles
 from docframe.llm.components import Forest, components
-from docframe.llm.shingles import Pairs, apart_of, keep_one, meet_in_shards
+from docframe.llm.shingles import Pairs, apart_of, meet_in_shards
 from docframe.ship import ship
 
 __all__ = ["fingerprint_documents", "keep_one", "near_duplicates", "near_links"]
@@ -196,3 +199,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     name = root.groupBy("root").agg(F.min("least").alias("component_id"))
     of = root.join(name, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_pairs(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): of the ``nodes`` (node), which are keys of ``texts`` (key, text), pairs that span all whose fingerprints are at most 3 bits apart."""
+    fps = cut(fingerprint_documents(texts, doc_id="key").join(nodes.select(F.col("node").alias("doc_id")), "doc_id"))
+    heads = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("head")))
+    of = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"of_{x}"))
+    same = fps.join(heads, "fp").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    across = cut(near_links(heads.select("fp"))).join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return same.union(across)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of similar texts, near fingerprints first; see ``shingles`` for which. Columns as they are."""
+    return shingles.keep_one(docs, near_pairs)

@@ -599,3 +599,44 @@ def test_near_duplicates_of_a_whole_table_by_brute_force(spark):
     least = {r: min(rows[i].doc_id for i in np.flatnonzero(root == r)) for r in set(root.tolist())}
     want = {r.doc_id: (f"{int(f) & (1 << 64) - 1:016x}", least[k]) for r, f, k in zip(rows, fps, root.tolist(), strict=True)}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()} == want
+
+
+def test_keep_one_links_near_fingerprints_first(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    texts = []
+    for _ in range(30):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:200], "x", *words[201:]])]
+    fps = simhash.fingerprints(texts).view(np.uint64)
+    asked = []
+    real = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda distinct, *a: asked.append(distinct.count()) or real(distinct, *a))
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    forest = simhash.Forest(len(texts))
+    for r in simhash.near_pairs(rows, rows.select(F.col("key").alias("node"))).collect():
+        forest.link(np.array([r.a]), np.array([r.b]))
+    assert (forest.root == _brute_roots(fps)).all() and (forest.root != np.arange(len(texts))).any()
+    kept = {r.doc_id for r in simhash.keep_one(rows.withColumnRenamed("key", "doc_id")).collect()}
+    assert kept == set(range(0, 90, 3)) and len(asked) == 2
+
+
+def test_only_shards_in_doubt_are_searched_again(spark, monkeypatch):
+    from docframe.llm import shingles
+
+    texts, again, real = [], [], shingles.meet_in_shards
+    for g in range(40):
+        words = [f"g{g}w{k}" for k in range(200)]
+        near = list(words)  # 176 of 221 shingles are shared: just below 0.8
+        for k in (20, 60, 100, 140):
+            near[k] = f"g{g}x{k}"
+        texts += [" ".join(words), " ".join([*near, *[f"g{g}e{k}" for k in range(5)]])]
+        texts += [" ".join([*words[a : a + 20], *[f"g{g}p{a}q{k}" for k in range(150)]]) for a in range(0, 200, 20)]  # passages of it
+
+    def meet(rows, *rest):
+        if "root" in rows.columns:
+            again.append(rows.count())
+        return real(rows, *rest)
+
+    monkeypatch.setattr(shingles, "meet_in_shards", meet)
+    kept = shingles.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert kept == len(texts) and 0 < again[0] <= 160  # two shards a pair at most
