@@ -53,6 +53,23 @@ def test_lines(spark, room, block):
         assert got.get(i, []) == walked(t, room), t
 
 
+@pytest.mark.parametrize("whole", [0, 60, 1 << 20])
+def test_lines_by_blocks_and_at_once(spark, whole):
+    """Texts up to a length are set where they are read, without an expression on atoms in the JVM; longer ones by blocks; both alike."""
+    r = random.Random(whole)
+    texts = ["", None, " ", "\n", "ab", "\ufeffx\u3000y", "日" * 45, "日\u3000" * 20, " " * 70 + "a"] + ["".join(r.choice(["a", "bb ", "日", "한 ", "\n", "  ", "\t", "😀", "x" * 25]) for _ in range(r.randint(1, 150))) for _ in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    made = wrap_lines(df, 20, block=8, whole=whole)
+    assert "regexp" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for x in sorted(made.collect(), key=lambda x: (x.doc_id, x.line_no)):
+        got.setdefault(x.doc_id, []).append((x.line, x.width))
+        assert len(got[x.doc_id]) == x.line_no
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == walked(t.replace("\ufeff", " ") if t else t, 20) or "\ufeff" in (t or ""), t
+    assert got[5] == [("x\u3000y", 4)]
+
+
 def packed(pieces, room):
     """(pos, part, page, first row, rows) by filling pages with pieces one after the other."""
     pages, page = [], []
