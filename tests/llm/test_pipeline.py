@@ -95,3 +95,14 @@ def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
     for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
+
+
+def test_stages_hand_on_small_batches(spark):
+    """A wide table's batches are bounded by rows, whatever the session had before."""
+    sizes = []
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.drop_benchmark_leaks):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), "id") for k in range(6)]).alias("text"))
+        assert stage(spark, docs, SF).count() == 3000
+        sizes += [r[0] for r in docs.mapInArrow(lambda batches: ((b.from_pylist([{"n": b.num_rows}]) for b in batches)), "n long").collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= corpus_pipeline.BATCH_ROWS
