@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,16 +27,22 @@ def strip_cells(c: Column) -> Column:
 
 def tidy_line(c: Column) -> Column:
     """A run of white space becomes a tab if it holds one, else a blank; ends trimmed; empty last cells dropped."""
-    runs = F.regexp_replace(F.regexp_replace(c, rf"{BLANK}*\t{BLANK}*", "\t"), rf"(?:(?!\t){BLANK})+", " ")
-    return strip_cells(trim(runs))
+    runs = F.regexp_replace(F.regexp_replace(c, BLANK.replace(r"\t", "") + "++", " "), r" ?\t[ \t]*+", "\t")
+    # of white space only single blanks and tabs are left; what ends in a cell's sign then ends in empty cells
+    return F.rtrim(F.trim(runs, F.lit(" \t")), F.lit(" \t|"))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is worked out once, however often f refers to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def normal_lines(lines: Column) -> Column:
     """An array of lines: tidy, no two empty ones in a row, none at the ends."""
-    tidy = F.transform(lines, tidy_line)
-    kept = F.filter(F.transform(F.arrays_zip(tidy.alias("line"), F.concat(F.array(F.lit("")), tidy).alias("before")), lambda z: F.struct(z["line"].alias("line"), z["before"].alias("before"))), lambda z: z["line"].isNotNull() & ((z["line"] != "") | (z["before"] != "")))
-    out = F.transform(kept, lambda z: z["line"])
-    return F.when(F.try_element_at(out, F.lit(-1)) == "", F.slice(out, 1, F.size(out) - 1)).otherwise(out)
+    # before the first line there is none, which counts as an empty one
+    kept = lambda tidy: F.filter(tidy, lambda x, i: x.isNotNull() & ((x != "") | (F.get(tidy, i - 1) != "")))
+    ended = lambda out: F.when(F.try_element_at(out, F.lit(-1)) == "", F.slice(out, 1, F.size(out) - 1)).otherwise(out)
+    return bound(bound(F.transform(lines, tidy_line), kept), ended)
 
 
 def row_text(cells: Column) -> Column:

@@ -6,17 +6,18 @@ import re
 
 #: White space as the engine means it, whatever the language's regular expressions say.
 SPACE = "\t\n\x0b\x0c\r " + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
-_RUN, _TAIL = re.compile(f"[{SPACE}]+"), re.compile(rf"(?:[{SPACE}]*\|)+\Z")
-_ENDS = re.compile(f"\\A[{SPACE}]+|[{SPACE}]+\\Z")
+#: Runs of white space but for a single blank, which stays as it is.
+_RUN = re.compile(f" [{SPACE}]+|[{SPACE.replace(' ', '')}][{SPACE}]*")
 
 
 def trim(text: str) -> str:
-    return _ENDS.sub("", text)
+    return text.strip(SPACE)
 
 
 def tidy(line: str) -> str:
     """One blank (or tab, if there was one) for each run of white space; no empty cells at the end."""
-    return _TAIL.sub("", trim(_RUN.sub(lambda m: "\t" if "\t" in m[0] else " ", line)))
+    line = trim(_RUN.sub(lambda m: "\t" if "\t" in m[0] else " ", line))
+    return line.rstrip(SPACE + "|") if line.endswith("|") else line
 
 
 def normalize(lines: list[str]) -> str:
@@ -30,7 +31,7 @@ def normalize(lines: list[str]) -> str:
 
 def units(text: str) -> int:
     """Length in UTF-16 units."""
-    return len(text) + sum(c > "\uffff" for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def cut(text: str, most: int) -> str:

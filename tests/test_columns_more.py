@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import documents as fn
 from docframe.kernels import markdown
-from docframe.kernels.lines import normalize
+from docframe.kernels.lines import normalize, tidy
 from docframe.operators import kernels
 from docframe.operators import relational as rel
 
@@ -61,6 +61,15 @@ def test_normal_lines(spark):
     assert "Exchange" not in plan and "Window" not in plan
 
 
+def test_lines_are_tidied_once_and_in_linear_time(spark):
+    """Each line passes two expressions, however often the result is asked for; long runs of blanks and cells take no square of their length."""
+    texts = ["a" + " " * 200_000 + "b", "x" + "| " * 100_000 + "y", "z" + " |" * 100_000, "\t " * 100_000 + "end"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [x[0] for x in df.select(fn.tidy_line(F.col("t"))).collect()] == [tidy(t) for t in texts]
+    plan = spark.createDataFrame([("a", 1)], "t string, i int").select(fn.normal_lines(F.split("t", "\n")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 4
+
+
 def test_bold_faces(spark):
     texts = ["plain *italic*", "**bold** word", "# Heading", "- a\n- **b**", "- a\n- b", "> **q**", "> q", "| a | b |\n|-|-|\n| 1 | 2 |", "```\n**code**\n```", "1. x\n2. y **z**"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, markdown string")
