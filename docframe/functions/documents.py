@@ -198,13 +198,13 @@ def jpeg_size(content: Column) -> Column:
     walked = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), state(F.lit(0), F.lit(2), False), step)
     # the first 0xFF stands at 0, as the file must begin with one
     found = F.when(F.hex(F.substring(content, 1, 2)) == "FFD8", walked)
-    return F.when((found["width"] > 0) & (found["height"] > 0), F.struct(found["width"].alias("width"), found["height"].alias("height")))
+    return bound(found, lambda x: F.when((x["width"] > 0) & (x["height"] > 0), F.struct(x["width"].alias("width"), x["height"].alias("height"))))
 
 
 def image_size(content: Column) -> Column:
     """{width, height} of a PNG or JPEG, by its own bytes; null for others and for broken ones."""
-    png = png_size(content)
-    return F.coalesce(F.when((F.length(content) >= 24) & (png["width"] > 0) & (png["height"] > 0), png), jpeg_size(content))
+    png = lambda c: bound(png_size(c), lambda p: F.when((F.length(c) >= 24) & (p["width"] > 0) & (p["height"] > 0), p))
+    return bound(content, lambda c: F.coalesce(png(c), jpeg_size(c)))
 
 
 def fit_into(w: Column, h: Column, box_w: float, box_h: float) -> Column:

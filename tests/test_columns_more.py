@@ -52,6 +52,13 @@ def test_jpeg_sizes(spark):
     assert sum(jpeg_walk(b) is not None for b in files) > 50
 
 
+def test_a_file_is_walked_once(spark):
+    """The walk over a picture's segments stands once in the plan, however many fields are asked for."""
+    df = spark.createDataFrame([(bytearray(b"\xff\xd8"), 1)], "b binary, i int")
+    plan = df.select(fn.image_size(F.concat("b", "b")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("concat(b") == 1
+
+
 def test_normal_lines(spark):
     r = random.Random(3)
     texts = ["", "\n\n", "a", "\n a \n\n\n\tb\t|\n", "| | |", "x |  | \n   \n \n y"] + ["\n".join(r.choice(["", " ", "a  b", "\t|", "c \t d", "　"]) for _ in range(r.randint(1, 12))) for _ in range(40)]
