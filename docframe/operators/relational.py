@@ -10,6 +10,9 @@ from docframe.functions.documents import attribute, tidy_line, units
 from docframe.limits import ASSET_BYTES, ASSETS, ZIP_ENTRIES, ZIP_ENTRY, ZIP_RATIO, ZIP_TOTAL
 from docframe.operators.paging import paginate
 
+#: Rows that ``dealt`` gives a task.
+TASK_ROWS = 500_000
+
 
 def _upto(key: list[str], *order: str) -> Window:
     return Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -34,6 +37,14 @@ def tiles(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return placed.withColumn("_part", part).join(begins, "_part").withColumn("tile", tile).drop("_id", "_part", "_begin")
 
 
+def dealt(rows: DataFrame, n: int, *key: str, each: int = TASK_ROWS) -> DataFrame:
+    """``rows``, dealt by key to tasks of some ``each`` of the ``n`` rows (one a core at least), whatever the session's number of shuffle partitions.
+
+    Windows and groups on these keys (and more) take no other shuffle, so what a task holds of them does not grow with the table.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // each)), *key)
+
+
 def normalize_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, line): tidy, no two empty lines in a row, none at the ends."""
     t = lines.select(key, "pos", tidy_line(F.col("line")).alias("line"))

@@ -52,13 +52,13 @@ def xml_events(parts: DataFrame, xml: str = "xml", key: tuple[str, ...] = ("doc_
     ``level`` of an element is its depth (the root has 1), of a text that of the element around it, and 0 of a tag that closes nothing.
     """
     key = list(key)
-    cut = F.transform(F.regexp_extract_all(F.regexp_replace(xml, "^﻿", ""), F.lit(TOKEN), F.lit(0)), lambda t, i: F.struct(i.alias("seq"), t.alias("token")))
-    tag = F.exists(cut, lambda t: t["token"].rlike(r"^<!(?:DOCTYPE|ENTITY)"))
-    elements = F.size(F.filter(cut, lambda t: t["token"].rlike(r"^<[^!?]")))
-    error = F.when(tag, F.lit(_BAD + "may not declare a DTD or entity")).when(elements > XML_EVENTS, F.lit(f"{_BAD}has more than {XML_EVENTS:,} elements"))
-    t = parts.where(F.col(xml).isNotNull()).select(*key, error.alias("error"), cut.alias("_cut"))
-    bad = t.where("error is not null").select(*key, "error")
-    rows = t.where("error is null").select(*key, F.inline("_cut"))
+    cut = F.transform(F.regexp_extract_all(F.regexp_replace(xml, "^﻿", ""), F.lit(TOKEN), F.lit(0)), lambda t, i: F.struct(i.alias("seq"), t.alias("token"), F.lit(None).cast("string").alias("error")))
+    t = parts.where(F.col(xml).isNotNull()).select(*key, cut.alias("_cut"))
+    tag = F.exists("_cut", lambda t: t["token"].rlike(r"^<!(?:DOCTYPE|ENTITY)"))
+    elements = F.size(F.filter("_cut", lambda t: t["token"].rlike(r"^<[^!?]")))
+    told = lambda why: F.array(F.struct(F.lit(0).alias("seq"), F.lit(None).cast("string").alias("token"), F.lit(_BAD + why).alias("error")))
+    # a refused part is one row on the same way as all events: a filter, or a union of the two, would cut the part anew
+    rows = t.select(*key, F.inline(F.when(tag, told("may not declare a DTD or entity")).when(elements > XML_EVENTS, told(f"has more than {XML_EVENTS:,} elements")).otherwise(F.col("_cut"))))
     x = F.col("token")
     data = x.startswith("<![CDATA[")
     ended = x.endswith(">")
@@ -68,16 +68,15 @@ def xml_events(parts: DataFrame, xml: str = "xml", key: tuple[str, ...] = ("doc_
     inner = F.regexp_replace(x, r"(?s)^</?|/?>\z", "")
     kind = F.when(data | ~x.startswith("<"), "text").when(closing, "close").otherwise("open")
     name = F.when(data, F.regexp_replace(x, r"(?s)^<!\[CDATA\[|\]\]>\z", "")).when(~x.startswith("<"), decode_entities(x)).when(closing, F.trim(inner)).otherwise(F.regexp_extract(inner, r"^(\S*)", 1))
-    rows = rows.where(~aside).select(*key, F.col("seq").cast("long").alias("seq"), kind.alias("kind"), name.alias("name"), F.when(kind == "open", F.trim(F.regexp_replace(inner, r"(?s)^\S*", ""))).alias("attrs"), F.coalesce(alone, F.lit(False)).alias("alone"))
+    rows = rows.where(F.col("error").isNotNull() | ~aside).select(*key, "error", F.col("seq").cast("long").alias("seq"), F.when(x.isNotNull(), kind).alias("kind"), name.alias("name"), F.when(kind == "open", F.trim(F.regexp_replace(inner, r"(?s)^\S*", ""))).alias("attrs"), F.coalesce(alone, F.lit(False)).alias("alone"))
     rows = counted(rows, "_after", (F.col("kind") == "open") & ~F.col("alone"), F.col("kind") == "close", key)
     before = F.coalesce(F.lag("_after").over(_order(key)), F.lit(0))
     level = F.when(F.col("kind") == "close", before).when(F.col("alone"), F.col("_after") + 1).otherwise(F.col("_after"))
-    rows = rows.withColumn("level", level).drop("_after")
+    rows = rows.withColumns({"level": level, "_first": F.row_number().over(_order(key)) == 1}).drop("_after")
     deepest = F.max(F.when((F.col("kind") == "open") & ~F.col("alone"), F.col("level"))).over(Window.partitionBy(*key))
-    deep = F.coalesce(deepest > XML_DEPTH, F.lit(False))
-    rows = rows.withColumn("_deep", deep)
-    too_deep = rows.where("_deep").select(*key, F.lit(f"{_BAD}is nested more than {XML_DEPTH} elements deep").alias("error")).distinct()
-    return rows.where("not _deep").drop("_deep").withColumn("error", F.lit(None).cast("string")).unionByName(bad.unionByName(too_deep), allowMissingColumns=True)
+    rows = rows.withColumn("_deep", F.coalesce(deepest > XML_DEPTH, F.lit(False))).where("not _deep or _first")
+    error = F.when(F.col("_deep"), F.lit(f"{_BAD}is nested more than {XML_DEPTH} elements deep")).otherwise(F.col("error"))
+    return rows.select(*key, *[F.when(error.isNull(), F.col(c)).alias(c) for c in ("seq", "kind", "name", "attrs", "alone", "level")], error.alias("error"))
 
 
 def intervals(events: DataFrame, key: tuple[str, ...] = ("doc_id", "part")) -> DataFrame:
@@ -118,7 +117,7 @@ def docx_lines(events: DataFrame, key: tuple[str, ...] = ("doc_id", "part")) ->
     """(key, pos, line): the lines of a document's body from its events.
 
     Text counts in ``w:t`` only. A paragraph ends a line but for those in a table's
-    cell, where rows end it; headings and list items get their sign.
+    cell, where rows end it; headings and list items get their sign. An empty rest behind the last end is no line.
     """
     key = list(key)
     kind, name, alone = F.col("kind"), F.col("name"), F.col("alone")
@@ -137,12 +136,17 @@ def docx_lines(events: DataFrame, key: tuple[str, ...] = ("doc_id", "part")) ->
     t = t.withColumns({"piece": piece, "lead": lead, "ends": ends})
     t = t.withColumn("group", F.sum(F.col("ends").cast("int")).over(_upto(key)) - F.col("ends").cast("int"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("seq", "piece")))), lambda x: x["piece"]), "")
-    lines = t.groupBy(*key, "group").agg(body.alias("body"), F.max_by("lead", F.when(F.col("lead").isNotNull(), F.col("seq"))).alias("lead"))
+    lines = t.groupBy(*key, "group").agg(body.alias("body"), F.max_by("lead", F.when(F.col("lead").isNotNull(), F.col("seq"))).alias("lead"), F.max("ends").alias("ended"))
     whole = F.concat(F.coalesce("lead", F.lit("")), F.col("body"))
-    cut = lines.select(*key, "group", F.posexplode(F.split(whole, "\n", -1)).alias("i", "line"))
+    # what follows the last end is a line only if it says something
+    cut = lines.where(F.col("ended") | (whole != "")).select(*key, "group", F.posexplode(F.split(whole, "\n", -1)).alias("i", "line"))
     return cut.select(*key, F.struct("group", "i").alias("pos"), "line")
 
 
-def docx_text(events: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text) of documents whose events are those of their body alone."""
-    return join_lines(normalize_lines(docx_lines(events, (key,)), key), key)
+def docx_text(events: DataFrame, key: str = "doc_id", volume: str | None = None) -> DataFrame:
+    """(key, text) of documents whose events are those of their body alone; a document may come in parts, which ``volume`` puts in order."""
+    if volume is None:
+        lines = docx_lines(events, (key,))
+    else:
+        lines = docx_lines(events, (key, volume)).select(key, F.struct(volume, "pos").alias("pos"), "line")
+    return join_lines(normalize_lines(lines, key), key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docframe.checkpoints import shared_folder
@@ -19,6 +19,10 @@ from docframe.sources import files, packages, sink
 
 #: Members of fewer bytes are not asked for.
 LEAST_BYTES = 200
+#: Customers of a volume of a nation's document: some 65,000 tags and a megabyte, far within the limits of a part.
+VOLUME_ROWS = 4_000
+#: Customers whose event rows (some 36 each) a task takes.
+EVENT_ROWS = 10_000
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -66,7 +70,10 @@ def _run(text: Column) -> Column:
 
 
 def _customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A DOCX package a nation: a heading, and for each customer a line with a tab and a deletion, a list item, or a row of a table."""
+    """DOCX packages of a nation: a heading, and for each customer a line with a tab and a deletion, a list item, or a row of a table.
+
+    A nation has as many volumes as its customers need, so no part meets the limits, however large the table is.
+    """
     c = _t(spark, sf_dir, "customer")
     name, seg, k = F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey") % 3
     gone = F.concat(F.lit("<w:del><w:r><w:delText>was "), name, F.lit("</w:delText></w:r></w:del>"))
@@ -76,11 +83,19 @@ def _customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 1, F.concat(F.lit("<w:p><w:pPr><w:numPr><w:ilvl w:val='0'/></w:numPr></w:pPr>"), _run(F.concat(F.lit("<![CDATA[<"), name, F.lit(">]]>"))), F.lit("<!-- <w:t>no</w:t> --></w:p>")))
         .otherwise(F.concat(F.lit("<w:tbl><w:tr>"), cell(name), cell(seg), F.lit("</w:tr></w:tbl>")))
     )
-    body = c.groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(_joined(line, "c_custkey", "").alias("body"))
+    lines = c.select(F.col("c_nationkey").cast("long").alias("doc_id"), "c_custkey", line.alias("line"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("c_custkey", "line")) - 1
+    body = lines.withColumn("volume", F.floor(at / VOLUME_ROWS).cast("int")).groupBy("doc_id", "volume").agg(_joined(F.col("line"), "c_custkey", "").alias("body"))
     head = F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr>'), _run(F.concat(F.lit("Nation "), "doc_id")), F.lit("</w:p>"))
-    xml = F.concat(F.lit("<?xml version='1.0'?><w:document><w:body>"), head, "body", F.lit("</w:body></w:document>"))
+    xml = F.concat(F.lit("<?xml version='1.0'?><w:document><w:body>"), F.when(F.col("volume") == 0, head).otherwise(""), "body", F.lit("</w:body></w:document>"))
     part = lambda n, b: F.struct(F.lit(n).alias("name"), b.alias("body"))
-    return body.select("doc_id", F.array(part("[Content_Types].xml", F.lit("<Types/>")), part("word/document.xml", xml)).alias("parts"))
+    return body.select("doc_id", "volume", F.array(part("[Content_Types].xml", F.lit("<Types/>")), part("word/document.xml", xml)).alias("parts"))
+
+
+def _customer_events(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
+    """Events of (doc_id, volume, xml): volumes are dealt before they are cut, so no event row is shuffled for the windows on it."""
+    key = ("doc_id", "volume")
+    return xt.xml_events(rel.dealt(parts, _t(spark, sf_dir, "customer").count(), *key, each=EVENT_ROWS), key=key)
 
 
 @_query("""
@@ -90,14 +105,21 @@ select doc_id, '## Nation ' || doc_id || chr(10) || string_agg(case k when 0 the
 from c group by doc_id""")
 def docx_tree(spark, sf_dir):
     """DOCX text from event rows, with what is deleted, its paragraphs and its depth; no Python after the scan."""
-    made = kernels.build_packages(_customer_documents(spark, sf_dir))
-    to = _written(made.select(F.concat(F.lit("nation"), "doc_id", F.lit(".docx")).alias("filename"), "content"), "docx")
+    made = kernels.build_packages(_customer_documents(spark, sf_dir).select((F.shiftleft("doc_id", 32) + F.col("volume")).alias("doc_id"), "parts"))
+    doc, volume = F.shiftright("doc_id", 32), F.col("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
+    to = _written(made.select(F.concat(F.lit("nation"), doc, F.lit("-"), volume, F.lit(".docx")).alias("filename"), "content"), "docx")
     body = packages.members(spark, to, contents=True, where=[("name", "=", "word/document.xml")])
-    parts = body.select(F.regexp_extract("file", r"nation(\d+)\.docx\z", 1).cast("long").alias("doc_id"), F.decode("content", "UTF-8").alias("xml"))
-    events = xt.within(xt.xml_events(parts, key=("doc_id",)), "deleted", "w:del", key=("doc_id",))
-    gone = events.groupBy("doc_id").agg(F.sum(F.when((F.col("kind") == "text") & F.col("deleted"), F.length("name")).otherwise(0)).alias("deleted"))
-    found = xt.intervals(events, ("doc_id",)).groupBy("doc_id").agg(F.count_if(F.col("name") == "w:p").alias("paragraphs"), F.max("level").cast("long").alias("deepest"))
-    return xt.docx_text(events.drop("deleted")).join(gone, "doc_id").join(found, "doc_id")
+    of = lambda n: F.regexp_extract("file", r"nation(\d+)-(\d+)\.docx\z", n)
+    parts = body.select(of(1).cast("long").alias("doc_id"), of(2).cast("int").alias("volume"), F.decode("content", "UTF-8").alias("xml"))
+    events = _customer_events(spark, sf_dir, parts)
+    inside = xt.within(events, "deleted", "w:del", key=("doc_id", "volume"))
+    opens = F.col("kind") == "open"
+    found = inside.groupBy("doc_id").agg(
+        F.sum(F.when((F.col("kind") == "text") & F.col("deleted"), F.length("name")).otherwise(0)).alias("deleted"),
+        F.count_if(opens & (F.col("name") == "w:p")).alias("paragraphs"),
+        F.max(F.when(opens, F.col("level"))).cast("long").alias("deepest"),
+    )
+    return xt.docx_text(events, volume="volume").join(found, "doc_id")
 
 
 @_query("""
@@ -106,8 +128,8 @@ p as (select doc_id, 'w:p' as name, 'w:body' as parent_name, sum(case k when 2 t
 select doc_id, name, parent_name, n::bigint as n from p""")
 def xml_parents(spark, sf_dir):
     """How often elements stand right below which others, by the interval encoding."""
-    parts = _customer_documents(spark, sf_dir).select("doc_id", F.col("parts")[1]["body"].alias("xml"))
-    p = xt.parents(xt.xml_events(parts, key=("doc_id",)), ("doc_id",))
+    parts = _customer_documents(spark, sf_dir).select("doc_id", "volume", F.col("parts")[1]["body"].alias("xml"))
+    p = xt.parents(_customer_events(spark, sf_dir, parts), ("doc_id", "volume"))
     return p.where("kind = 'open' and name in ('w:p', 'w:r', 'w:del')").groupBy("doc_id", "name", "parent_name").agg(F.count("*").alias("n"))
 
 

@@ -107,3 +107,31 @@ def test_text_of_documents(spark):
         assert got.get(i, "") == normalize(lines_of(x.removeprefix("﻿"), DOCX)[0]), x
     plan = xt.docx_text(xt.xml_events(df, key=("doc_id",)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_documents_in_volumes_have_the_text_of_one(spark):
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    whole = ["", "a", "", "", "b", "c", "", "", "d", "", "", *map(str, range(12)), ""]
+    cut = [(0, 4), (4, 7), (7, 8), *((i, i + 1) for i in range(8, len(whole)))]
+    of = lambda lines: "<w:document><w:body>" + "".join(map(p, lines)) + "</w:body></w:document>"
+    df = spark.createDataFrame([(1, v, of(whole[a:b])) for v, (a, b) in enumerate(cut)] + [(2, 0, of(["x"]))], "doc_id int, volume int, xml string")
+    got = {r.doc_id: r.text for r in xt.docx_text(xt.xml_events(df, key=("doc_id", "volume")), volume="volume").collect()}
+    assert got == {1: normalize(lines_of(of(whole), DOCX)[0]), 2: "x"}
+
+
+def test_nations_beyond_the_limits_of_a_part_are_read_whole(spark, tmp_path, monkeypatch):
+    """1,000 customers of a nation have some 16,000 tags, and a part may have 5,000 here."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from docframe import queries_text
+
+    monkeypatch.setattr(xt, "XML_EVENTS", 5_000)
+    monkeypatch.setattr(queries_text, "VOLUME_ROWS", 150, raising=False)
+    db = duckdb.connect()
+    db.execute("create table customer as select i::bigint as c_custkey, 'Customer#' || i as c_name, case when i < 1000 then 3 else 4 end as c_nationkey, 0.0::double as c_acctbal, 'SEG' || i % 5 as c_mktsegment from range(1010) t(i)")
+    db.execute(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    for name in ("docx_tree", "xml_parents"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        want = db.execute(entry.oracle_sql()[name]).fetchall()
+        assert sorted(map(tuple, got.select(*[d[0] for d in db.description]).collect())) == sorted(want)
