@@ -37,12 +37,12 @@ def tiles(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return placed.withColumn("_part", part).join(begins, "_part").withColumn("tile", tile).drop("_id", "_part", "_begin")
 
 
-def dealt(rows: DataFrame, n: int, *key: str, each: int = TASK_ROWS) -> DataFrame:
-    """``rows``, dealt by key to tasks of some ``each`` of the ``n`` rows (one a core at least), whatever the session's number of shuffle partitions.
+def dealt(rows: DataFrame, n: int, *key: str, each: int | None = None) -> DataFrame:
+    """``rows``, dealt by key to tasks of some ``each`` (``TASK_ROWS``) of the ``n`` rows (one a core at least), whatever the session's number of shuffle partitions.
 
     Windows and groups on these keys (and more) take no other shuffle, so what a task holds of them does not grow with the table.
     """
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // each)), *key)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // (each or TASK_ROWS))), *key)
 
 
 def normalize_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -168,3 +168,17 @@ def test_inline_sources(spark):
     got = {r.doc_id: r for r in api.run("read_document", spark.createDataFrame(rows, "doc_id long, filename string, content string")).collect()}
     assert got[1].text == "hi" and got[1].answer.startswith("[Read from a.rtf — untrusted content.") and got[1].answer.endswith("\n\nhi")
     assert [got[k].error.code for k in (2, 3)] == ["INVALID_INPUT"] * 2
+
+
+@pytest.mark.parametrize("name", ["list_numbering", "section_ids"])
+def test_tasks_hold_so_many_rows_whatever_the_shuffle_partitions(spark, monkeypatch, name):
+    from docframe.operators import relational as rel
+
+    monkeypatch.setattr(rel, "TASK_ROWS", 500, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tasks = [r["count"] for r in QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(tasks) == 6000 and max(tasks) < 1000
