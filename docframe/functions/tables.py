@@ -59,22 +59,32 @@ class PackPages:
 
 @F.udtf
 class ListNumbers:
-    """Adds ``number``: the count of an item of (list_id, pos, depth) at its depth since the last shallower one."""
+    """Adds ``number``: the count of an item of (list_id, pos, depth) at its depth since the last shallower one.
+
+    A row may also be a run of a list's items: ``depth`` is then an array, and so is ``number``. A call a run
+    costs little more than a call an item; a run is all that a call holds.
+    """
 
     def __init__(self):
         self.counts: list[list[int]] = []  # [depth, count], deeper ones behind
 
     @staticmethod
     def analyze(items: AnalyzeArgument) -> AnalyzeResult:
-        return _result(items, "list_id", [("number", T.IntegerType())], "depth")
+        kind = T.IntegerType()
+        runs = items.isTable and any(f.name == "depth" and isinstance(f.dataType, T.ArrayType) for f in items.dataType.fields)
+        return _result(items, "list_id", [("number", T.ArrayType(kind) if runs else kind)], "depth")
 
-    def eval(self, item: Row) -> Iterator[tuple]:
-        while self.counts and self.counts[-1][0] > item["depth"]:
+    def number(self, depth: int) -> int:
+        while self.counts and self.counts[-1][0] > depth:
             self.counts.pop()
-        if not self.counts or self.counts[-1][0] < item["depth"]:
-            self.counts.append([item["depth"], 0])
+        if not self.counts or self.counts[-1][0] < depth:
+            self.counts.append([depth, 0])
         self.counts[-1][1] += 1
-        yield (*item, self.counts[-1][1])
+        return self.counts[-1][1]
+
+    def eval(self, item: Row) -> Iterator[tuple]:
+        depth = item["depth"]
+        yield (*item, [self.number(d) for d in depth] if isinstance(depth, list) else self.number(depth))
 
 
 @F.udtf

@@ -23,6 +23,8 @@ LEAST_BYTES = 200
 VOLUME_ROWS = 4_000
 #: Customers whose event rows (some 36 each) a task takes.
 EVENT_ROWS = 10_000
+#: Items of a list that a table function takes in a call.
+RUN_ITEMS = 1_024
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -270,9 +272,11 @@ def sql_pack_pages(spark, sf_dir):
 
 @_query(ORACLES["list_numbering"])
 def sql_list_numbers(spark, sf_dir):
-    """``list_numbering`` by a table function of SQL."""
+    """``list_numbering`` by a table function of SQL, which is given a list's items in runs."""
     items = _ordered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("list_id"), F.col("l_linenumber").alias("pos"), (F.col("l_quantity").cast("int") % 5).alias("depth"))
-    return _in_sql(spark, items, "list_numbers($)")
+    runs = items.groupBy("list_id", F.floor(F.col("pos") / RUN_ITEMS).alias("run")).agg(F.array_sort(F.collect_list(F.struct("pos", "depth"))).alias("i"))
+    runs = runs.select("list_id", F.col("i.pos")[0].alias("pos"), F.col("i.pos").alias("places"), F.col("i.depth").alias("depth"))
+    return _in_sql(spark, runs, "list_numbers($)").select("list_id", F.inline(F.arrays_zip("places", "depth", "number"))).withColumnRenamed("places", "pos")
 
 
 @_query(ORACLES["row_budget"])

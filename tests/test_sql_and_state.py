@@ -144,3 +144,26 @@ def test_titles_of_a_key_in_slots(spark, tmp_path):
     got = first_seen(arrivals, "key", "title", "ts", timedelta(minutes=10), slots=4)
     got.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert {r.title for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {f"t{k}" for k in range(49)}
+
+
+def test_list_numbers_of_runs_are_those_of_items(spark, pieces):
+    want = rows(rel.list_numbers(pieces), "list_id", "pos", "number")
+    for most in (1, 7, 1000):
+        runs = pieces.groupBy("list_id", F.floor(F.col("pos") / most).alias("run")).agg(F.array_sort(F.collect_list(F.struct("pos", "depth"))).alias("i")).select("list_id", F.col("i.pos")[0].alias("pos"), F.col("i.pos").alias("places"), F.col("i.depth").alias("depth"))
+        got = spark.sql("select * from list_numbers(table({t}))", t=runs).select("list_id", F.inline(F.arrays_zip("places", "number")))
+        assert rows(got, "list_id", "places", "number") == want
+
+
+def test_the_query_calls_its_function_by_runs(spark, monkeypatch):
+    """A call takes a run of a list, not an item, and runs of any length give the rows of ``list_numbering``."""
+    from docframe import queries_text
+    from docframe.queries import QUERIES
+
+    asked = []
+    plain = queries_text._in_sql
+    monkeypatch.setattr(queries_text, "_in_sql", lambda s, table, call: asked.append(table) or plain(s, table, call))
+    monkeypatch.setattr(queries_text, "RUN_ITEMS", 2, raising=False)
+    there = "/root/testdata/sf0.001"
+    columns = ("list_id", "pos", "depth", "number")
+    assert rows(QUERIES["sql_list_numbers"](spark, there), *columns) == rows(QUERIES["list_numbering"](spark, there), *columns)
+    assert asked[0].count() < 5_000  # of 6,000 items
