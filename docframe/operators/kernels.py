@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,24 @@ def _rows(df: DataFrame, columns: list[str], f, schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(run, out)
 
 
+def _columns(df: DataFrame, columns: list[str], f, schema: str) -> DataFrame:
+    """``columns`` of df through f(Arrow columns of a few rows) -> (values of each output column, one list a column; None: all null) -> rows."""
+    ship(df.sparkSession)
+    out = df.sparkSession.createDataFrame([], schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 64):
+                for n, found in f(*b.slice(a, 64).columns):
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, arrow.types, strict=True)], schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, out)
+
+
 def _safely(f, *args) -> dict:
     """{ok, error} or f's result; a kernel never fails the job."""
     try:
@@ -102,23 +122,45 @@ def workbook_cells(df: DataFrame, hidden: bool = False, cap: int | None = None)
 
     With a cap only so many of a workbook's first cells, over all its sheets, and ``n`` and ``complete`` beside each.
     """
-    def one(doc_id, content):
-        got = _safely(lambda: {"sheets": sheets.read_workbook(bytes(content), hidden)[0]})
-        if got["error"]:
-            yield {"doc_id": doc_id, "error": got["error"]}
-        found = got.get("sheets") or []
-        complete = cap is None or sum(len(row) for s in found for row in s.rows) <= cap
-        total = 0
-        for k, s in enumerate(found):
-            n = 0
-            for r, row in enumerate(s.rows):
-                for c in row:
-                    if cap is not None and total == cap:
-                        return
-                    n, total = n + 1, total + 1
-                    yield {"n": total, "complete": complete, "doc_id": doc_id, "sheet_idx": k, "sheet_name": s.name, "sheet_state": s.state, "row_ord": r, "cell_ord": n, "address": c.address, "row_no": c.row, "col_no": c.column, "value": c.value, "formula": c.formula, "cell_error": c.error}
-
-    out = _rows(df, ["doc_id", "content"], one, f"n long, complete boolean, doc_id long, sheet_idx int, sheet_name string, sheet_state string, row_ord int, cell_ord long, address string, row_no int, col_no int, value string, formula string, cell_error string, error {_ERROR}")
+    def cells_of(doc_ids: pa.Array, contents: pa.Array):
+        totals, completes, ids, indexes, names, states, places, orders, addresses, numbers, columns, values, formulas, wrong = ([] for _ in range(14))
+        errors: list[tuple] = []
+        for doc_id, content in zip(doc_ids.to_pylist(), contents.to_pylist(), strict=True):
+            got = _safely(lambda c=content: {"sheets": sheets.read_workbook(bytes(c), hidden)[0]})
+            if got["error"]:
+                errors.append((doc_id, got["error"]))
+                continue
+            found = got["sheets"]
+            size = sum([len(row) for s in found for row in s.rows])
+            kept = size if cap is None else min(size, cap)
+            total = 0
+            for k, s in enumerate(found):
+                n = 0
+                for r, row in enumerate(s.rows):
+                    if total + len(row) > kept:
+                        row = row[: kept - total]
+                    for c in row:
+                        n += 1
+                        orders.append(n)
+                        addresses.append(c.address)
+                        numbers.append(c.row)
+                        columns.append(c.column)
+                        values.append(c.value)
+                        formulas.append(c.formula)
+                        wrong.append(c.error)
+                    places += [r] * len(row)
+                    total += len(row)
+                indexes += [k] * n
+                names += [s.name] * n
+                states += [s.state] * n
+            totals += range(1, kept + 1)
+            completes += [cap is None or size <= cap] * kept
+            ids += [doc_id] * kept
+        none = lambda x: x if any(v is not None for v in x) else None
+        yield len(ids), [totals, completes, ids, indexes, names, states, places, orders, addresses, numbers, columns, values, none(formulas), none(wrong), None]
+        yield len(errors), [None, None, [i for i, _ in errors], *[None] * 11, [e for _, e in errors]]
+
+    out = _columns(df, ["doc_id", "content"], cells_of, f"n long, complete boolean, doc_id long, sheet_idx int, sheet_name string, sheet_state string, row_ord int, cell_ord long, address string, row_no int, col_no int, value string, formula string, cell_error string, error {_ERROR}")
     return out.drop("n", "complete") if cap is None else out.select(*out.columns[2:], "n", "complete")
 
 
@@ -130,25 +172,59 @@ def _cell_value(c):
     return {"string": c["s"], "number": c["n"], "boolean": c["b"]}[c["kind"]]
 
 
-def render_spreadsheets(df: DataFrame) -> DataFrame:
-    """(doc_id, sheets array<struct<name, rows array<array<cell>>>>[, title, filename]) -> (doc_id, filename, content, counts, error)."""
-    named = [c for c in ("title", "filename") if c in df.columns]
+def _flat(lists: pa.Array) -> tuple[list[int], pa.Array]:
+    """(lengths, all values) of an array of lists; one that is null holds none."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_pylist(), lists.flatten()
 
-    def one(doc_id, tabs, *names):
-        title, filename = (_blank(dict(zip(named, names, strict=True)).get(k)) for k in ("title", "filename"))
-        title = title or filename or "workbook"
 
-        def make():
-            made = [{"name": s["name"], "rows": [[_cell_value(c) for c in r] for r in s["rows"]]} for s in tabs or []]
-            data = xlsx_writer.render(made, title)
-            if len(data) > OUTPUT_BYTES:
-                raise Refused("OUTPUT_TOO_LARGE", f"the workbook is {len(data):,} bytes; the limit is {OUTPUT_BYTES:,}")
-            cells = [c for s in made for r in s["rows"] for c in r]
-            return {"content": data, "counts": [("sheets", len(made)), ("rows", sum(len(s["rows"]) for s in made)), ("cells", len(cells)), ("formulas", sum(isinstance(c, dict) for c in cells))]}
+def _dealt(values: list, lengths: list[int]) -> list[list]:
+    ends = [*accumulate(lengths)]
+    return [values[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+
+
+def _tabs(books: pa.Array) -> list[list[dict]] | None:
+    """Workbooks' sheets {name, rows of values}, read column by column; None if they hold what a workbook may not."""
+    tabs_of, tabs = _flat(books)
+    if not {"name", "rows"} <= {f.name for f in tabs.type} or tabs.null_count:
+        return None
+    rows_of, rows = _flat(pc.struct_field(tabs, "rows"))
+    cells_of, cells = _flat(rows)
+    if not {"kind", "s", "n", "b", "formula"} <= {f.name for f in cells.type} or pc.struct_field(tabs, "rows").null_count or rows.null_count:
+        return None
+    kinds = pc.struct_field(cells, "kind")
+    if kinds.null_count > cells.null_count or not {*pc.unique(kinds).to_pylist()} <= {None, "null", "string", "number", "boolean", "formula"}:
+        return None
+    parts = [pc.struct_field(cells, k) for k in ("s", "n", "b", "formula")]
+    columns = [[None] * len(x) if x.null_count == len(x) else x.to_pylist() for x in parts]
+    value = lambda k, s, n, b, f: _cell_value(None if k is None else {"kind": k, "s": s, "n": n, "b": b, "formula": f})
+    values = [n if k == "number" else s if k == "string" else value(k, s, n, b, f) for k, s, n, b, f in zip(kinds.to_pylist(), *columns, strict=True)]
+    named = [{"name": n, "rows": r} for n, r in zip(pc.struct_field(tabs, "name").to_pylist(), _dealt(_dealt(values, cells_of), rows_of), strict=True)]
+    return _dealt(named, tabs_of)
+
 
-        yield {"doc_id": doc_id, "filename": unicodedata.normalize("NFC", filename or title), **_safely(make)}
+def render_spreadsheets(df: DataFrame) -> DataFrame:
+    """(doc_id, sheets array<struct<name, rows array<array<cell>>>>[, title, filename]) -> (doc_id, filename, content, counts, error)."""
+    named = [c for c in ("title", "filename") if c in df.columns]
 
-    out = _rows(df, ["doc_id", "sheets", *named], one, f"doc_id long, filename string, content binary, counts map<string,bigint>, error {_ERROR}")
+    def make(made, title):
+        data = xlsx_writer.render(made, title)
+        if len(data) > OUTPUT_BYTES:
+            raise Refused("OUTPUT_TOO_LARGE", f"the workbook is {len(data):,} bytes; the limit is {OUTPUT_BYTES:,}")
+        cells = [c for s in made for r in s["rows"] for c in r]
+        return {"content": data, "counts": [("sheets", len(made)), ("rows", sum([len(s["rows"]) for s in made])), ("cells", len(cells)), ("formulas", sum([isinstance(c, dict) for c in cells]))]}
+
+    def books_of(doc_ids: pa.Array, tabs: pa.Array, *names: pa.Array):
+        books = _tabs(tabs)
+        one = make if books is not None else lambda given, title: make([{"name": s["name"], "rows": [[_cell_value(c) for c in r] for r in s["rows"]]} for s in given or []], title)
+        called, found = [], []
+        for given, *own in zip(tabs.to_pylist() if books is None else books, *(x.to_pylist() for x in names), strict=True):
+            title, filename = (_blank(dict(zip(named, own, strict=True)).get(k)) for k in ("title", "filename"))
+            title = title or filename or "workbook"
+            called.append(unicodedata.normalize("NFC", filename or title))
+            found.append(_safely(one, given, title))
+        yield len(found), [doc_ids, called, *([x.get(k) for x in found] for k in ("content", "counts")), [x["error"] for x in found]]
+
+    out = _columns(df, ["doc_id", "sheets", *named], books_of, f"doc_id long, filename string, content binary, counts map<string,bigint>, error {_ERROR}")
     return out.withColumn("filename", safe_filename(F.col("filename"), "xlsx"))
 
 

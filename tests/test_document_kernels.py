@@ -318,3 +318,40 @@ def test_broken_relationships_are_reported(tmp_path):
 
     broken = Package(rebuild(parts))
     assert [t for _, t, out in _relationships(broken) if not out and t not in broken.names] == ["word/styles.xml"]
+
+
+def test_plain_sheets_and_packages_read_as_any_other():
+    import random
+    import re
+
+    from docframe.kernels import package
+
+    def said(f, *args):
+        try:
+            return f(*args)
+        except Refused as e:
+            return e.code, e.message
+
+    rnd, plain = random.Random(5), 0
+    bits = ["<!-- x -->", "<![CDATA[<v>9</v>]]>", "<", ">", '"', "'", "&amp;", "&#65;", "<row/>", "<row r=\"0\">", "</row>", "<c/>", "<c r=\"a1\"><v>2</v></c>", "</c>", "<v>", "</v>", "<sheetData>", "</sheetData>", "<!DOCTYPE x>", "<f>1</f>", " ", "\n", "<is><t>y</t></is>", "<v></v>", '<c r="B2" t="s"><v> 1 </v></c>', '<c r="C9" t="e"><v>#N/A</v></c>']
+    for k in range(1500):
+        rows = [[rnd.choice([None, 1.5, 7, "a&b <c>", "", True, {"formula": "=A1<2", "cached": "x"}, {"formula": "B1"}]) for _ in range(rnd.randint(0, 4))] for _ in range(rnd.randint(1, 4))]
+        xml = Package(xlsx.render([{"name": "S", "rows": rows}])).text("xl/worksheets/sheet1.xml")
+        for _ in range(k % 4):
+            at = rnd.choice([m.end() for m in re.finditer(">", xml)] + [rnd.randrange(len(xml))])
+            xml = xml[:at] + rnd.choice(bits) + xml[at + rnd.choice([0, 0, 0, 3]) :]
+        got = sheets._plain_sheet(xml, ["zero", "one"])
+        plain += got is not None
+        assert got is None or got == said(sheets._scanned_sheet, xml, ["zero", "one"])
+        assert said(sheets.parse_sheet, xml, ["zero", "one"]) == said(sheets._scanned_sheet, xml, ["zero", "one"])
+    assert plain > 400
+    data = bytearray(xlsx.render([{"name": "S", "rows": [["text " * 50, 1]]}]))
+    assert package._plainly_listed(bytes(data)) is not None
+    for _ in range(3000):  # a byte changed: never read otherwise than by zipfile
+        bad = bytearray(data)
+        bad[rnd.randrange(len(bad))] = rnd.randrange(256)
+        listed = package._plainly_listed(bytes(bad))
+        for part in listed or ():
+            body = package._plainly_read(bytes(bad), part)
+            assert body is None or body == zipfile.ZipFile(io.BytesIO(bytes(bad))).read(part[0])
+        assert listed is None or [p[:3] for p in listed] == entries(bytes(bad))

@@ -206,3 +206,11 @@ def test_rtf_of_odd_rows_as_its_sql_says(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     got = QUERIES["rtf_read"](spark, str(tmp_path)).toPandas()
     assert len(got) == 5 and canon(got).equals(canon(con.execute(ORACLES["rtf_read"]).df()))
+
+
+def test_workbooks_are_dealt_to_tasks_by_their_number(spark):
+    """Their rows are few bytes, which would leave all the work to a task or two."""
+    got = QUERIES["inspect_cell_cap"](spark, SF)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan and got.rdd.getNumPartitions() >= 4
