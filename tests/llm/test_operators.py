@@ -640,3 +640,25 @@ def test_only_shards_in_doubt_are_searched_again(spark, monkeypatch):
     monkeypatch.setattr(shingles, "meet_in_shards", meet)
     kept = shingles.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
     assert kept == len(texts) and 0 < again[0] <= 160  # two shards a pair at most
+
+
+def test_what_stays_does_not_hang_on_the_pairs_proposed_first(spark):
+    """A head whose links fail stands for members that are similar: they meet in the search that follows."""
+    from docframe.llm import shingles
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in ((r.text or "").lower().split() for r in rows)]
+    root = list(range(len(rows)))
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if 5 * len(sets[a]) >= 4 * len(sets[b]) and 4 * len(sets[a]) <= 5 * len(sets[b]) and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    for _ in rows:
+        before = list(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    want = {r.doc_id for k, r in enumerate(rows) if root[k] == k}
+    star = lambda texts, nodes: nodes.crossJoin(nodes.agg(F.min("node").alias("head"))).select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")  # noqa: E731 - links that all fail
+    for first in (simhash.near_pairs, star, None):
+        assert {r.doc_id for r in shingles.keep_one(docs, first).collect()} == want
+    assert links and len(want) < len(rows)
